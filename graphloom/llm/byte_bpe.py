@@ -15,15 +15,19 @@ from graphloom.llm.chunks import ChunkCodes
 from graphloom.llm.common import arrow, rows, texts_of
 
 
+#: Bits of a word of the bitmap. Integers are not limited to a machine word here, and two levels cost fewer steps than three.
+WORD = 256
+BIT = [1 << i for i in range(WORD)]
+
+
 class RankQueue:
-    """Positions by merge rank; the lowest rank that holds any is found by find-first-set over three levels of 64-bit words.
+    """Positions by merge rank; the lowest rank that holds any is found by find-first-set in a top word, then in a word below it.
 
-    Each rank's bucket is a small heap, so equal ranks come out from left to right.
+    Each rank's bucket is a small heap, so equal ranks come out from left to right. ``top`` tells whether anything is held.
     """
 
     def __init__(self, n_ranks: int):
-        self.low = [0] * (n_ranks // 64 + 1)
-        self.mid = [0] * (n_ranks // 4096 + 1)
+        self.low = [0] * (n_ranks // WORD + 1)
         self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
@@ -31,36 +35,34 @@ class RankQueue:
         bucket = self.buckets.get(rank)
         if bucket is None:
             self.buckets[rank] = [position]
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-            self.top |= 1 << (rank >> 12)
+            high = rank >> 8
+            self.low[high] |= BIT[rank & 255]
+            self.top |= 1 << high
         else:
             heappush(bucket, position)
 
     def pop(self) -> tuple[int, int]:
-        """The leftmost position of the lowest rank; the queue must hold something."""
-        top = (self.top & -self.top).bit_length() - 1
-        word = self.mid[top]
-        mid = (top << 6) + (word & -word).bit_length() - 1
-        word = self.low[mid]
-        rank = (mid << 6) + (word & -word).bit_length() - 1
+        """The lowest rank and its leftmost position; the queue must hold something."""
+        top = self.top
+        high = (top & -top).bit_length() - 1
+        word = self.low[high]
+        rank = (high << 8) + (word & -word).bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[mid] &= ~(1 << (rank & 63))
-            if not self.low[mid]:
-                self.mid[top] &= ~(1 << (mid & 63))
-                if not self.mid[top]:
-                    self.top &= ~(1 << top)
-        return rank, position
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        del self.buckets[rank]
+        word &= word - 1
+        self.low[high] = word
+        if not word:
+            self.top = top & (top - 1)
+        return rank, bucket[0]
 
 
 class ByteBPE:
     """Encoder and decoder for a table of token bytes to rank, without special tokens.
 
-    A text splits by ``pattern``; each match is encoded by itself. Ids equal ranks. ``encode`` accepts any string:
-    empty gives no ids. Work per match is O(n log n) in its bytes, however long.
+    A text splits by ``pattern``; each match is encoded by itself. Ids equal ranks. ``encode_many`` accepts any strings:
+    an empty one gives no ids. Work per match is O(n log n) in its bytes, however long.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
@@ -74,63 +76,71 @@ class ByteBPE:
         self.tokens: list[bytes] = [b""] * size
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        self.single = [ranks.get(bytes([x]), -1) for x in range(256)]
+        self.double = [ranks.get(bytes([x, y]), -1) for x in range(256) for y in range(256)]
         self.pieces: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one match."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, ranks, longest, queue = len(piece), self.ranks, self.longest, self.queue
+        n, rank_of, longest, double = len(piece), self.ranks.get, self.longest, self.double
+        queue = self.queue
+        push, pop = queue.push, queue.pop
+        ids = [self.single[x] for x in piece]
         after = list(range(1, n + 1))  # start of the next token
         before = list(range(-1, n - 1))
-        due = [-1] * n  # the rank at which the token at a position merges with the next one; queue entries that differ are stale
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2], -1)
+        # The rank at which the token at a position merges with the next one. Queue entries that differ are stale.
+        due = [double[x << 8 | y] for x, y in zip(piece, piece[1:])]  # noqa: B905
+        due.append(-1)
+        for i, rank in enumerate(due):
             if rank >= 0:
-                due[i] = rank
-                queue.push(rank, i)
+                push(rank, i)
         while queue.top:
-            rank, i = queue.pop()
+            rank, i = pop()
             if due[i] != rank:
                 continue
             gone = after[i]
             end = after[gone]
             after[i] = end
+            ids[i] = rank
             due[gone] = -1
             if end < n:
                 before[end] = i
-            for at in (i, before[i]):
-                if at < 0:
-                    continue
-                follows = after[at]
-                if follows >= n:
-                    due[at] = -1
-                    continue
-                stop = after[follows]
-                new = ranks.get(piece[at:stop], -1) if stop - at <= longest else -1
-                due[at] = new
+                stop = after[end]
+                new = rank_of(piece[i:stop], -1) if stop - i <= longest else -1
+                due[i] = new
                 if new >= 0:
-                    queue.push(new, at)
-        ids, i = [], 0
+                    push(new, i)
+            else:
+                due[i] = -1
+            left = before[i]
+            if left >= 0:
+                new = rank_of(piece[left:end], -1) if end - left <= longest else -1
+                due[left] = new
+                if new >= 0:
+                    push(new, left)
+        out, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i : after[i]]])
+            out.append(ids[i])
             i = after[i]
-        return ids
+        return out
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text, matches seen before looked up."""
-        pieces, out = self.pieces, []
+        """Packed ids of each text. Matches seen before are looked up, in a table of two generations that bounds memory."""
+        out = []
         for text in texts:
             codes = []
             for match in self.find(text):
-                code = pieces.get(match)
+                code = self.pieces.get(match)
                 if code is None:
-                    code = array("I", self.merge(match.encode())).tobytes()
+                    code = self.earlier.get(match) or array("I", self.merge(match.encode())).tobytes()
                     if len(match) <= 64:
-                        if len(pieces) >= 300_000:
-                            pieces.clear()
-                        pieces[match] = code
+                        if len(self.pieces) >= 400_000:
+                            self.earlier, self.pieces = self.pieces, {}
+                        self.pieces[match] = code
                 codes.append(code)
             out.append(b"".join(codes))
         return out
@@ -145,7 +155,7 @@ def load(path: str, pattern: str) -> tuple[ByteBPE, ChunkCodes]:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     bpe = ByteBPE(ranks, pattern)
-    return bpe, ChunkCodes(bpe.encode_many, limit=400_000)
+    return bpe, ChunkCodes(bpe.encode_many, limit=250_000)
 
 
 FIELDS = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}

@@ -17,14 +17,16 @@ INNER_SPACE = re.compile(r"\s (?=\s|\Z)")
 
 
 class ChunkCodes(dict):
-    """Codes by chunk (without its leading space), filled by ``encode_many`` and emptied when it holds ``limit`` entries.
+    """Codes by chunk (without its leading space), filled by ``encode_many``.
 
-    The limit bounds memory only: a forgotten chunk is encoded again.
+    At ``limit`` entries the table becomes the earlier generation and a new one begins; a chunk met again moves over, one that
+    both have forgotten is encoded again. So memory is bounded and codes don't depend on the limit.
     """
 
     def __init__(self, encode_many: Callable[[list[str]], list], specials: tuple[str, ...] = (), limit: int = 500_000):
         super().__init__()
         self.encode_many, self.specials, self.limit = encode_many, specials, limit
+        self.earlier: dict = {}
 
     def cut(self, text: str) -> list[str] | None:
         """The chunks of a text, or None if it must be encoded whole."""
@@ -33,14 +35,21 @@ class ChunkCodes(dict):
         return text.split(" ")
 
     def learn(self, chunks) -> None:
+        """Afterwards the table has all of ``chunks``."""
         missing = [c for c in chunks if c not in self]
-        if not missing:
-            return
         if len(self) + len(missing) > self.limit:
+            self.earlier = dict(self)
             self.clear()
-            missing = list(set(chunks))
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
+            missing = list(chunks)
+        earlier, new = self.earlier, []
+        for c in missing:
+            code = earlier.get(c)
+            if code is None:
+                new.append(c)
+            else:
+                self[c] = code
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
             self.update(zip(part, self.encode_many([" " + c for c in part]), strict=True))
 
     def encode(self, text: str) -> bytes:

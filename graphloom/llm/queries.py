@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from graphloom.llm.byte_bpe import op2_byte_bpe
+from graphloom.llm.digest import op10_digest
 from graphloom.llm.packing import op3_best_fit_packing
+from graphloom.llm.simhash import op5_simhash
 from graphloom.llm.token_counts import op4_token_counts
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_counts": op4_token_counts,
+    "op5_simhash": op5_simhash,
+    "op10_digest": op10_digest,
 }
 
 SQL: dict[str, str] = {}
