@@ -225,5 +225,24 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, shard_rows
     return found.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Bytes of doc_ids of removed documents up to which they are broadcast; beyond, the anti-join shuffles both sides.
+BROADCAST_BYTES = 16 << 20
+
+
+def keep_one(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of ``docs`` less all documents of a near-duplicate group but the one with the smallest doc_id.
+
+    Of several rows with one doc_id one stays; rows without a doc_id all stay, as nothing tells them apart. Columns are as they were."""
+    found = written(near_duplicates(docs, words, radius, id_col=id_col, text_col=text_col))
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    if 8 * gone.count() <= broadcast_bytes:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, id_col, "left_anti")
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
+    if again.head(1):
+        kept = kept.join(again, id_col, "left_anti").unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col]))
+    return kept.select(docs.columns)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

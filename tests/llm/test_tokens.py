@@ -64,3 +64,22 @@ def test_empty_table(spark, docs_edge):
     none = docs_edge.limit(0)
     assert byte_bpe.round_trip(none, MULTI, P.PATTERN).count() == 0
     assert token_counts.count_tokens(none, FIFTY).count() == 0
+
+
+def test_rank_encoder_agrees_with_the_library_on_every_word_of_a_corpus():
+    import pyarrow.parquet as pq
+
+    words = set()
+    for text in pq.read_table("/root/testdata/sf0.1/documents.parquet").column("text").to_pylist():
+        words.update((text or "").split(" "))
+    words = sorted(words)
+    codes = library_tokens._packed(FIFTY)([" " + w for w in words])
+    lib = Tokenizer.from_file(FIFTY).encode_batch_fast([" " + w for w in words], add_special_tokens=False)
+    assert all(array("I", c).tolist() == e.ids for c, e in zip(codes, lib, strict=True)) and len(words) > 100_000
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.characters(min_codepoint=33, max_codepoint=255), min_size=1, max_size=30))
+def test_rank_encoder_agrees_on_any_plain_chunk(word):
+    lib = Tokenizer.from_file(FIFTY)
+    assert array("I", library_tokens._packed(FIFTY)([" " + word])[0]).tolist() == lib.encode(" " + word, add_special_tokens=False).ids
