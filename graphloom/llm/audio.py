@@ -1,8 +1,8 @@
 """Chroma audio fingerprints, and recordings aligned by them.
 
 A recording's spectra are folded to twelve pitch classes a frame; rectangle filters over the integral image of these
-frames give two bits each, sixteen of them one packed integer a frame. Two recordings are aligned at the offset that most equal integers
-vote for, and compared by the share of differing bits where they overlap there.
+frames give two bits each, sixteen of them one packed integer a frame. Two recordings are aligned at the offset that most equal pairs of
+neighbouring integers vote for (single ones meet by chance too often), and compared by the share of differing bits where they overlap there.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ LONGEST = max(f[3] for f in FILTERS)
 #: Log-ratios between a filter's two sides at which its two bits change.
 STEP = 0.05
 GRAY = np.array([0, 1, 3, 2])
-#: Equal integers that an offset needs, integers that must overlap, and the share of differing bits up to which recordings match.
-VOTES, OVERLAP, ERRORS = 2, 8, 0.25
+#: Equal pairs that an offset needs, integers that must overlap, and the share of differing bits up to which recordings match.
+VOTES, OVERLAP, ERRORS = 1, 8, 0.25
 
 
 def _folding() -> np.ndarray:
@@ -138,9 +138,11 @@ def classes(prints: DataFrame) -> DataFrame:
 def alignments(queries: DataFrame, table: DataFrame, votes: int = VOTES, overlap: int = OVERLAP, errors: float = ERRORS) -> DataFrame:
     """``query, match, offset, votes, bits, bit_errors``: pairs of different classes that match at their best offset.
 
-    Both have ``class_id, fp``. An integer that a class repeats votes for each of its places, as in the plain offset histogram. Offsets are counted
+    Both have ``class_id, fp``. A pair that a class repeats votes for each of its places, as in the plain offset histogram. Offsets are counted
     before and after the shuffle; the best has the most votes, then the smallest shift."""
-    places = lambda df, name: df.select(F.col("class_id").alias(name), F.posexplode("fp").alias(f"{name}_at", "value"))
+    fp = F.col("fp")
+    two = F.zip_with(F.slice(fp, 1, F.greatest(F.size(fp) - 1, F.lit(0))), F.slice(fp, 2, F.greatest(F.size(fp) - 1, F.lit(0))), lambda x, y: F.shiftleft(x.cast("long"), 32).bitwiseOR(y.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
+    places = lambda df, name: df.where(F.size("fp") > 1).select(F.col("class_id").alias(name), F.posexplode(two).alias(f"{name}_at", "value"))
     hits = places(queries, "query").join(places(table, "match"), "value").where("query != match")
     histogram = hits.groupBy("query", "match", (F.col("match_at") - F.col("query_at")).alias("offset")).agg(F.count("*").alias("votes"))
     best = histogram.where(F.col("votes") >= votes).groupBy("query", "match").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("best"))
