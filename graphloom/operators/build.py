@@ -63,8 +63,9 @@ def _named(df: DataFrame, *fields: str) -> DataFrame:
     return df
 
 
-X, FILE = (lambda f: F.col(f"x.{f}")), F.col("file_path")
-PLACE = (F.col("file_path"), F.col("pos"))
+def X(field: str) -> Column:  # noqa: N802
+    """A field of an exploded entry."""
+    return F.col(f"x.{field}")
 
 
 def or_else(c: Column, default) -> Column:
@@ -137,6 +138,7 @@ def build_graph(projects: DataFrame, files: DataFrame, libraries: DataFrame, ext
 
     Projects: ``project_id, name, description, file_path, main, aliases, base_url``; files: ``project_id, file_path, name, modifiedAt``; libraries: ``project_id,
     name, version, category, dependencyType``; extractions: ``schemas.EXTRACTIONS``."""
+    FILE, PLACE = F.col("file_path"), (F.col("file_path"), F.col("pos"))  # noqa: N806
     manifest = files.select("project_id", "file_path")
     comps = _named(exploded(extractions, "components"), "name")
     calls = hook_calls(extractions, projects, manifest)

@@ -147,10 +147,10 @@ def witnessed_solutions(passing: DataFrame) -> DataFrame:
 
 def sufficient(retrieved: DataFrame, solutions: DataFrame) -> DataFrame:
     """``retrieved`` (``task_id, files``) with the least witnessed solution that its files contain, null if none. Solutions are few a task."""
-    keyed = retrieved.withColumn("_row", F.monotonically_increasing_id())
-    fits = keyed.select("_row", "task_id", "files").join(solutions, "task_id").where(F.size(F.array_except("solution", "files")) == 0)
-    best = fits.groupBy("_row").agg(F.min_by("solution", F.struct(F.size("solution"), F.col("solution"))).alias("solution"))
-    return keyed.join(best, "_row", "left").drop("_row")
+    keyed = retrieved.withColumn("_files", F.array_sort("files"))
+    fits = keyed.select("task_id", "_files").distinct().join(solutions, "task_id").where(F.size(F.array_except("solution", "_files")) == 0)
+    best = fits.groupBy("task_id", "_files").agg(F.min_by("solution", F.struct(F.size("solution"), F.col("solution"))).alias("solution"))
+    return keyed.join(best, ["task_id", "_files"], "left").select(*retrieved.columns, "solution")
 
 
 def with_replays(published: DataFrame, replays: DataFrame, *keys: str) -> DataFrame:

@@ -87,12 +87,12 @@ def contexts(requests: DataFrame, projects: DataFrame, nodes: DataFrame) -> Data
 def longest_prefix(df: DataFrame, value: str, prefixes: DataFrame, boundary: str = "/") -> DataFrame:
     """``df`` with the ``target`` of the longest prefix that equals the value or ends at a boundary in it; null where none does.
 
-    Each value is cut at its boundaries and the pieces are joined by equality, so no row meets every prefix. Prefixes: ``prefix, target``."""
-    keyed = df.withColumn("_row", F.monotonically_increasing_id())
+    Each different value is cut at its boundaries and the pieces are joined by equality, so no row meets every prefix. Prefixes: ``prefix, target``."""
     parts = F.split(F.col(value), boundary)
-    heads = keyed.select("_row", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), boundary))).alias("prefix"))
-    best = heads.join(prefixes, "prefix").groupBy("_row").agg(F.max_by(F.struct("prefix", "target"), F.length("prefix")).alias("_best"))
-    return keyed.join(best, "_row", "left").select(*df.columns, F.col("_best.prefix").alias("prefix"), F.col("_best.target").alias("target"))
+    heads = df.select(value).where(F.col(value).isNotNull()).distinct()
+    heads = heads.select(value, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), boundary))).alias("prefix"))
+    best = heads.join(prefixes, "prefix").groupBy(value).agg(F.max_by(F.struct("prefix", "target"), F.length("prefix")).alias("_best"))
+    return df.join(best, value, "left").select(*df.columns, F.col("_best.prefix").alias("prefix"), F.col("_best.target").alias("target"))
 
 
 def category(df: DataFrame, name: str, exact: dict[str, str], prefixes: dict[str, str], other: str = "other") -> Column:
@@ -172,17 +172,19 @@ def known_routes(asked: DataFrame, routes: DataFrame) -> DataFrame:
     return asked.join(table, ["project_id", "route"], "left").withColumn("known", F.coalesce("_known", F.lit(False))).drop("_known")
 
 
-def contained_specs(records: DataFrame, specs: DataFrame, text: str, spec: str, record_id: str, spec_id: str, shingle: int = 24) -> DataFrame:
+def contained_specs(records: DataFrame, specs: DataFrame, text: str, spec: str, record_id: str, spec_id: str, words: int = 3) -> DataFrame:
     """``record_id, spec_id`` where the record's text contains the spec.
 
-    A containing text holds the spec's first characters, so both sides meet on that window by equality and the containment is tested
-    only there. Specs shorter than the window are tested against every record as a small literal-sized set would be, in one nested loop."""
-    asked = specs.select(F.col(spec_id).alias("_sid"), F.col(spec).alias("_spec")).where("_spec is not null and _spec != ''")
+    Words inside a spec are whole words of any text that contains it. So specs of enough words meet texts on the run of ``words`` after their first word,
+    by equality, and containment is tested on those pairs only. The few shorter specs are tested against every text."""
+    run = lambda tokens, at: F.xxhash64(*[F.get(tokens, at + i) for i in range(words)])
+    asked = specs.select(F.col(spec_id).alias("_sid"), F.col(spec).alias("_spec"), F.split(F.trim(F.col(spec)), r"\s+").alias("_t")).where("_spec is not null and _spec != ''")
     rows = records.select(F.col(record_id).alias("_rid"), F.col(text).alias("_text")).where("_text is not null")
-    long = asked.where(F.length("_spec") >= shingle).withColumn("_head", F.xxhash64(F.substring("_spec", 1, shingle)))
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") - shingle + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(F.col("_text"), i, F.lit(shingle))))
-    heads = rows.select("_rid", F.explode(F.array_distinct(windows)).alias("_head")).join(long.select("_head").distinct(), "_head", "left_semi")
-    pairs = heads.join(long.select("_head", "_sid"), "_head").select("_rid", "_sid").distinct()
-    hits = pairs.join(rows, "_rid").join(long.drop("_head"), "_sid").where(F.contains("_text", "_spec")).select("_rid", "_sid")
-    short = rows.join(asked.where(F.length("_spec") < shingle), F.contains("_text", "_spec")).select("_rid", "_sid")
+    long = asked.where(F.size("_t") >= words + 2).withColumn("_key", run(F.col("_t"), F.lit(1)))
+    tokens = rows.select("_rid", F.split("_text", r"\s+").alias("_t")).where(F.size("_t") >= words + 2)
+    keys = F.transform(F.sequence(F.lit(0), F.size("_t") - words), lambda i: run(F.col("_t"), i))
+    heads = tokens.select("_rid", F.explode(F.array_distinct(keys)).alias("_key")).join(long.select("_key").distinct(), "_key", "left_semi")
+    pairs = heads.join(long.select("_key", "_sid"), "_key").select("_rid", "_sid").distinct()
+    hits = pairs.join(rows, "_rid").join(long.select("_sid", "_spec"), "_sid").where(F.contains("_text", "_spec")).select("_rid", "_sid")
+    short = rows.join(asked.where(F.size("_t") < words + 2), F.contains("_text", "_spec")).select("_rid", "_sid")
     return hits.unionByName(short).select(F.col("_rid").alias(record_id), F.col("_sid").alias(spec_id))

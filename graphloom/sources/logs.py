@@ -78,7 +78,7 @@ def table_after(text: Column, anchor: str) -> Column:
     rest = F.slice(lines, F.greatest(start, F.lit(1)), F.size(lines))
     end = F.array_position(F.transform(rest, lambda x: F.trim(x).startswith("|")), F.lit(False)).cast("int")
     rows = F.slice(rest, 1, F.when(end > 0, end - 1).otherwise(F.size(rest)))
-    cells = lambda r: F.transform(F.split(F.regexp_replace(F.trim(r), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = lambda r: F.transform(F.split(F.regexp_replace(F.trim(r), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     return F.when((start > 0) & F.contains(text, F.lit(anchor)), F.transform(F.slice(rows, 3, F.greatest(F.size(rows) - 2, F.lit(0))), cells))
 
 
