@@ -51,7 +51,8 @@ def group_ids(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_co
 
     Only documents whose digest occurs twice are read again and send bytes; equal ones merge before the shuffle. Null and empty
     texts are one group, repeated rows stay, an empty table gives an empty one."""
-    copied = found.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
+    # Written, so that the joins below deal both sides anew and Spark can split the partition of a very common digest.
+    copied = written(found.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"))
     ids = found.join(copied, "fingerprint").select("doc_id")
     if 8 * ids.count() <= broadcast_bytes:
         ids = F.broadcast(ids)
