@@ -2,30 +2,23 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from graphloom.sources.store import written  # noqa: F401
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one is set only where the session names none (tests)."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="graphloom-checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+_tables: dict = {}
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, readable after any executor is lost."""
-    spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), f"graphloom-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(key, make):
+    """A worker process's table under ``key``, made once. A worker serves one operator after another, so a new operator's table takes
+    the place of those that others left behind."""
+    if key not in _tables:
+        for other in [k for k in _tables if k[0] != key[0]]:
+            del _tables[other]
+        _tables[key] = make()
+    return _tables[key]
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm.common import arrow, rows, texts_of
+from graphloom.llm.common import arrow, rows, table, texts_of
 
 FEATURES = 1 << 18
 #: Labelled documents that training reads at most, on average: they are chosen by a hash of their id.
@@ -42,34 +42,45 @@ def _id(name: str) -> int:
 
 
 class Words(dict):
-    """Feature ids and shape by word, kept for the words met last."""
+    """Feature id and shape by word, and feature ids by shape. At ``limit`` words the table becomes the earlier generation, from which words
+    met again move over; shapes are few, and begin anew at the same limit."""
 
-    limit = 200_000
+    limit = 100_000
 
-    def __missing__(self, word: str) -> tuple[tuple[int, ...], str]:
+    def __init__(self):
+        super().__init__()
+        self.earlier: dict = {}
+        self.shapes: dict[str, list[int]] = {}
+
+    def __missing__(self, word: str) -> tuple[int, str]:
+        found = self.earlier.get(word) or (_id("w" + word.lower()[:64]), shape(word)[:64])
         if len(self) >= self.limit:
+            self.earlier = dict(self)
             self.clear()
-        form = shape(word)
-        grams = {f"s{form[i : i + n]}" for n in (1, 2, 3, 4) for i in range(len(form) - n + 1)}
-        found = self[word] = ((_id("w" + word.lower()[:64]), _id("f" + form[:32]), *map(_id, sorted(grams))), form[:16])
+        self[word] = found
         return found
 
+    def of_shape(self, form: str) -> list[int]:
+        ids = self.shapes.get(form)
+        if ids is None:
+            if len(self.shapes) >= self.limit:
+                self.shapes.clear()
+            ids = self.shapes[form] = sorted({_id("f" + form), *(_id(f"s{form[i : i + n]}") for n in (1, 2, 3, 4) for i in range(len(form) - n + 1))})
+        return ids
+
 
-@lru_cache(maxsize=1)
 def words() -> Words:
-    return Words()
+    return table(("quality",), Words)
 
 
 def indicators(text: str) -> np.ndarray:
-    """Ids of the features that a text has, sorted; the empty text has none."""
+    """Ids of the features that a text has, sorted; the empty text has none but that of its length."""
     parts = text.split()
     known = words()
-    found = {}
-    for word in set(parts):
-        found[word] = known[word]
-    ids: set[int] = set()
-    for own, _ in found.values():
-        ids.update(own)
+    found = {word: known[word] for word in set(parts)}
+    ids = {own for own, _ in found.values()}
+    for form in {form for _, form in found.values()}:
+        ids.update(known.of_shape(form))
     if len(parts) > 1:
         repeats = sum(map(str.__eq__, parts, parts[1:]))
         share = repeats / len(parts)
@@ -77,11 +88,9 @@ def indicators(text: str) -> np.ndarray:
         ids.update(_id(f"repeat {k}") for k in range(level + 1))
         distinct = len(found) / len(parts)
         ids.add(_id(f"distinct {int(distinct * 10)} {min(len(parts).bit_length(), 10)}"))
-        forms = [found[w][1] for w in parts]
+        forms = [found[w][1][:16] for w in parts]
         ids.update(_id(f"p{a} {b}") for a, b in set(zip(forms, forms[1:])))  # noqa: B905
-        counts: dict[str, int] = {}
-        for form in forms:
-            counts[form] = counts.get(form, 0) + 1
+        counts = Counter(forms)
         ids.update(_id(f"share {form} {int(np.log2(n / len(parts) * 64))}") for form, n in counts.items() if n * 64 >= len(parts))
     ids.add(_id(f"length {min(len(parts).bit_length(), 16)}"))
     return np.fromiter(sorted(ids), np.int32, len(ids))
