@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.llm.common import arrow, rows, texts_of, written
 from graphloom.llm.components import components
+from graphloom.llm.similar import similar_groups
 
 BITS = 64
 #: Rows up to which a vantage-point node is compared directly.
@@ -229,15 +230,22 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, shard_rows
 BROADCAST_BYTES = 16 << 20
 
 
-def keep_one(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def without(docs: DataFrame, gone: DataFrame, id_col: str, broadcast_bytes: int) -> DataFrame:
+    """``docs`` less the rows whose id is in ``gone`` (stored: ``id_col``). Rows without an id stay."""
+    return docs.join(F.broadcast(gone) if 8 * gone.count() <= broadcast_bytes else gone, id_col, "left_anti")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of ``docs`` less all documents of a near-duplicate group but the one with the smallest doc_id.
 
-    Of several rows with one doc_id one stays; rows without a doc_id all stay, as nothing tells them apart. Columns are as they were."""
-    found = written(near_duplicates(docs, words, radius, id_col=id_col, text_col=text_col))
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    if 8 * gone.count() <= broadcast_bytes:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, id_col, "left_anti")
+    Groups are those of fingerprints within 4 bits, then, of the documents that these leave, those that share ``similarity`` of their word
+    shingles (``similar_groups``). Of several rows with one doc_id one stays; rows without a doc_id all stay, as nothing tells them apart.
+    Columns are as they were."""
+    found = written(near_duplicates(docs, id_col=id_col, text_col=text_col))
+    gone = written(found.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct())
+    kept = without(docs, gone, id_col, broadcast_bytes)
+    near = written(similar_groups(kept, words, similarity, id_col, text_col).select(F.col("doc_id").alias(id_col)))
+    kept = without(kept, near, id_col, broadcast_bytes)
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
     if again.head(1):
         kept = kept.join(again, id_col, "left_anti").unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col]))
