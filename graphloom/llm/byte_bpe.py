@@ -5,14 +5,13 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from functools import lru_cache
 from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.chunks import ChunkCodes
-from graphloom.llm.common import arrow, rows, texts_of
+from graphloom.llm.common import arrow, rows, table, texts_of
 
 
 #: Bits of a word of the bitmap. Integers are not limited to a machine word here, and two levels cost fewer steps than three.
@@ -138,7 +137,7 @@ class ByteBPE:
                 if code is None:
                     code = self.earlier.get(match) or array("I", self.merge(match.encode())).tobytes()
                     if len(match) <= 64:
-                        if len(self.pieces) >= 400_000:
+                        if len(self.pieces) >= 700_000:
                             self.earlier, self.pieces = self.pieces, {}
                         self.pieces[match] = code
                 codes.append(code)
@@ -149,13 +148,16 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(maxsize=4)
 def load(path: str, pattern: str) -> tuple[ByteBPE, ChunkCodes]:
     """The encoder of a rank file, with its table of chunk codes; one per worker process."""
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    bpe = ByteBPE(ranks, pattern)
-    return bpe, ChunkCodes(bpe.encode_many, limit=250_000)
+
+    def make():
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        bpe = ByteBPE(ranks, pattern)
+        return bpe, ChunkCodes(bpe.encode_many, limit=350_000)
+
+    return table(("byte_bpe", path, pattern), make)
 
 
 FIELDS = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
@@ -168,7 +170,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     def run(batches):
         _, codes = load(ranks_path, pattern)
         for doc_ids, texts in rows(batches, "doc_id", "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([array("I", codes.encode(t)).tolist() for t in texts], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([array("I", x).tolist() for x in codes.encode_all(texts)], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -194,8 +196,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         bpe, codes = load(ranks_path, pattern)
         for doc_ids, texts in rows(batches, "doc_id", "text"):
             n, digest, back = [], [], []
-            for text in texts:
-                packed = codes.encode(text)
+            for packed in codes.encode_all(texts):
                 ids = array("I", packed)
                 n.append(len(ids))
                 digest.append(hashlib.sha256(packed).hexdigest())

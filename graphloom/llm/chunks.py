@@ -14,18 +14,21 @@ from collections.abc import Callable
 
 #: A space inside a longer white-space run, where cutting would change the run's token.
 INNER_SPACE = re.compile(r"\s (?=\s|\Z)")
+#: Characters of texts whose chunks are looked up together.
+BLOCK = 1 << 22
 
 
 class ChunkCodes(dict):
-    """Codes by chunk (without its leading space), filled by ``encode_many``.
+    """Codes by chunk (without its leading space), filled by ``encode_many``; texts that can't be cut go to ``encode_whole``.
 
     At ``limit`` entries the table becomes the earlier generation and a new one begins; a chunk met again moves over, one that
     both have forgotten is encoded again. So memory is bounded and codes don't depend on the limit.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list], specials: tuple[str, ...] = (), limit: int = 500_000):
+    def __init__(self, encode_many: Callable[[list[str]], list], specials: tuple[str, ...] = (), limit: int = 500_000, encode_whole: Callable | None = None):
         super().__init__()
         self.encode_many, self.specials, self.limit = encode_many, specials, limit
+        self.encode_whole = encode_whole or (lambda text: encode_many([text])[0])
         self.earlier: dict = {}
 
     def cut(self, text: str) -> list[str] | None:
@@ -34,33 +37,47 @@ class ChunkCodes(dict):
             return None
         return text.split(" ")
 
-    def learn(self, chunks) -> None:
+    def learn(self, chunks: set[str]) -> None:
         """Afterwards the table has all of ``chunks``."""
-        missing = [c for c in chunks if c not in self]
+        missing = chunks - self.keys()
         if len(self) + len(missing) > self.limit:
             self.earlier = dict(self)
             self.clear()
-            missing = list(chunks)
-        earlier, new = self.earlier, []
-        for c in missing:
-            code = earlier.get(c)
-            if code is None:
-                new.append(c)
-            else:
-                self[c] = code
+            missing = chunks
+        old = missing & self.earlier.keys() if self.earlier else ()
+        for c in old:
+            self[c] = self.earlier[c]
+        new = list(missing.difference(old))
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             self.update(zip(part, self.encode_many([" " + c for c in part]), strict=True))
 
+    def groups(self, texts: list[str]):
+        """``(text, chunks, first)`` in groups of about BLOCK characters, whose chunks are in the table when a group comes; chunks of a text that is
+        to be encoded whole are None. The first chunk is by itself, as no space precedes it."""
+        at = 0
+        while at < len(texts):
+            group, size, wanted = [], 0, set()
+            while at < len(texts) and (not group or size < BLOCK):
+                chunks = self.cut(texts[at])
+                first = chunks.pop(0) if chunks else ""
+                group.append((texts[at], chunks, first))
+                wanted.update(chunks or ())
+                size += len(texts[at])
+                at += 1
+            self.learn(wanted)
+            yield group
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text; codes must be bytes."""
+        out, code = [], self.__getitem__
+        for group in self.groups(texts):
+            for text, chunks, first in group:
+                if chunks is None:
+                    out.append(self.encode_whole(text))
+                else:
+                    out.append((self.encode_many([first])[0] if first else b"") + b"".join(map(code, chunks)))
+        return out
+
     def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of a text; codes must be bytes."""
-        chunks = self.cut(text)
-        if chunks is None:
-            return self.encode_many([text])[0]
-        first = self.encode_many([chunks[0]])[0] if chunks[0] else b""
-        rest = chunks[1:]
-        try:
-            return first + b"".join(map(self.__getitem__, rest))
-        except KeyError:
-            self.learn(set(rest))
-            return first + b"".join(map(self.__getitem__, rest))
+        return self.encode_all([text])[0]

@@ -1,8 +1,8 @@
 """Ids and token counts as the ``tokenizers`` library gives them for a byte-level BPE file, by chunks looked up once encoded.
 
-New chunks of plain characters (ASCII and Latin-1 letters, on whose classes all pattern engines agree) are encoded by
-``tiktoken`` with ranks taken from the file's own vocabulary, a third of the library's time; this needs every merge's result to be
-numbered in merge order, which is checked. All other chunks, and every text that cannot be cut, go to the library itself.
+Plain characters (ASCII and Latin-1 letters, on whose classes all pattern engines agree) are encoded by ``tiktoken`` with ranks taken from the
+file's own vocabulary, a third of the library's time; this needs every merge's result to be numbered in merge order, which is checked. All other
+chunks, every text that cannot be cut, and every special string go to the library itself.
 """
 
 from __future__ import annotations
@@ -16,12 +16,15 @@ from functools import lru_cache
 import numpy as np
 
 from graphloom.llm.chunks import ChunkCodes
+from graphloom.llm.common import table
 
-#: A chunk's leading space and plain characters.
-PLAIN = re.compile(r" [!-~À-ÖØ-öø-ÿ]+")
+#: Plain texts; a chunk's leading space and plain characters, line feeds only inside; and many such chunks, a tab after each.
+PLAIN_TEXT = re.compile(r"[\n -~À-ÖØ-öø-ÿ]*+")
+PLAIN = re.compile(r" [!-~À-ÖØ-öø-ÿ]++(?:\n[!-~À-ÖØ-öø-ÿ]++)*+")
+ALL_PLAIN = re.compile(r"(?: [!-~À-ÖØ-öø-ÿ]++(?:\n[!-~À-ÖØ-öø-ÿ]++)*+\t)++")
 #: The split pattern built into byte-level pre-tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Chunks that are encoded as one text, divided by line feeds.
+#: Chunks that are encoded as one text, divided by tabs.
 TOGETHER = 1024
 
 
@@ -61,26 +64,32 @@ def _ranked(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _whole(path: str):
+    """A function from a text to its packed ids, special strings and all, by the library alone."""
+    t = tokenizer(path)
+    return lambda text: array("I", t.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+
 def _packed(path: str):
-    """A function from texts to packed ids."""
-    t, fast = tokenizer(path), _ranked(path)
-    feed = fast.encode_ordinary("\n") if fast else []
+    """A function from chunks, in which no special string is, to packed ids."""
+    alone, fast = _whole(path), _ranked(path)
+    tab = fast.encode_ordinary("\t") if fast else []
 
     def run(texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
-        plain = []
-        for i, x in enumerate(texts):
-            if len(feed) == 1 and PLAIN.fullmatch(x):
-                plain.append(i)
-            else:
-                out[i] = array("I", t.encode_batch_fast([x], add_special_tokens=False)[0].ids).tobytes()
+        if len(tab) == 1 and len(texts) > 1 and ALL_PLAIN.fullmatch("\t".join(texts) + "\t"):
+            plain = list(range(len(texts)))
+        else:
+            plain = [i for i, x in enumerate(texts) if len(tab) == 1 and PLAIN.fullmatch(x)]
+            for i in set(range(len(texts))).difference(plain):
+                out[i] = alone(texts[i])
         for at in range(0, len(plain), TOGETHER):
-            # A line feed after each chunk is a token of its own, as no chunk here has white space after its first character.
+            # A tab after each chunk is a token of its own, as no chunk here begins or ends with more white space than its first space.
             part = plain[at : at + TOGETHER]
-            ids = np.array(fast.encode_ordinary("".join([texts[i] + "\n" for i in part])), dtype="<u4")
-            stops = 4 * np.flatnonzero(ids == feed[0])
+            ids = np.array(fast.encode_ordinary("".join([texts[i] + "\t" for i in part])), dtype="<u4")
+            stops = 4 * np.flatnonzero(ids == tab[0])
             if len(stops) != len(part):
-                raise ValueError("line feeds did not divide the chunks")
+                raise ValueError("tabs did not divide the chunks")
             raw, start = ids.tobytes(), 0
             for i, stop in zip(part, stops.tolist(), strict=True):
                 out[i] = raw[start:stop]
@@ -90,14 +99,28 @@ def _packed(path: str):
     return run
 
 
-@lru_cache(maxsize=4)
+def document_ids(path: str):
+    """A function from texts to packed ids: plain texts in one go by ranks, others by chunks."""
+    fast, specials, codes = _ranked(path), _specials(path), chunk_ids(path)
+
+    def one(text: str) -> bytes:
+        if fast and PLAIN_TEXT.fullmatch(text) and not any(s in text for s in specials):
+            return array("I", fast.encode_ordinary(text)).tobytes()
+        return codes.encode(text)
+
+    return lambda texts: list(map(one, texts))
+
+
 def chunk_ids(path: str) -> ChunkCodes:
     """Packed ids by chunk; one table per worker process."""
-    return ChunkCodes(_packed(path), _specials(path), limit=600_000)
+    return table(("chunk_ids", path), lambda: ChunkCodes(_packed(path), _specials(path), 400_000, _whole(path)))
 
 
-@lru_cache(maxsize=4)
 def chunk_counts(path: str) -> ChunkCodes:
     """Number of tokens by chunk."""
-    packed = _packed(path)
-    return ChunkCodes(lambda texts: [len(x) // 4 for x in packed(texts)], _specials(path), limit=600_000)
+
+    def make():
+        packed, whole = _packed(path), _whole(path)
+        return ChunkCodes(lambda texts: [len(x) // 4 for x in packed(texts)], _specials(path), 400_000, lambda text: len(whole(text)) // 4)
+
+    return table(("chunk_counts", path), make)

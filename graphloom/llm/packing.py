@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from graphloom.llm.common import arrow, rows, texts_of, written
-from graphloom.llm.library_tokens import chunk_ids
+from graphloom.llm.library_tokens import document_ids
 
 #: Shares into which ranks within a length are dealt, so that no length meets in one task.
 SALTS = 64
@@ -130,11 +130,11 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_i
     after a first one that takes the remainder."""
 
     def run(batches):
-        codes, end = chunk_ids(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = document_ids(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         for doc_ids, texts in rows(batches, "doc_id", "text"):
             out: list[tuple] = []
-            for doc_id, text in zip(doc_ids, texts, strict=True):
-                ids = codes.encode(text) + end
+            for doc_id, packed in zip(doc_ids, encode(texts), strict=True):
+                ids = packed + end
                 n = len(ids) // 4
                 at, piece, stop = 0, 0, n % capacity or min(n, capacity)
                 while at < n:

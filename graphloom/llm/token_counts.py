@@ -26,18 +26,14 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     def run(batches):
         counts = chunk_counts(tokenizer_path)
         for doc_ids, texts in rows(batches, "doc_id", "text"):
-            frequencies = []  # per document: the first chunk, which has no space before it, and how often each other occurs
-            for text in texts:
-                chunks = counts.cut(text)
-                frequencies.append(None if chunks is None else (chunks[0], Counter(chunks[1:])))
             n = []
-            for text, one in zip(texts, frequencies, strict=True):
-                if one is None:
-                    n.append(counts.encode_many([text])[0])
-                    continue
-                counts.learn(one[1])
-                first = counts.encode_many([one[0]])[0] if one[0] else 0
-                n.append(first + sum(times * counts[c] for c, times in one[1].items()))
+            for group in counts.groups(texts):
+                for text, chunks, first in group:
+                    if chunks is None:
+                        n.append(counts.encode_whole(text))
+                    else:
+                        begin = counts.encode_many([first])[0] if first else 0
+                        n.append(begin + sum(times * counts[c] for c, times in Counter(chunks).items()))
             yield arrow(FIELDS, (doc_ids, [len(t.encode()) for t in texts], n, [x > limit for x in n]))
 
     return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

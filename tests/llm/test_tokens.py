@@ -38,6 +38,12 @@ def test_long_pretokens(text, tik):
     assert not bpe.queue.top and not bpe.queue.buckets and not any(bpe.queue.low)
 
 
+@pytest.mark.parametrize("text", [" <|endoftext|>", "<|endoftext|>", " a<|endoftext|>b", "x <|endoftext|> y", "<|endoftext|", " "])
+def test_special_strings(text):
+    want = Tokenizer.from_file(FIFTY).encode(text, add_special_tokens=False).ids
+    assert array("I", library_tokens.chunk_ids(FIFTY).encode(text)).tolist() == want
+
+
 def test_bounded_dictionary_forgets_without_changing_ids():
     bpe, _ = byte_bpe.load(MULTI, P.PATTERN)
     small = byte_bpe.ChunkCodes(bpe.encode_many, limit=3)
@@ -78,6 +84,13 @@ def test_rank_encoder_agrees_with_the_library_on_every_word_of_a_corpus():
     assert all(array("I", c).tolist() == e.ids for c, e in zip(codes, lib, strict=True)) and len(words) > 100_000
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([*"ab'sZ9.$éß", " ", "  ", "\n", "\n\n", " \n", "the", " the", "'ll", "<|endoftext|>"]), max_size=30).map("".join))
+def test_whole_plain_texts_agree(text):
+    want = Tokenizer.from_file(FIFTY).encode(text, add_special_tokens=False).ids
+    assert array("I", library_tokens.document_ids(FIFTY)([text])[0]).tolist() == want
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.characters(min_codepoint=33, max_codepoint=255), min_size=1, max_size=30))
 def test_rank_encoder_agrees_on_any_plain_chunk(word):
