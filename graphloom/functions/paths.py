@@ -76,8 +76,3 @@ def flattened(path: Column) -> Column:
     """A path as one file name."""
     return F.translate(path, "/\\", "__")
 
-
-def clean_path(path: Column) -> Column:
-    """A path as written in an answer: without quotes, bullets, backticks, a leading ``./`` or ``/``."""
-    bare = F.regexp_replace(F.trim(path), r"^[`'\"*\s]+|[`'\"*:\s]+$", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"^\./", ""), r"^/+", "")

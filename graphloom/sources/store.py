@@ -19,9 +19,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_paths: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables that this process has written to the shared folder; frames that read them are of no use then."""
+    n = 0
+    while _paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def written(df: DataFrame, *partitions: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, readable after any executor is lost."""
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"graphloom-{uuid.uuid4().hex}")
+    _paths.append(path)
     (df.write.partitionBy(*partitions) if partitions else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(df.columns)

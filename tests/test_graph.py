@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import schemas
-from graphloom.operators import annotations, build, context, graph, resolve, templates
+from graphloom.operators import annotations, build, context, graph, resolve, retrieval, templates
 from graphloom.sources import dump
 
 SMALL = r"""
@@ -177,3 +177,34 @@ def test_build(spark):
     assert {r.name: r.props["isRoot"] for r in nodes.where("label = 'Function_Component'").collect()} == {"App": "true", "Row": "false", "ProjectBoard": "false"}
     assert nodes.where("label = 'Custom_Hook'").count() == 2 and graph.duplicate_keys(nodes, list(schemas.NODE_KEY)).count() == 0
     assert {r.file_path for r in extractions.where(build.has_content(extractions)).collect()} == {r[1] for r in rows}
+
+
+@pytest.mark.parametrize("task_type", ["bug_fix", "feature_addition", "refactoring"])
+def test_whole_retrievals(spark, small, task_type):
+    corpus = spark.createDataFrame([("p", "src/App.tsx", "const App = 1")], "project_id string, path string, source string")
+    asked = spark.createDataFrame([(1, "p", "app"), (2, "p", "Row")], "request_id int, project_id string, requested string")
+    strict, found = retrieval.graph_contexts(small, corpus, asked, task_type, ["/nowhere"])
+    assert {r.requested: r.status for r in found.collect()} == {"app": "unresolved", "Row": "resolved"}
+    row = strict.first()
+    assert [a.name for a in row.assembly.anchors] == ["Row"] and not row.fallback and "const App = 1" in row.context
+    hard, found = retrieval.graph_contexts(small, corpus, asked, task_type, ["/nowhere"], hardened=True)
+    row = hard.first()
+    assert [a.name for a in row.assembly.anchors] == ["App", "Row"] and {r.status for r in found.collect()} == {"exact", "case_insensitive"}
+    if task_type == "feature_addition":
+        assert any("'/nowhere'" in n for n in row.assembly.kept_notes) and "Project routing table:" in row.assembly.kept_notes
+    if task_type == "refactoring":
+        assert any("(props: label, onClick)" in n for n in row.assembly.kept_notes)
+    lost, _ = retrieval.graph_contexts(small, corpus, spark.createDataFrame([(1, "p", "Zebra")], "request_id int, project_id string, requested string"), task_type, hardened=True)
+    row = lost.first()
+    assert row.fallback and [n.name for n in row.assembly.neighbours] == ["App", "Row"] and "project-wide overview" in row.context
+
+
+def test_budgets_and_recall(spark):
+    tasks = spark.createDataFrame([("P1",), ("P2",)], "task_id string")
+    runs = spark.createDataFrame([("P1", 5), ("P1", 5), ("P2", 7)], "task_id string, tokens bigint")
+    assert {r.task_id: r.budget for r in retrieval.with_budgets(tasks, retrieval.matched_budgets(runs)).collect()} == {"P1": 5, "P2": 7}
+    with pytest.raises(Exception, match="no budget"):
+        retrieval.with_budgets(tasks, retrieval.matched_budgets(runs.where("task_id = 'P1'"))).collect()
+    got = retrieval.recall(spark.createDataFrame([("P1", "bm25", ["a", "b"])], "task_id string, retriever string, files array<string>"), spark.createDataFrame([("P1", ["a", "c"])], "task_id string, targets array<string>"), "retriever").first()
+    assert (got.kept, got.wanted) == (1, 2)
+    assert retrieval.throttle({"requests": 100, "tokens": 10_000}, {"requests": 1, "tokens": 1000})["delay_s"] == pytest.approx(7.5)

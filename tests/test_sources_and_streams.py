@@ -82,6 +82,13 @@ def test_progress(spark):
     assert [tuple(r) for r in kv.collect()] == [("a", "2")] and progress.has_current_key(table.columns)
 
 
+def test_stored_tables(spark):
+    from graphloom.sources import store
+
+    df = store.written(spark.createDataFrame([(1, "a"), (2, "b")], "i int, k string"), "k")
+    assert df.columns == ["i", "k"] and df.count() == 2 and store.clear(spark) >= 1 and store.clear(spark) == 0
+
+
 def record(stage, tokens, at, file="f"):
     return json.dumps({"timestamp": at, "stage": stage, "prompt_id": "p", "file_path": file, "cache_hit": False, "attempts": 1, "usage": {"input_tokens": tokens, "output_tokens": 1}}) + "\n"
 
