@@ -221,7 +221,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, shard_rows
     distinct = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct, radius, shard_rows))
     classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that the join deals both sides anew and Spark can split the partition of a large component.
+    least = written(classes.groupBy("root").agg(F.min("least").alias("component_id")))
     ids = classes.join(least, "root").select("fp", "component_id")
     return found.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
