@@ -180,10 +180,10 @@ def assemble(rows: DataFrame, corpus: DataFrame, task_type: str, neighbour_props
         seen = seen.withColumn("propsPassed", empty("array<string>"))
     entry = F.struct("role", "name", "file_path", F.coalesce("props", empty(NAMED)).alias("props"), F.coalesce("state_variables", empty(NAMED)).alias("state_variables")).cast(NEIGHBOUR)
     near_lists = seen.groupBy("project_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "rank", (-passed).alias("passed"), "pos", entry.alias("e")))), lambda x: x["e"]).alias("neighbours"))
-    callers = seen.where("role = 'caller' and name is not null").groupBy("project_id", "_at").agg(F.sort_array(F.collect_list(F.struct((-passed).alias("passed_n"), F.col("pos"), F.col("name"), F.coalesce("propsPassed", empty("array<string>")).alias("passed")))).alias("callers"))
+    callers = seen.where("role = 'caller' and name is not null").groupBy("project_id", "_at").agg(F.sort_array(F.collect_list(F.struct((-passed).alias("passed_n"), F.col("pos"), F.col("name"), F.coalesce("propsPassed", empty("array<string>")).alias("passed")))).alias("_callers"))
     hook_column = {"bug_fix": "delegatedHooks", "feature_addition": "customHooks", "refactoring": "customHooks"}.get(task_type)
     noted = numbered.join(callers, ["project_id", "_at"], "left")
-    kept = F.array_compact(F.array(caller_note(F.col("componentName"), F.coalesce("callers", empty("array<struct<passed_n:int,pos:int,name:string,passed:array<string>>>"))))) if task_type == "refactoring" else empty("array<string>")
+    kept = F.array_compact(F.array(caller_note(F.col("componentName"), F.coalesce("_callers", empty("array<struct<passed_n:int,pos:int,name:string,passed:array<string>>>"))))) if task_type == "refactoring" else empty("array<string>")
     drop = context_notes(has("consumedContexts")) if task_type == "feature_addition" else F.array_compact(F.array(handler_note(F.col("componentName"), has("eventHandlers")))) if task_type in ("bug_fix", "refactoring") else empty("array<string>")
     in_order = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("_at", c.alias("v")))), lambda x: x["v"])
     tops = noted.groupBy("project_id").agg(in_order(anchor).alias("anchors"), F.flatten(in_order(kept)).alias("kept_notes"), F.flatten(in_order(drop)).alias("droppable_notes"))
