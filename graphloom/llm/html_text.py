@@ -32,6 +32,8 @@ HINTS = frozenset(
     " sidebar sidebars menu menus nav navbar navigation navigator breadcrumb breadcrumbs footer foot pager pagination toolbar complementary contentinfo"
     " comment comments commentlist disqus reply replies respond discussion share sharing social related recommended newsletter subscribe signup login search widget widgets skip masthead".split()
 )
+#: Those of them whose element is furniture whatever it holds. The others may also stand on a wrapper around the page ("has-sidebar").
+FIRM_HINTS = frozenset("comment comments commentlist disqus reply replies respond discussion related recommended".split())
 #: Words that do so only outside the article, where a heading may stand in such a block.
 OUTER_HINTS = frozenset("header head top side".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -39,20 +41,24 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 WINDOW, SURGE = 3, 86
 
 
-def _furniture(name: str, rest: str, inside: bool) -> bool:
+def _furniture(name: str, rest: str, inside: bool) -> str:
+    """Whether an element is furniture: ``firm``ly, ``loose``ly (by a word that wrappers bear too), or not (empty)."""
     if name in FURNITURE or name == "header" and not inside:
-        return True
-    if not rest or name in ("html", "body", "article", "main") and "comment" not in rest:
-        return False
+        return "firm"
+    if not rest or name in ("html", "body", "main"):
+        return ""
+    loose = ""
     for key, a, b, c in ATTRIBUTE.findall(rest):
         key, value = key.lower(), a or b or c
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return "firm"
         if key in ("class", "id", "role"):
             words = {w.lower() for w in WORD.findall(value)}
-            if words & HINTS or not inside and words & OUTER_HINTS:
-                return True
-    return False
+            if words & FIRM_HINTS:
+                return "firm"
+            if name != "article" and (words & HINTS or not inside and words & OUTER_HINTS):
+                loose = "loose"
+    return loose
 
 
 class Page:
@@ -76,6 +82,7 @@ class Page:
             self.lines.extend([("", 0, region)] * blank)
 
         starts = [a for a, _, _ in regions]
+        top = tags[max(regions, key=lambda r: tags[r[1]].end() - tags[r[0]].start())[0]].start() if regions else None
         while k < len(tags):
             tag = tags[k]
             if tag.start() > at:
@@ -99,7 +106,7 @@ class Page:
                         flush()
                     k, at = end + 1, tags[end].end()
                     continue
-            elif not tag["close"] and k in ends and _furniture(name, tag["rest"] or "", region > 0):
+            elif not tag["close"] and k in ends and self._skipped(_furniture(name, tag["rest"] or "", region > 0), tag.start(), tags[ends[k]].end(), len(html), top):
                 if name not in INLINE:
                     flush(WINDOW)
                 k, at = ends[k] + 1, tags[ends[k]].end()
@@ -133,21 +140,35 @@ class Page:
                     raw = name
         return ends
 
+    @staticmethod
+    def _skipped(kind: str, start: int, end: int, size: int, top: int | None) -> bool:
+        """Loose furniture is none if it holds the article or, where none is named, most of the page."""
+        return kind == "firm" or kind == "loose" and not (start < top < end if top is not None else 2 * (end - start) > size)
+
     @staticmethod
     def _regions(tags, ends: dict[int, int]) -> list[tuple[int, int, int]]:
-        """Outermost article elements (2), else main ones (1), as (first tag, last tag, kind)."""
-        found = []
+        """Outermost article elements (2), else main ones (1), as (first tag, last tag, kind), in no firm furniture, and at least half as long as
+        the longest of them."""
+        opened = sorted(ends.items())
+        firm, last = [], -1
+        for k, end in opened:
+            if k > last and _furniture(tags[k]["name"].lower(), tags[k]["rest"] or "", True) == "firm":
+                firm.append((k, end))
+                last = end
+        starts = [k for k, _ in firm]
         for kind, wanted in ((2, "article"), (1, "main")):
-            last = -1
-            for k, end in sorted(ends.items()):
-                tag = tags[k]
-                rest = (tag["rest"] or "").lower()
-                if k > last and (tag["name"].lower() == wanted or wanted == "main" and re.search(r"role\s*=\s*[\"']?main\b", rest)) and not _furniture("section", rest, True):
+            found, last = [], -1
+            for k, end in opened:
+                at = bisect_right(starts, k) - 1
+                named = tags[k]["name"].lower() == wanted or wanted == "main" and re.search(r"role\s*=\s*[\"']?main\b", tags[k]["rest"] or "", re.I)
+                if k > last and named and not (at >= 0 and k <= firm[at][1]):
                     found.append((k, end, kind))
                     last = end
             if found:
-                break
-        return found
+                size = lambda r: tags[r[1]].end() - tags[r[0]].start()
+                most = max(map(size, found))
+                return [r for r in found if 2 * size(r) >= most]
+        return []
 
 
 def main_lines(html: str) -> list[str]:

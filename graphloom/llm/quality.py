@@ -21,7 +21,7 @@ from graphloom.llm.common import arrow, rows, table, texts_of
 
 FEATURES = 1 << 18
 #: Labelled documents that training reads at most, on average: they are chosen by a hash of their id.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 THRESHOLD = 0.7
 RUN = re.compile(r"[^\W\d_]+|\d+|\s+|[\W_]")
 
@@ -211,9 +211,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
         for ids, given, texts in rows(batches, "doc_id", "label", "text"):
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "label": pa.array(given, pa.int32()), "ids": pa.array([indicators(t) for t in texts], pa.list_(pa.int32()))})
 
-    found = joined.mapInArrow(run, "doc_id long, label int, ids array<int>").toArrow().sort_by("doc_id")
-    vectors = [np.asarray(x, np.int32) for x in found.column("ids").to_pylist()]
-    return fit(vectors, found.column("label").to_numpy()) if vectors else neutral()
+    found = joined.mapInArrow(run, "doc_id long, label int, ids array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    if not found.num_rows:
+        return neutral()
+    ids = found.column("ids").combine_chunks()
+    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+    vectors = np.split(ids.flatten().to_numpy(), ids.offsets.to_numpy()[1:-1] - ids.offsets[0].as_py())
+    return fit(vectors, found.column("label").to_numpy())
 
 
 FIELDS = {"doc_id": pa.int64(), "score": pa.float64()}

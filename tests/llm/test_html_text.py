@@ -30,6 +30,15 @@ def test_without_a_named_element_the_distribution_decides():
     assert text(page) == f"Title {LONG.strip()} Short. {LONG.strip()}"
 
 
+def test_wrappers_may_bear_the_words_of_furniture():
+    page = f"""<body class="comments-open"><div class="layout has-sidebar"><div class="header-wrap"><article class="post"><p>{LONG}</p></article></div>
+    <div class="sidebar"><p>{LONG}side</p></div><section id="comments"><article><p>{LONG * 3}reply</p></article></section>
+    <div class="related"><article><p>{LONG}teaser</p></article></div><aside><article>{LONG}</article></aside></div></body>"""
+    assert text(page) == LONG.strip()
+    bare = f"<body><div class='page with-sidebar'><p>{LONG}</p><p>{LONG}</p><div class='sidebar'><p>side</p></div></div></body>"
+    assert text(bare) == f"{LONG.strip()} {LONG.strip()}"
+
+
 @pytest.mark.parametrize("page,expected", [
     ("", ""), ("plain words only", "plain words only"), ("<p>a<p>b", "a b"), ("<script>x", ""), ("<article></article>", ""),
     ("<article><p>1 &lt; 2 &#233;&eacute;</p></article>", "1 < 2 éé"), ("<main><div>x</div></main><p>y</p>", "x"),
