@@ -1,5 +1,6 @@
 import hashlib
 from array import array
+from functools import lru_cache
 
 import public_tokenizers as P
 import pytest
@@ -13,39 +14,70 @@ MULTI, FIFTY = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json"
 ALPHABET = st.sampled_from(list("abth'sl 19.$ \n\t\r\x1c\x85\xa0　éß中あ😀") + ["  ", " \n ", "the", " the", "<|endoftext|>"])
 
 
+# Made once here: a worker's tables give way to those of another operator, and these tests use several by turns.
+@lru_cache
+def own():
+    return byte_bpe.load(MULTI, P.PATTERN)
+
+
+@lru_cache
+def chunk_ids():
+    return library_tokens.chunk_ids(FIFTY)
+
+
+@lru_cache
+def document_ids():
+    return library_tokens.document_ids(FIFTY)
+
+
+@lru_cache
+def library():
+    return Tokenizer.from_file(FIFTY)
+
+
+@lru_cache
+def packed():
+    return library_tokens._packed(FIFTY)
+
+
+@lru_cache
+def ranked():
+    bpe, _ = own()
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+
+
 @pytest.fixture(scope="module")
 def tik():
-    bpe, _ = byte_bpe.load(MULTI, P.PATTERN)
-    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    return ranked()
 
 
 @settings(max_examples=400, deadline=None)
 @given(st.lists(ALPHABET, max_size=40).map("".join))
 def test_ids_match_the_libraries(text):
-    bpe, codes = byte_bpe.load(MULTI, P.PATTERN)
-    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    bpe, codes = own()
+    enc = ranked()
     ids = array("I", codes.encode(text)).tolist()
     assert ids == enc.encode_ordinary(text)
     assert bpe.decode(ids) == text.encode()
-    own = array("I", library_tokens.chunk_ids(FIFTY).encode(text)).tolist()
-    assert own == Tokenizer.from_file(FIFTY).encode(text, add_special_tokens=False).ids
+    fifty = array("I", chunk_ids().encode(text)).tolist()
+    assert fifty == library().encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("text", ["a" * 5000, "ab" * 4000, "thethethe" * 1500, "$" * 3000, "ñ" * 2000, "supercalifragilistic" * 300])
 def test_long_pretokens(text, tik):
-    bpe, codes = byte_bpe.load(MULTI, P.PATTERN)
+    bpe, codes = own()
     assert array("I", codes.encode(text)).tolist() == tik.encode_ordinary(text)
     assert not bpe.queue.top and not bpe.queue.buckets and not any(bpe.queue.low)
 
 
 @pytest.mark.parametrize("text", [" <|endoftext|>", "<|endoftext|>", " a<|endoftext|>b", "x <|endoftext|> y", "<|endoftext|", " "])
 def test_special_strings(text):
-    want = Tokenizer.from_file(FIFTY).encode(text, add_special_tokens=False).ids
-    assert array("I", library_tokens.chunk_ids(FIFTY).encode(text)).tolist() == want
+    want = library().encode(text, add_special_tokens=False).ids
+    assert array("I", chunk_ids().encode(text)).tolist() == want
 
 
 def test_bounded_dictionary_forgets_without_changing_ids():
-    bpe, _ = byte_bpe.load(MULTI, P.PATTERN)
+    bpe, _ = own()
     small = byte_bpe.ChunkCodes(bpe.encode_many, limit=3)
     text = "one two three four five two one six"
     assert small.encode(text) == small.encode(text) == bpe.encode_many([text])[0]
@@ -56,7 +88,7 @@ def test_documents(spark, docs_edge):
     for r in docs_edge.collect():
         text = r.text or ""
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
-    lib = Tokenizer.from_file(FIFTY)
+    lib = library()
     for r in token_counts.count_tokens(docs_edge, FIFTY).collect():
         text = next(x.text or "" for x in docs_edge.collect() if x.doc_id == r.doc_id)
         assert r.n_tokens == len(lib.encode(text, add_special_tokens=False).ids)
@@ -80,19 +112,19 @@ def test_rank_encoder_agrees_with_the_library_on_every_word_of_a_corpus():
         words.update((text or "").split(" "))
     words = sorted(words)
     codes = library_tokens._packed(FIFTY)([" " + w for w in words])
-    lib = Tokenizer.from_file(FIFTY).encode_batch_fast([" " + w for w in words], add_special_tokens=False)
+    lib = library().encode_batch_fast([" " + w for w in words], add_special_tokens=False)
     assert all(array("I", c).tolist() == e.ids for c, e in zip(codes, lib, strict=True)) and len(words) > 100_000
 
 
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from([*"ab'sZ9.$éß", " ", "  ", "\n", "\n\n", " \n", "the", " the", "'ll", "<|endoftext|>"]), max_size=30).map("".join))
 def test_whole_plain_texts_agree(text):
-    want = Tokenizer.from_file(FIFTY).encode(text, add_special_tokens=False).ids
-    assert array("I", library_tokens.document_ids(FIFTY)([text])[0]).tolist() == want
+    want = library().encode(text, add_special_tokens=False).ids
+    assert array("I", document_ids()([text])[0]).tolist() == want
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.characters(min_codepoint=33, max_codepoint=255), min_size=1, max_size=30))
 def test_rank_encoder_agrees_on_any_plain_chunk(word):
-    lib = Tokenizer.from_file(FIFTY)
-    assert array("I", library_tokens._packed(FIFTY)([" " + word])[0]).tolist() == lib.encode(" " + word, add_special_tokens=False).ids
+    lib = library()
+    assert array("I", packed()([" " + word])[0]).tolist() == lib.encode(" " + word, add_special_tokens=False).ids
