@@ -1,9 +1,9 @@
-"""Near copies whose fingerprints lie further apart than an exact search at a small radius reaches.
+"""Near copies: all pairs of documents that share a part of their word shingles, as groups.
 
-Two texts that share four fifths of their word shingles differ in some fifteen of a hundred SimHash bits, and at that radius no partition by
-distance prunes. So each document gets a wider SimHash (128 bits), and meets others that agree on a sample of its bits, in as many samples as make
-a miss at the wanted similarity rare. Pairs that are near enough for their similarity to be certain link at once; of the others one pair
-between two groups is held against the texts. A bucket links its rows to leaders, never all pairs.
+Two sets that share four fifths of their elements share one of the first fifth of each in any order that holds for all sets (a prefix filter), so
+no pair is missed; with rare elements first, few others meet. Pairs inside a group need no second link, so most near copies are linked
+beforehand: each document gets a wider SimHash (128 bits) and meets others that agree on samples of its bits. What the samples miss, the prefixes
+find. No link counts before the two sets have been held against each other.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -21,8 +22,10 @@ from graphloom.llm.components import components
 BITS = 128
 #: Share of links at the wanted similarity that may be missed by the samples, and rows that a bucket holds on average.
 MISSED, BUCKET = 0.03, 64
-#: Standard deviations of the bit distance within which a pair is a candidate, and below which it is certain.
+#: Standard deviations of the bit distance within which the samples take a pair as a candidate, and below which it is all but certain.
 WIDE, CERTAIN = 2.6, 2.3
+#: Slots in which shingles are counted, and what rounding may take from a bound.
+SLOTS, SLACK = 1 << 20, 1e-6
 #: Bytes of doc_ids up to which they are broadcast; beyond, the joins shuffle both sides.
 BROADCAST_BYTES = 16 << 20
 
@@ -38,10 +41,8 @@ def shingles(text: str, words: int) -> set[bytes]:
     return {joined[a:b] for a, b in zip((stops - lengths).tolist(), stops[words - 1 :].tolist(), strict=False)}
 
 
-def sketch(text: str, words: int) -> bytes:
-    """The 128 bits that over half of the shingles' hashes have."""
-    digest = xxhash.xxh3_128_digest
-    raw = b"".join([digest(s) for s in shingles(text, words)])
+def sketch(raw: bytes) -> bytes:
+    """The 128 bits that over half of the shingles' hashes (``raw``, one after another) have."""
     n = len(raw) // 16
     counts = np.zeros(BITS, np.int64)
     for at in range(0, n, 255 * 128):
@@ -51,6 +52,22 @@ def sketch(text: str, words: int) -> bytes:
     return np.packbits(2 * counts > n).tobytes()
 
 
+def hashed(docs: DataFrame, words: int) -> DataFrame:
+    """``doc_id, key, hi, lo, s``: a text's different shingles as sorted 64-bit hashes, their sketch, and a hash of them all (equal for equal sets)."""
+
+    def run(batches):
+        digest, key = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
+        for doc_ids, block in rows(batches, "doc_id", "text"):
+            raws = [b"".join([digest(x) for x in shingles(t, words)]) for t in block]
+            bits = np.frombuffer(b"".join([sketch(raw) for raw in raws]), ">i8").astype(np.int64).reshape(-1, 2)
+            sets = [np.unique(np.frombuffer(raw, "<i8")[::2]) for raw in raws]
+            keys = np.array([key(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            columns = [pa.array(doc_ids, pa.int64()), pa.array(keys), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "hi", "lo", "s"])
+
+    return docs.mapInArrow(run, "doc_id long, key long, hi long, lo long, s array<long>")
+
+
 def differing(similarity: float) -> float:
     """The share of bits in which two sets of the similarity (Jaccard) differ on average."""
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -137,20 +154,76 @@ def candidate_links(sketches: DataFrame, n: int, similarity: float) -> DataFrame
     return sorted_rows.mapInArrow(solve, "u long, v long, d int").groupBy("u", "v").agg(F.min("d").alias("d"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (``u, v``, few of the documents) whose texts share the wanted part of their shingles."""
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    if 8 * ids.count() <= BROADCAST_BYTES:
-        ids = F.broadcast(ids)
+def small(df: DataFrame, longs: int = 1) -> DataFrame:
+    """``df`` (stored, ``longs`` long columns), marked for broadcasting if that is cheap."""
+    return F.broadcast(df) if 8 * longs * df.count() <= BROADCAST_BYTES else df
+
 
-    def sets(batches):
-        digest = xxhash.xxh64_intdigest
-        for doc_ids, texts in rows(batches, "doc_id", "text"):
-            found = [np.array([digest(s) for s in shingles(t, words)], dtype=np.uint64).view(np.int64) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "s"])
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How many of ``sets.s`` fall into each of SLOTS slots by their low bits. Tasks add up their own, so the shuffle has a table a task."""
+    width = SLOTS // 64
 
-    held = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s array<long>").dropDuplicates(["doc_id"]))
-    both = pairs.join(held.select(F.col("doc_id").alias("u"), F.col("s").alias("a")), "u").join(held.select(F.col("doc_id").alias("v"), F.col("s").alias("b")), "v")
+    def count(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy() & (SLOTS - 1), minlength=SLOTS)
+        own = [total[i * width : (i + 1) * width].astype(np.uint32).tobytes() for i in range(64)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array(own, pa.binary())], ["part", "n"])
+
+    def add(table):
+        total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("n").to_pylist())
+        return pa.table({"part": table.column("part").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
+
+    parts = sets.select("s").mapInArrow(count, "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect()
+    out = np.zeros(SLOTS, np.int64)
+    for part, n in parts:
+        out[part * width : (part + 1) * width] = np.frombuffer(n, np.int64)
+    return out
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """``s, key, root, size, at`` of those first elements of each set (``key, root, s``), rare ones first, of which two sets of the similarity
+    must share one. Any order does, if it is the same for all sets; this one keeps common shingles at the end."""
+    often = frequencies(sets)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                flat = part.column(2).flatten().to_numpy()
+                size = pa.compute.list_value_length(part.column(2)).to_numpy()
+                owner = np.repeat(np.arange(len(size)), size)
+                order = np.lexsort((flat, often[flat & (SLOTS - 1)], owner))
+                place = np.arange(len(flat)) - np.repeat(size.cumsum() - size, size)
+                first = size - np.ceil(similarity * size - SLACK).astype(np.int64) + 1
+                keep = place < first[owner]
+                who = owner[keep]
+                key, root = (part.column(i).to_numpy()[who] for i in (0, 1))
+                columns = [flat[order][keep], key, root, size[who].astype(np.int32), place[keep].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["s", "key", "root", "size", "at"])
+
+    return sets.select("key", "root", "s").mapInArrow(run, "s long, key long, root long, size int, at int")
+
+
+def pairs_between(sets: DataFrame, similarity: float) -> DataFrame:
+    """``u, v``: every pair of sets (``key, root, s``) of different roots that may have the similarity; none that has it is left out.
+
+    Two such sets share an element of their prefixes, and at the first that they share enough elements are left in both."""
+    firsts = written(prefixes(sets, similarity))
+    roots = firsts.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+    shared = written(roots.where("a < b").select("s"))
+    met = written(firsts.join(small(shared), "s", "left_semi"))
+    a, b = met.alias("a"), met.alias("b")
+    left = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
+    enough = left >= similarity / (1 + similarity) * (F.col("a.size") + F.col("b.size")) - SLACK
+    return a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.root") < F.col("b.root")) & enough).select(F.col("a.key").alias("u"), F.col("b.key").alias("v")).distinct()
+
+
+def verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (``u, v``: keys of ``sets``) that share the wanted part of their elements."""
+    ids = written(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct())
+    held = written(sets.select("key", "s").join(small(ids), "key", "left_semi"))
+    both = pairs.join(held.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(held.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
 
@@ -158,26 +231,22 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, group_id`` of the documents that a link joins to a smaller doc_id, group_id the smallest that links reach.
 
-    Equal sketches link. Null and empty texts are alike; rows without a doc_id take no part; an empty table gives an empty one; other columns are
-    ignored. The samples miss about MISSED of the links at exactly the wanted similarity, and fewer above it."""
-    texts = texts_of(docs, id_col, text_col).where("doc_id is not null")
-
-    def run(batches):
-        for doc_ids, block in rows(batches, "doc_id", "text"):
-            raw = np.frombuffer(b"".join([sketch(t, words) for t in block]), ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(raw[:, 0]), pa.array(raw[:, 1])], ["doc_id", "hi", "lo"])
-
-    found = written(texts.mapInArrow(run, "doc_id long, hi long, lo long"))
-    distinct = written(found.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id")))
-    links = written(candidate_links(distinct, distinct.count(), similarity))
-    certain, _ = limits(similarity)
-    sure = links.where(F.col("d") <= certain).select("u", "v")
-    root = written(components(sure))
-    near = links.where(F.col("d") > certain)
-    for side in ("u", "v"):
-        near = near.join(root.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
-    between = near.where("u_root != v_root").groupBy(F.least("u_root", "v_root"), F.greatest("u_root", "v_root")).agg(F.min_by(F.struct("u", "v"), "d").alias("p")).select("p.u", "p.v")
-    linked = sure.unionByName(verified(texts, written(between), words, similarity))
-    top = components(linked).withColumnRenamed("node", "least")
-    own = distinct.select("hi", "lo", F.col("doc_id").alias("least")).join(top, "least", "left").select("hi", "lo", F.coalesce("root", "least").alias("group_id"))
-    return found.join(own, ["hi", "lo"]).where("doc_id != group_id").select("doc_id", "group_id").distinct()
+    Documents with the same shingles link, and all pairs that share ``similarity`` of them or more; no others, and none is missed. Null and empty
+    texts are alike; rows without a doc_id take no part; an empty table gives an empty one; other columns are ignored."""
+    found = written(hashed(texts_of(docs, id_col, text_col).where("doc_id is not null"), words))
+    keys = written(found.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    again = written(keys.where("n > 1").select("key", "least"))
+    # One row a key; the same row given twice does no harm.
+    sets = found.join(small(again, 2), "key", "left").where("least is null or doc_id = least").select("key", "hi", "lo", "s")
+    near = candidate_links(sets.select(F.col("key").alias("doc_id"), "hi", "lo"), keys.count(), similarity)
+    nearest = written(near.groupBy("u").agg(F.min_by("v", "d").alias("v")))
+    sure = written(verified(sets, nearest, similarity))
+    root = written(components(sure).withColumnRenamed("node", "key"))
+    rooted = sets.join(small(root, 2), "key", "left").select("key", F.coalesce("root", "key").alias("root"), "s")
+    between = written(pairs_between(rooted, similarity))
+    top = components(sure.unionByName(verified(sets, between, similarity))).withColumnRenamed("node", "key")
+    classes = keys.select("key", "least").join(top, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    # Written, so that the join deals both sides anew and Spark can split the partition of a large component.
+    group = written(classes.groupBy("root").agg(F.min("least").alias("group_id")))
+    ids = classes.join(group, "root").select("key", "group_id")
+    return found.select("doc_id", "key").join(ids, "key").where("doc_id != group_id").select("doc_id", "group_id").distinct()
