@@ -40,3 +40,9 @@ def test_true_pairs_among_pages_of_a_template(solved):
     span, got, want, links = solved
     assert sum(i in span["template"] for i, _ in links) == 25
     assert all(got[i] == want[i] for i in span["template"])
+
+
+def test_no_pair_at_the_threshold_is_missed(solved):
+    span, got, want, links = solved
+    assert sum(i in span["edge"] for i, _ in links) == 200
+    assert all(got[i] == want[i] for i in span["edge"])
