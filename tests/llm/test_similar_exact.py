@@ -46,3 +46,12 @@ def test_no_pair_at_the_threshold_is_missed(solved):
     span, got, want, links = solved
     assert sum(i in span["edge"] for i, _ in links) == 200
     assert all(got[i] == want[i] for i in span["edge"])
+
+
+def test_every_pair_between_two_groups_is_tried(spark):
+    near, far = list(range(1, 101)), list(range(1001, 1101))
+    rows = [(1, 1, near), (2, 1, far), (3, 3, sorted([*near[:88], *range(5000, 5012)])), (4, 3, sorted([*far[:91], *range(6000, 6009)]))]
+    sets = spark.createDataFrame(rows, "key long, root long, s array<long>")
+    pairs = similar.pairs_between(sets, 0.8)
+    assert (2, 4) in {tuple(x) for x in pairs.collect()}
+    assert [tuple(x) for x in similar.verified(sets, pairs, 0.8).collect()] == [(2, 4)]
