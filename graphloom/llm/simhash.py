@@ -239,15 +239,12 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str, broadcast_bytes: int)
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of ``docs`` less all documents of a near-duplicate group but the one with the smallest doc_id.
 
-    Groups are those of fingerprints within 4 bits, then, of the documents that these leave, those that share ``similarity`` of their word
-    shingles (``similar_groups``). Of several rows with one doc_id one stays; rows without a doc_id all stay, as nothing tells them apart.
+    Groups are those of documents that share ``similarity`` of their word shingles (``similar_groups``); fingerprints within a few bits are no
+    reason to remove a text. Of several rows with one doc_id one stays; rows without a doc_id all stay, as nothing tells them apart.
     Columns are as they were."""
-    found = written(near_duplicates(docs, id_col=id_col, text_col=text_col))
-    gone = written(found.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct())
-    kept = without(docs, gone, id_col, broadcast_bytes)
-    near = written(similar_groups(kept, words, similarity, id_col, text_col).select(F.col("doc_id").alias(id_col)))
-    kept = without(kept, near, id_col, broadcast_bytes)
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
+    near = written(similar_groups(docs, words, similarity, id_col, text_col).select(F.col("doc_id").alias(id_col)))
+    kept = without(docs, near, id_col, broadcast_bytes)
+    again = docs.where(docs[id_col].isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
     if again.head(1):
         kept = kept.join(again, id_col, "left_anti").unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col]))
     return kept.select(docs.columns)

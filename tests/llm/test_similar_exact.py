@@ -48,6 +48,12 @@ def test_no_pair_at_the_threshold_is_missed(solved):
     assert all(got[i] == want[i] for i in span["edge"])
 
 
+def test_different_texts_of_a_family_stay(solved):
+    span, got, _, links = solved
+    assert not any(i in span["family"] for i, _ in links)
+    assert all(got[i] == i for i in span["family"])
+
+
 def test_every_pair_between_two_groups_is_tried(spark):
     near, far = list(range(1, 101)), list(range(1001, 1101))
     rows = [(1, 1, near), (2, 1, far), (3, 3, sorted([*near[:88], *range(5000, 5012)])), (4, 3, sorted([*far[:91], *range(6000, 6009)]))]
