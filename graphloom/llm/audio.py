@@ -1,8 +1,8 @@
 """Chroma audio fingerprints, and recordings aligned by them.
 
 A recording's spectra are folded to twelve pitch classes a frame; rectangle filters over the integral image of these
-frames give two bits each, sixteen of them one packed integer a frame. Two recordings are aligned at the offset that most equal pairs of
-neighbouring integers vote for (single ones meet by chance too often), and compared by the share of differing bits where they overlap there.
+frames give two bits each, sixteen of them one packed integer a frame. Two recordings are aligned at the offset that most equal integers, or
+equal pairs of neighbouring ones, vote for, and compared by the share of differing bits where they overlap there.
 """
 
 from __future__ import annotations
@@ -135,14 +135,15 @@ def classes(prints: DataFrame) -> DataFrame:
     return prints.groupBy("fp").agg(F.min("id").alias("class_id"), F.sum("copies").alias("copies"))
 
 
-def alignments(queries: DataFrame, table: DataFrame, votes: int = VOTES, overlap: int = OVERLAP, errors: float = ERRORS) -> DataFrame:
+def alignments(queries: DataFrame, table: DataFrame, votes: int = VOTES, overlap: int = OVERLAP, errors: float = ERRORS, run: int = 2) -> DataFrame:
     """``query, match, offset, votes, bits, bit_errors``: pairs of different classes that match at their best offset.
 
-    Both have ``class_id, fp``. A pair that a class repeats votes for each of its places, as in the plain offset histogram. Offsets are counted
+    Both have ``class_id, fp``. ``run`` is 2 for votes by equal pairs of neighbouring integers, 1 for votes by single ones, which also
+    reach alignments whose equal integers are not adjacent. A pair that a class repeats votes for each of its places, as in the plain offset histogram. Offsets are counted
     before and after the shuffle; the best has the most votes, then the smallest shift."""
     fp = F.col("fp")
     two = F.zip_with(F.slice(fp, 1, F.greatest(F.size(fp) - 1, F.lit(0))), F.slice(fp, 2, F.greatest(F.size(fp) - 1, F.lit(0))), lambda x, y: F.shiftleft(x.cast("long"), 32).bitwiseOR(y.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
-    places = lambda df, name: df.where(F.size("fp") > 1).select(F.col("class_id").alias(name), F.posexplode(two).alias(f"{name}_at", "value"))
+    places = lambda df, name: df.where(F.size("fp") >= run).select(F.col("class_id").alias(name), F.posexplode(two if run == 2 else fp).alias(f"{name}_at", "value"))
     hits = places(queries, "query").join(places(table, "match"), "value").where("query != match")
     histogram = hits.groupBy("query", "match", (F.col("match_at") - F.col("query_at")).alias("offset")).agg(F.count("*").alias("votes"))
     best = histogram.where(F.col("votes") >= votes).groupBy("query", "match").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("best"))
@@ -185,6 +186,6 @@ def search(recordings: DataFrame, is_query, decode=decode_wav, id_col: str = "id
 
 
 def op1_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector of ``embeddings`` sounded as a recording; every fiftieth is looked up among all."""
+    """Each vector of ``embeddings`` sounded as a recording; every fiftieth is looked up among all, offsets voted for by single integers."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return search(vectors, F.col("id") % 50 == 0, decode_vector, "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+    return search(vectors, F.col("id") % 50 == 0, decode_vector, "vec_id", "embedding", run=1).withColumnRenamed("id", "vec_id")
