@@ -28,11 +28,21 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+#: Rows and bytes of a slice of an Arrow batch that becomes Python objects at one time; a single row may be larger.
+SLICE_ROWS, SLICE_BYTES = 1024, 8 << 20
+
+
+def slices(batch: pa.RecordBatch):
+    """An Arrow batch in slices of bounded rows and bytes."""
+    step = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def rows(batches, *names):
     """Row blocks of Arrow batches as tuples of Python lists, small enough that long texts stay bounded."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
+        for part in slices(batch):
             yield tuple(part.column(part.schema.get_field_index(n)).to_pylist() for n in names)
 
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm.common import arrow, rows, table, texts_of
+from graphloom.llm.common import arrow, rows, slices, table, texts_of
 
 FEATURES = 1 << 18
 #: Labelled documents that training reads at most, on average: they are chosen by a hash of their id.
@@ -27,9 +27,9 @@ RUN = re.compile(r"[^\W\d_]+|\d+|\s+|[\W_]")
 
 
 def shape(word: str) -> str:
-    """A word's character classes: A for capitals, a for small letters, Aa for both, 9 for digits, marks as they are."""
+    """A whole word's character classes: A for capitals, a for small letters, Aa for both, 9 for digits, marks as they are."""
     out = []
-    for part in RUN.findall(word[:256]):
+    for part in RUN.findall(word):
         if part[0].isalpha():
             out.append("Aa" if part[:1].isupper() and len(part) > 1 and part[1:].islower() else "A" if part.isupper() else "a" if part.islower() else "aA")
         else:
@@ -43,9 +43,10 @@ def _id(name: str) -> int:
 
 class Words(dict):
     """Feature id and shape by word, and feature ids by shape. At ``limit`` words the table becomes the earlier generation, from which words
-    met again move over; shapes are few, and begin anew at the same limit."""
+    met again move over; shapes are few, and begin anew at the same limit. Words and shapes of more than ``LONG`` characters count as a whole like any
+    others, but are not remembered."""
 
-    limit = 100_000
+    limit, LONG = 100_000, 64
 
     def __init__(self):
         super().__init__()
@@ -53,19 +54,23 @@ class Words(dict):
         self.shapes: dict[str, list[int]] = {}
 
     def __missing__(self, word: str) -> tuple[int, str]:
-        found = self.earlier.get(word) or (_id("w" + word.lower()[:64]), shape(word)[:64])
-        if len(self) >= self.limit:
-            self.earlier = dict(self)
-            self.clear()
-        self[word] = found
+        found = self.earlier.get(word) or (_id("w" + word.lower()), shape(word))
+        if len(word) <= self.LONG:
+            if len(self) >= self.limit:
+                self.earlier = dict(self)
+                self.clear()
+            self[word] = found
         return found
 
     def of_shape(self, form: str) -> list[int]:
         ids = self.shapes.get(form)
         if ids is None:
-            if len(self.shapes) >= self.limit:
-                self.shapes.clear()
-            ids = self.shapes[form] = sorted({_id("f" + form), *(_id(f"s{form[i : i + n]}") for n in (1, 2, 3, 4) for i in range(len(form) - n + 1))})
+            grams = {form[i : i + n] for n in (1, 2, 3, 4) for i in range(len(form) - n + 1)}
+            ids = sorted({_id("f" + form), *(_id(f"s{g}") for g in grams)})
+            if len(form) <= self.LONG:
+                if len(self.shapes) >= self.limit:
+                    self.shapes.clear()
+                self.shapes[form] = ids
         return ids
 
 
@@ -88,7 +93,7 @@ def indicators(text: str) -> np.ndarray:
         ids.update(_id(f"repeat {k}") for k in range(level + 1))
         distinct = len(found) / len(parts)
         ids.add(_id(f"distinct {int(distinct * 10)} {min(len(parts).bit_length(), 10)}"))
-        forms = [found[w][1][:16] for w in parts]
+        forms = [found[w][1] for w in parts]
         ids.update(_id(f"p{a} {b}") for a, b in set(zip(forms, forms[1:])))  # noqa: B905
         counts = Counter(forms)
         ids.update(_id(f"share {form} {int(np.log2(n / len(parts) * 64))}") for form, n in counts.items() if n * 64 >= len(parts))
@@ -201,11 +206,14 @@ def fold_of(id_col: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """A model from about ``sample_rows`` labelled documents that are not held out, fewer if there are fewer.
 
-    Null labels are skipped. Only ids of the sample (bounded by ``sample_rows``) are broadcast, and only indicators come back."""
-    known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label")).where("label is not null").where(fold_of() != 2)
+    Null labels and labels without an id are skipped; an id with different labels has the lowest of them; of several documents with one id the one whose text
+    has the smallest hash is read. Only ids of the sample (bounded by ``sample_rows``) are broadcast, and only indicators come back, one row an id."""
+    known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label")).where("label is not null and doc_id is not null").where(fold_of() != 2)
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
     n = max(1, known.count())
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(min(1.0, sample_rows / n) * (1 << 20)))).dropDuplicates(["doc_id"])
-    joined = texts_of(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(min(1.0, sample_rows / n) * (1 << 20))))
+    joined = texts_of(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
+    joined = joined.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def run(batches):
         for ids, given, texts in rows(batches, "doc_id", "label", "text"):
@@ -239,14 +247,17 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
 
 
 def keep_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text scores at least ``threshold``, all columns as they were."""
+    """The rows of ``docs`` whose text scores at least ``threshold``, all columns as they were.
+
+    Null texts count as empty; equal texts, repeated rows among them, stay or go together; a score at the threshold stays; an empty table gives
+    an empty one; ids are not looked at."""
     lent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            yield batch.filter(pa.array([lent.value.score(t or "") >= threshold for t in texts], pa.bool_()))
+            for part in slices(batch):
+                yield part.filter(pa.array([lent.value.score(t or "") >= threshold for t in part.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -72,3 +72,35 @@ def test_edges(spark, docs_edge):
     assert quality.score_documents(docs_edge.limit(0), model).count() == 0
     assert quality.keep_documents(docs_edge, model, 0.4).collect() == docs_edge.collect()
     assert quality.keep_documents(docs_edge, model, 0.6).count() == 0
+
+
+def test_long_words_count_whole():
+    head = "ab1-" * 5000
+    for a, b in (("x", "Y9"), ("9", "x")):
+        assert set(quality.indicators(head + a)) != set(quality.indicators(head + b))
+    assert set(quality.indicators("x" * 300 + "a")) != set(quality.indicators("x" * 300 + "b"))
+    words = quality.words()
+    assert not any(len(w) > words.LONG for w in words)
+
+
+def test_conflicting_labels_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "a"), (None, "b"), (1, "one text"), (1, "another text"), (1, "one text"), (3, "three"), (4, "four")], "doc_id long, text string")
+    labels = spark.createDataFrame([(None, 1), (1, 1), (1, 0), (3, 1), (4, 0), (4, 0)], "doc_id long, quality int")
+    seen = []
+    got = quality.fit
+    try:
+        quality.fit = lambda rows, y: seen.append((len(rows), list(y))) or quality.neutral()
+        quality.train(docs, labels)
+        quality.train(docs.orderBy("text"), labels.orderBy("quality"))
+    finally:
+        quality.fit = got
+    assert seen[0] == seen[1] and seen[0][0] == len(seen[0][1]) <= 3
+
+
+def test_batches_of_long_texts_are_sliced(spark):
+    from graphloom.llm import common
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * (1 << 20)] * 40})
+    assert [part.num_rows for part in common.slices(batch)] == [7] * 5 + [5]
+    assert sum(part.num_rows for part in common.slices(pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())}))) == 0
