@@ -1,4 +1,4 @@
-"""Ids and token counts as the ``tokenizers`` library gives them for a byte-level BPE file, by chunks looked up once encoded.
+"""Ids as the ``tokenizers`` library gives them for a byte-level BPE file, by chunks looked up once encoded.
 
 Plain characters (ASCII and Latin-1 letters, on whose classes all pattern engines agree) are encoded by ``tiktoken`` with ranks taken from the
 file's own vocabulary, a third of the library's time; this needs every merge's result to be numbered in merge order, which is checked. All other
@@ -115,12 +115,3 @@ def chunk_ids(path: str) -> ChunkCodes:
     """Packed ids by chunk; one table per worker process."""
     return table(("chunk_ids", path), lambda: ChunkCodes(_packed(path), _specials(path), 400_000, _whole(path)))
 
-
-def chunk_counts(path: str) -> ChunkCodes:
-    """Number of tokens by chunk."""
-
-    def make():
-        packed, whole = _packed(path), _whole(path)
-        return ChunkCodes(lambda texts: [len(x) // 4 for x in packed(texts)], _specials(path), 400_000, lambda text: len(whole(text)) // 4)
-
-    return table(("chunk_counts", path), make)
