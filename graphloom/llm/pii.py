@@ -4,7 +4,11 @@ Patterns give the base spans, which always stay. The field labels a document's c
 sign; no other token can be one of the four kinds): unary potentials from a log-linear model of token shape and context,
 chain potentials between neighbours, and skip potentials between distant tokens that are equal or share their digits. Tokens in base
 spans are observed. Loopy message passing then carries a label from one mention to the others, and tokens that come out
-as an entity with high probability add spans. All weights are trained from the patterns' own labels on a sample of documents.
+as an entity with high probability add spans.
+
+All three kinds of weights are trained together, from the patterns' own labels on a sample of documents, by the pseudo-likelihood of each token's
+label given its neighbours' in the loopy graph. Every token is seen twice, once with its own shape and once with that masked: the patterns
+tell most labels from the shape alone, and only where it is hidden do chains and skips have something to explain.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm.common import arrow, rows, texts_of
+from graphloom.llm.common import arrow, rows, slices, texts_of
 
 #: In the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -33,7 +37,7 @@ NOT_DIGIT = re.compile(r"[^0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 EDGE = "\"'`.,;:!?()[]{}<>*#$%&=/\\|"
 
-#: Size of the hashed feature table, and what bounds the training sample: documents, and candidate tokens of one document.
+#: Size of the hashed feature table, and what bounds the training sample: documents, and candidate tokens of one document on average.
 FEATURES, SAMPLE_DOCS, SAMPLE_TOKENS = 1 << 12, 4000, 64
 #: Probability from which a token adds a span.
 SURE = 0.9
@@ -101,15 +105,16 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def possible(token: str) -> list[bool]:
-    """Which labels a token's characters allow at all: a number that fails the kind's own test is none of that kind."""
+def possible(token: str, run: int = 0) -> list[bool]:
+    """Which labels a token's characters allow at all: a number that fails the kind's own test is none of that kind. ``run``: digits of the run of number
+    tokens that it stands in, of which a telephone number may be a group."""
     digits = NOT_DIGIT.sub("", token)
     plain = "@" not in token and not any(c.isalpha() for c in token)
     at = token.find("@")
     parts = token.split(".")
     ip = plain and len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     card = plain and 13 <= len(digits) <= 19 and luhn(digits)
-    phone = plain and len(parts) != 4 and (3 <= len(digits) <= 15 or token[:1] == "+" and 1 <= len(digits))
+    phone = plain and len(parts) != 4 and (3 <= len(digits) <= 15 or 1 <= len(digits) and (token[:1] == "+" or 7 <= run <= 15))
     return [True, 0 < at < len(token) - 1 and "." in token[at:], ip, card, phone]
 
 
@@ -117,38 +122,74 @@ def _hash(name: str) -> int:
     return zlib.crc32(name.encode()) % FEATURES
 
 
-def features(text: str, start: int, end: int) -> list[int]:
-    """Hashed shape and context features of a token."""
-    token = text[start:end]
-    shape = re.sub(r"(.)\1+", r"\1+", re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", token[:64])))
+def _word(text: str, at: int, step: int) -> str:
+    """The whole word next to a place, before (step -1) or after it (step 1)."""
+    i = at if step > 0 else at - 1
+    while 0 <= i < len(text) and text[i].isspace():
+        i += step
+    j = i
+    while 0 <= j < len(text) and not text[j].isspace():
+        j += step
+    return text[i:j] if step > 0 else text[j + 1 : i + 1]
+
+
+def context(text: str, start: int, end: int) -> list[int]:
+    """Hashed features of what stands around a token."""
+    near = (("before", _word(text, start, -1)), ("after", _word(text, end, 1)))
+    return [_hash("any"), *(_hash(f"{side} {w.lower()}") for side, w in near if w and not MARK.search(w))]
+
+
+def own_features(token: str) -> list[int]:
+    """Hashed features of a whole token's shape."""
+    shape = re.sub(r"(.)\1+", r"\1+", re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", token)))
     digits = sum(c.isdigit() for c in token)
-    before = text[max(0, start - 24) : start].split()[-1:]
-    after = text[end : end + 24].split()[:1]
-    names = ["bias", f"shape {shape}", f"first {shape[:2]}", f"last {shape[-2:]}", f"digits {min(digits, 20)}", f"dots {min(token.count('.'), 5)}", f"length {min(len(token), 40) // 4}", f"at {'@' in token}"]
-    names += [f"before {w.lower()}" for w in before if not MARK.search(w)] + [f"after {w.lower()}" for w in after if not MARK.search(w)]
+    names = [f"shape {shape}", f"first {shape[:2]}", f"last {shape[-2:]}", f"digits {min(digits, 20)}", f"dots {min(token.count('.'), 5)}", f"length {min(len(token), 40) // 4}", f"at {'@' in token}"]
     return [_hash(n) for n in names]
 
 
-def keys(token: str) -> list[str]:
-    """What equal or similar tokens have in common: the folded token, and the last seven of at least seven digits."""
+def features(text: str, start: int, end: int) -> list[int]:
+    """Hashed shape and context features of a token."""
+    return own_features(text[start:end]) + context(text, start, end)
+
+
+def number_runs(text: str, spans: list[tuple[int, int]], chain: list[tuple[int, int]]) -> list[str]:
+    """For each token the joined digits of the run of neighbouring number tokens that it stands in, empty for a token that is no number."""
+    plain = [not any(c.isalpha() or c == "@" for c in text[a:b]) for a, b in spans]
+    joined = {j for i, j in chain if plain[i] and plain[j]}
+    out, at = [""] * len(spans), 0
+    while at < len(spans):
+        end = at + 1
+        while end in joined:
+            end += 1
+        if plain[at]:
+            out[at:end] = [NOT_DIGIT.sub("", "".join(text[a:b] for a, b in spans[at:end]))] * (end - at)
+        at = end
+    return out
+
+
+def keys(token: str, run: str = "") -> list[str]:
+    """What equal or similar tokens have in common: the folded token, and the last seven of at least seven digits, its own or its run's."""
     digits = NOT_DIGIT.sub("", token)
     out = [token.casefold()] if len(token) >= 6 else []
-    if len(digits) >= 7 and "@" not in token:
-        out.append(f"#{digits[-7:]}")
+    if "@" not in token:
+        out += dict.fromkeys(f"#{d[-7:]}" for d in (digits, run) if len(d) >= 7)
     return out
 
 
-def edges_of(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges (neighbours one space apart) and skip edges (each mention with the previous one of its key: linear in their number)."""
+def edges_of(text: str, spans: list[tuple[int, int]], seen: list[int] | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Chain edges (neighbours one space apart) and skip edges. Every mention of a key is linked to the key's hub, its first observed mention or
+    else its first, so edges are linear in the mentions and a label is two steps from all of them, however many there are."""
     chain = [(i, i + 1) for i in range(len(spans) - 1) if spans[i + 1][0] - spans[i][1] <= 2 and text[spans[i][1] : spans[i + 1][0]].strip(" ().-,") == ""]
-    last: dict[str, int] = {}
-    skip = set()
+    runs = number_runs(text, spans, chain)
+    mentions: dict[str, list[int]] = {}
     for i, (a, b) in enumerate(spans):
-        for key in keys(text[a:b]):
-            if key in last:
-                skip.add((last[key], i))
-            last[key] = i
-    return chain, sorted(skip)
+        for key in keys(text[a:b], runs[i]):
+            mentions.setdefault(key, []).append(i)
+    skip = set()
+    for own in mentions.values():
+        hub = next((i for i in own if seen and seen[i]), own[0])
+        skip.update((min(hub, i), max(hub, i)) for i in own if i != hub)
+    return chain, sorted(skip.difference(chain))
 
 
 def observed(spans: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> list[int]:
@@ -170,7 +211,7 @@ def observed(spans: list[tuple[int, int]], base: list[tuple[str, int, int]]) ->
 
 @dataclass
 class Field:
-    """The field's weights: unary (feature x label), chain and skip (label x label, log-odds against independent tokens)."""
+    """The field's weights: unary (feature x label), chain and skip (label x label)."""
 
     unary: np.ndarray = field(default_factory=lambda: np.zeros((FEATURES, len(LABELS))))
     chain: np.ndarray = field(default_factory=lambda: np.zeros((len(LABELS), len(LABELS))))
@@ -178,9 +219,10 @@ class Field:
 
     def marginals(self, text: str, spans: list[tuple[int, int]], seen: list[int]) -> np.ndarray:
         """Label probabilities of each token after loopy message passing."""
-        chain, skip = edges_of(text, spans)
+        chain, skip = edges_of(text, spans, seen)
+        runs = number_runs(text, spans, chain)
         energy = np.array([self.unary[features(text, a, b)].sum(axis=0) for a, b in spans])
-        energy[~np.array([possible(text[a:b]) for a, b in spans])] = -30.0
+        energy[~np.array([possible(text[a:b], len(run)) for (a, b), run in zip(spans, runs, strict=True)])] = -30.0
         for i, label in enumerate(seen):
             if label:
                 energy[i] = -60.0
@@ -233,72 +275,92 @@ class Field:
         return base, sorted([*base, *merged], key=order)
 
 
-def sample_rows(text: str) -> list[tuple[list[int], int, int, int]]:
-    """A document's training rows: features, label, and the labels of its chain and skip partners before it (-1: none)."""
-    tokens = candidates(text)[:SAMPLE_TOKENS]
+#: A token in training: its own and its context's features, its label, its neighbours' labels on the left and right (-1: none), and how many skip
+#: partners have each label.
+EXAMPLE = {"own": pa.list_(pa.int32()), "context": pa.list_(pa.int32()), "label": pa.int32(), "left": pa.int32(), "right": pa.int32(), "skip": pa.list_(pa.int32())}
+EXAMPLE_DDL = "own array<int>, context array<int>, label int, left int, right int, skip array<int>"
+
+
+def sample_rows(text: str) -> list[tuple]:
+    """A document's training rows (see EXAMPLE): all its tokens up to SAMPLE_TOKENS, of more of them so many on average, chosen by hash all over the text.
+    Labels of partners are known whether or not these are chosen."""
+    tokens = candidates(text)
+    if not tokens:
+        return []
     seen = observed(tokens, base_spans(text))
-    chain, skip = edges_of(text, tokens)
-    left, far = {j: seen[i] for i, j in chain}, {j: seen[i] for i, j in skip}
-    return [(features(text, a, b), label, left.get(i, -1), far.get(i, -1)) for i, ((a, b), label) in enumerate(zip(tokens, seen, strict=True))]
-
-
-def _odds(pairs: np.ndarray, share: np.ndarray, tied: bool) -> np.ndarray:
-    """Log of how much more often two labels meet than independent tokens would, given each label's share of all tokens.
-
-    Tied: one weight each for equal kinds, different kinds, a kind beside none, and none beside none, as what repeats is of one kind
-    whichever kind that is."""
-    n = np.zeros((len(LABELS), len(LABELS)))
-    np.add.at(n, (pairs[:, 0], pairs[:, 1]), 1.0)
-    n += n.T
-    if tied:
-        kind = np.eye(len(LABELS), dtype=int) + 1
-        kind[0], kind[:, 0], kind[0, 0] = 3, 3, 4
-        for k in range(1, 5):
-            n[kind == k] = (n[kind == k].sum() + 1.0) / (kind == k).sum()
-        share = np.r_[share[0], np.full(len(KINDS), (1 - share[0]) / len(KINDS))]
-    else:
-        n += 0.5
-    n /= n.sum()
-    return np.log(n / np.outer(share, share))
-
-
-def fit(examples: list[tuple[list[int], int, int, int]], epochs: int = 40, rate: float = 0.5, decay: float = 1e-4) -> Field:
-    """Weights from training rows: multinomial logistic regression by AdaGrad for tokens, log-odds for pairs. None: all zero."""
+    chain, skip = edges_of(text, tokens, seen)
+    left, right, far = {j: seen[i] for i, j in chain}, {i: seen[j] for i, j in chain}, {}
+    for i, j in skip:
+        far.setdefault(i, []).append(seen[j])
+        far.setdefault(j, []).append(seen[i])
+    rate, out = SAMPLE_TOKENS / len(tokens), []
+    for i, (a, b) in enumerate(tokens):
+        if rate >= 1 or zlib.crc32(f"{a} {text[a:b]}".encode()) < rate * (1 << 32):
+            count = [far.get(i, []).count(k) for k in range(len(LABELS))]
+            out.append((own_features(text[a:b]), context(text, a, b), seen[i], left.get(i, -1), right.get(i, -1), count))
+    return out
+
+
+def _tied() -> np.ndarray:
+    """Which of four weights a pair of labels has as a skip: equal kinds, different kinds, a kind beside none, none beside none. What repeats is of one
+    kind whichever kind that is."""
+    kind = 1 - np.eye(len(LABELS), dtype=int)
+    kind[0], kind[:, 0], kind[0, 0] = 2, 2, 3
+    return kind
+
+
+def fit(examples: list[tuple], epochs: int = 400, rate: float = 0.5, decay: float = 1e-4, skips: bool = True) -> Field:
+    """All weights together from training rows, by AdaGrad on the pseudo-likelihood: each token's label given its own features (in a second copy
+    of the row: given its context only), and its neighbours' labels. None: all zero. ``skips``: whether skip weights are learned (else they stay zero)."""
     if not examples:
         return Field()
-    width = max(len(x[0]) for x in examples)
-    index = np.full((len(examples), width), FEATURES)
-    for i, x in enumerate(examples):
-        index[i, : len(x[0])] = x[0]
-    _, labels, left, far = (np.array(c) if k else None for k, c in enumerate(zip(*examples, strict=True)))
-    w, g = np.zeros((FEATURES + 1, len(LABELS))), np.full((FEATURES + 1, len(LABELS)), 1e-6)
-    one = np.eye(len(LABELS))[labels]
+    n, k = len(examples), len(LABELS)
+    rows = [[*own, *around] for own, around, *_ in examples] + [list(around) for _, around, *_ in examples]
+    width = max(map(len, rows))
+    index = np.full((2 * n, width), FEATURES)
+    for i, x in enumerate(rows):
+        index[i, : len(x)] = x
+    labels, left, right = (np.array([x[c] for x in examples], np.int64) for c in (2, 3, 4))
+    one = np.tile(np.eye(k)[labels], (2, 1))
+    # One-hot labels of the neighbours, zero where there is none; skip partners by their share, so a hub of many weighs like one of few.
+    beside = [np.tile(np.where(side[:, None] >= 0, np.eye(k)[np.maximum(side, 0)], 0.0), (2, 1)) for side in (left, right)]
+    far = np.array([x[5] for x in examples], float)
+    far = np.tile(far / np.maximum(far.sum(axis=1, keepdims=True), 1), (2, 1)) * skips
+    tied = _tied()
+    unary, chain, skip = np.zeros((FEATURES + 1, k)), np.zeros((k, k)), np.zeros(4)
+    past = [np.full(x.shape, 1e-6) for x in (unary, chain, skip)]
     for _ in range(epochs):
-        w[FEATURES] = 0
-        score = w[index].sum(axis=1)
+        unary[FEATURES] = 0
+        score = unary[index].sum(axis=1) + beside[0] @ chain + beside[1] @ chain.T + far @ skip[tied]
         p = np.exp(score - score.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        slope = np.stack([np.bincount(index.ravel(), np.repeat(d, width), FEATURES + 1) for d in (p - one).T], axis=1) / len(labels) + decay * w
-        g += slope**2
-        w -= rate * slope / np.sqrt(g)
-    share = (np.bincount(labels, minlength=len(LABELS)) + 1.0) / (len(labels) + len(LABELS))
-    both = lambda other, tied: _odds(np.stack([other, labels], axis=1)[other >= 0], share, tied)
-    return Field(w[:FEATURES], both(left, False), both(far, True))
+        d = (p - one) / len(one)
+        slopes = (
+            np.stack([np.bincount(index.ravel(), np.repeat(x, width), FEATURES + 1) for x in d.T], axis=1) + decay * unary,
+            beside[0].T @ d + d.T @ beside[1] + decay * chain,
+            np.bincount(tied.ravel(), (far.T @ d).ravel(), 4) + decay * skip,
+        )
+        for w, g, slope in zip((unary, chain, skip), past, slopes, strict=True):
+            g += slope**2
+            w -= rate * slope / np.sqrt(g)
+    return Field(unary[:FEATURES], chain, skip[tied] if skips else np.zeros((k, k)))
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """A field from about ``sample_docs`` documents, chosen by a hash of their id, with at most SAMPLE_TOKENS tokens each."""
+    """A field from about ``sample_docs`` documents, chosen by a hash of id and text, with about SAMPLE_TOKENS tokens each at most.
+
+    Documents without an id are told apart by their texts, and rows that are repeated whole count once, so the sample is bounded whatever the ids are."""
     texts = texts_of(docs, id_col, text_col)
     n = max(1, docs.count())
-    chosen = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(min(1.0, sample_docs / n) * (1 << 20))))
+    chosen = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.lit(int(min(1.0, sample_docs / n) * (1 << 20)))).distinct()
 
     def run(batches):
         for _, block in rows(batches, "doc_id", "text"):
             out = [x for text in block for x in sample_rows(text)]
-            yield pa.RecordBatch.from_pydict({"features": pa.array([x[0] for x in out], pa.list_(pa.int32())), "label": pa.array([x[1] for x in out], pa.int32()), "chain": pa.array([x[2] for x in out], pa.int32()), "skip": pa.array([x[3] for x in out], pa.int32())})
+            yield arrow(EXAMPLE, zip(*out, strict=True) if out else [[]] * len(EXAMPLE))
 
-    found = chosen.mapInArrow(run, "features array<int>, label int, chain int, skip int").toArrow()
-    examples = sorted(zip(*(found.column(i).to_pylist() for i in range(4)), strict=True))  # in any order, the same sums
+    found = chosen.mapInArrow(run, EXAMPLE_DDL).toArrow()
+    examples = sorted(zip(*(found.column(i).to_pylist() for i in range(len(EXAMPLE))), strict=True))  # in any order, the same sums
     return fit(examples)
 
 
@@ -338,13 +400,17 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def mask_documents(docs: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
-    """``docs`` with personal data masked in its text; other columns pass unchanged, null texts stay null."""
+    """``docs`` with personal data masked in its text; other columns pass unchanged, null texts stay null.
+
+    Repeated rows stay, each with the same result; where spans overlap, the one that starts first names the whole (see ``masked``); an empty table gives
+    an empty one."""
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            texts = [t if t is None else masked(t, model.spans(t)[1]) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))], names)
+            for part in slices(batch):
+                texts = [t if t is None else masked(t, model.spans(t)[1]) for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else part.column(i) for i in range(len(names))], names)
 
     return docs.mapInArrow(run, docs.schema)
 

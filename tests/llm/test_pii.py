@@ -1,7 +1,9 @@
 import hashlib
+import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -48,7 +50,8 @@ def test_message_passing_is_exact_on_trees():
     chain, skip = pii.edges_of(text, tokens)
     assert skip and len(chain) + len(skip) < len(tokens)
     energy = np.array([model.unary[pii.features(text, a, b)].sum(axis=0) for a, b in tokens])
-    energy[~np.array([pii.possible(text[a:b]) for a, b in tokens])] = -30.0
+    runs = pii.number_runs(text, tokens, chain)
+    energy[~np.array([pii.possible(text[a:b], len(run)) for (a, b), run in zip(tokens, runs, strict=True)])] = -30.0
     exact = brute_marginals(energy, [*chain, *skip], [model.chain] * len(chain) + [model.skip] * len(skip))
     assert np.abs(model.marginals(text, tokens, [0] * len(tokens)) - exact).max() < 0.02
 
@@ -99,3 +102,59 @@ def test_documents(spark, docs_edge):
 @pytest.mark.parametrize("text", ["1" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "+1 " * 70_000, "@" * 100_000, "555-123-4567 " * 5_000])
 def test_long_texts(text):
     trained().spans(text)
+
+
+def mentions():
+    """Texts of the fixture with a number given in full and, far from it, in part; and a number of the same form that is given nowhere else."""
+    r = random.Random(4)
+    texts = [x or "" for x in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
+    for base in texts[500:600]:
+        a, b = ("".join(r.choices("0123456789", k=10)) for _ in range(2))
+        for form in ("{0}-{1}-{2}", "{0} {1} {2}", "{1}-{2}"):
+            own, other = (form.format(x[:3], x[3:6], x[6:]) for x in (a, b))
+            words = base.split()[:200]
+            yield " ".join([*words[:50], "call", f"+1 ({a[:3]}) {a[3:6]}-{a[6:]}", "or", *words[50:], "again", own, "and", "ref", other, "end"]), own, other
+
+
+def test_skips_find_mentions_that_chains_alone_do_not():
+    texts = [x or "" for x in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
+    rows = sorted(x for t in texts[:500] for x in pii.sample_rows(t))
+    found, wrong, n = {True: 0, False: 0}, {True: 0, False: 0}, 0
+    models = {skips: pii.fit(rows, skips=skips) for skips in (True, False)}
+    for text, own, other in mentions():
+        at, far, n = text.rindex("again " + own) + 6, text.rindex("ref " + other) + 4, n + 1
+        for skips, model in models.items():
+            every = model.spans(text)[1]
+            found[skips] += any(a <= at and b >= at + len(own) for _, a, b in every)
+            wrong[skips] += any(a < far + len(other) and b > far for _, a, b in every)
+    assert found[True] >= 0.9 * n and found[False] <= 0.4 * n and wrong[True] <= 0.01 * n, (found, wrong, n)
+
+
+def test_a_label_reaches_every_mention_however_many():
+    text = "Call +1 (555) 123-4567 today. " + "More 555-123-4567 words. " * 200
+    base, every = trained().spans(text)
+    assert len(base) == 1 and len(every) == 201
+
+
+def test_grouped_numbers_share_their_runs_key():
+    text = "01 42 68 53 00 here and 01 42 68 53 00 there"
+    tokens = pii.candidates(text)
+    chain, skip = pii.edges_of(text, tokens)
+    assert (0, 1) in chain and {i for e in skip for i in e} == set(range(10)) - {1} and len(chain) == 8
+
+
+def test_samples_are_bounded_whatever_the_ids_are(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "fit", lambda rows, **_: seen.append(len(rows)) or pii.Field())
+    n = 3000
+    one = lambda i, text: spark.range(n).selectExpr(f"{i} doc_id", f"{text} text")
+    pii.train(one("cast(null as long)", "concat('no. ', id, ' of 9')"), sample_docs=100)
+    pii.train(one("7L", "'a@b.co 12 and 13'"), sample_docs=100)
+    assert 50 < seen[0] < 400 and seen[1] <= 3
+    assert len(pii.sample_rows("a1 " * 10_000)) < 120 and max(len(x[0]) for x in pii.sample_rows("x 1 " * 40)) > 0
+
+
+def test_context_words_are_whole():
+    word = "w" * 5000
+    assert pii.context(f"{word}a 12 {word}b", 5002, 5004) != pii.context(f"{word}c 12 {word}b", 5002, 5004)
+    assert pii.own_features("1" * 70 + "a") != pii.own_features("1" * 70 + "-")
