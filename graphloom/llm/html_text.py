@@ -1,8 +1,9 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one per block element; what a page marks as furniture (menus, forms, adverts and the like)
-leaves blank lines. Lengths summed over a sliding window of lines give the distribution: text is kept from the point where
-it surges to the point where it dives to zero.
+leaves blank lines, and so do the edges of article and main elements. Text lengths, weighted by tags, are summed over a sliding window of lines: a
+block runs from the point where the sums surge to the point where they dive to zero. On every page the heaviest block is the core of the text. The
+innermost element that holds the core's paragraphs then says how far the text goes, so that short lines beside an advert are not lost.
 """
 
 from __future__ import annotations
@@ -36,9 +37,13 @@ HINTS = frozenset(
 FIRM_HINTS = frozenset("comment comments commentlist disqus reply replies respond discussion related recommended".split())
 #: Words that do so only outside the article, where a heading may stand in such a block.
 OUTER_HINTS = frozenset("header head top side".split())
+#: Elements whose text is a paragraph of some kind; words in their class mark nothing.
+PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt td th figcaption caption summary".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-#: Lines in a window, and the window's sum of characters from which text surges where no element names the article.
+#: Lines in a window, and the weighted sum of characters in one from which text surges.
 WINDOW, SURGE = 3, 86
+#: Weight of a character in an article or main element, against one elsewhere.
+NAMED = 2
 
 
 def _furniture(name: str, rest: str, inside: bool) -> str:
@@ -47,12 +52,13 @@ def _furniture(name: str, rest: str, inside: bool) -> str:
         return "firm"
     if not rest or name in ("html", "body", "main"):
         return ""
+    plain = name in PARAGRAPH
     loose = ""
     for key, a, b, c in ATTRIBUTE.findall(rest):
         key, value = key.lower(), a or b or c
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return "firm"
-        if key in ("class", "id", "role"):
+        if key in ("class", "id", "role") and not plain:
             words = {w.lower() for w in WORD.findall(value)}
             if words & FIRM_HINTS:
                 return "firm"
@@ -62,35 +68,40 @@ def _furniture(name: str, rest: str, inside: bool) -> str:
 
 
 class Page:
-    """The lines of a page: text, characters outside links, and whether the line lies in an article or main element."""
+    """The lines of a page: text, characters outside links, whether it lies in an article or main element, whether it is a paragraph, and the
+    place of its first tag among all tags."""
 
     def __init__(self, html: str):
-        tags = list(TAG.finditer(html))
-        ends = self._ends(tags)
+        self.tags = tags = list(TAG.finditer(html))
+        self.ends = ends = self._ends(tags)
         regions = self._regions(tags, ends)
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, bool, int]] = []
         parts: list[str] = []
-        linked, anchors, at, k, region = 0, 0, 0, 0, 0
+        linked, anchors, at, k, region, deep, first = 0, 0, 0, 0, 0, 0, 0
 
         def flush(blank: int = 0) -> None:
             nonlocal linked
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                self.lines.append((text, max(0, len(text) - linked), region))
+                self.lines.append((text, max(0, len(text) - linked), region, deep > 0, first))
             linked = 0
-            self.lines.extend([("", 0, region)] * blank)
+            self.lines.extend([("", 0, region, False, k)] * blank)
 
         starts = [a for a, _, _ in regions]
+        edges = {k for a, b, _ in regions for k in (a, b)}
         top = tags[max(regions, key=lambda r: tags[r[1]].end() - tags[r[0]].start())[0]].start() if regions else None
         while k < len(tags):
             tag = tags[k]
             if tag.start() > at:
+                first = k if not parts else first
                 parts.append(html[at : tag.start()])
                 linked += (tag.start() - at) * (anchors > 0)
             at = tag.end()
             name = (tag["name"] or "").lower()
             here = bisect_right(starts, k) - 1
+            if k in edges:
+                flush(WINDOW)
             region = regions[here][2] if here >= 0 and k <= regions[here][1] else 0
             if not name:
                 k += 1
@@ -115,11 +126,24 @@ class Page:
                 anchors = max(0, anchors + (-1 if tag["close"] else 1))
             elif name not in INLINE:
                 flush()
+                if name in PARAGRAPH:  # closed or not, what follows another block's tag is no longer of it
+                    deep = max(0, deep - 1) if tag["close"] else deep + 1 if k in ends else 1
+                elif name != "br":
+                    deep = 0
             k += 1
         if at < len(html):
+            first = k if not parts else first
             parts.append(html[at:])
         flush()
 
+    def holder(self, first: int, last: int) -> tuple[int, int] | None:
+        """The innermost element but html and body that is open from the tag ``first`` to the tag ``last``, as its own first and last tag."""
+        found = None
+        for k, end in self.ends.items():
+            if k < first and last <= end and (tag := self.tags[k]["name"].lower()) not in PARAGRAPH and tag not in ("html", "body") and (found is None or k > found[0]):
+                found = (k, end)
+        return found
+
     @staticmethod
     def _ends(tags) -> dict[int, int]:
         """The closing tag of each opening one that has one. Inside scripts and the like, only their own closing tag counts."""
@@ -172,18 +196,16 @@ class Page:
 
 
 def main_lines(html: str) -> list[str]:
-    """The lines of a page that lie between surge and dive points of its line-block distribution."""
-    lines = Page(html).lines
-    marked = any(region and text for text, _, region in lines)
-    if marked:  # only lines in the named element weigh anything, and there the smallest sum is a surge
-        weights = [len(text) if region else 0 for text, _, region in lines]
-    else:
-        weights = [len(text) if 2 * own >= len(text) else 0 for text, own, _ in lines]
+    """The lines of a page's core block, those between a surge and a dive of its line-block distribution, and of the element around its paragraphs.
+
+    Where no element but the body holds them, every block that surges counts."""
+    page = Page(html)
+    lines = page.lines
+    # A line that is mostly a link weighs nothing; in a named element a character weighs more than outside.
+    weights = [len(text) * (NAMED if region else 1) if region or 2 * own >= len(text) else 0 for text, own, region, _, _ in lines]
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
     most = max(sums, default=0)
-    surge = 1 if marked else min(SURGE, most)
-    kept: list[tuple[int, list[str]]] = []
-    i = 0
+    surge, blocks, i = min(SURGE, most), [], 0
     while i < len(sums) and most:
         if sums[i] < surge or not weights[i]:
             i += 1
@@ -191,12 +213,17 @@ def main_lines(html: str) -> list[str]:
         end = i
         while end < len(sums) and sums[end]:  # the dive
             end += 1
-        kept.append((sum(weights[i:end]), [lines[k][0] for k in range(i, end) if weights[k]]))
+        blocks.append((i, end))
         i = end + 1
-    if not marked and kept:  # without a named element, blocks far smaller than the largest are furniture
-        largest = max(n for n, _ in kept)
-        kept = [(n, block) for n, block in kept if 5 * n >= largest]
-    return [line for _, block in kept for line in block]
+    if not blocks:
+        return []
+    core = max(blocks, key=lambda b: sum(weights[b[0] : b[1]]))
+    own = [x for x in lines[core[0] : core[1]] if x[0]]
+    tops = [x for x in own if x[3]] or own
+    around = page.holder(tops[0][4], tops[-1][4])
+    if around is None:
+        return [lines[k][0] for a, b in blocks for k in range(a, b) if weights[k]]
+    return [x[0] for x in lines if x[0] and around[0] < x[4] <= around[1]]
 
 
 FIELDS = {"page_id": pa.int64(), "url": pa.string(), "text": pa.string(), "n_chars": pa.int64()}

@@ -67,4 +67,18 @@ def test_fixture_articles():
     for page in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist():
         article = re.search(r"<article>(.*?)</article>", page, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|div|ul|li|br)\b[^>]*>", article)]
-        assert text(page) == " ".join(x for x in blocks if x)
+        want = " ".join(x for x in blocks if x)
+        assert text(page) == want
+        # The distribution finds the same text where no tag names it, and where the advert's class says nothing either.
+        plain = re.sub(r"(</?)article>", r"\1div>", page)
+        assert text(plain) == want and text(plain.replace('class="ad"', 'class="x"')) == want
+
+
+def test_short_lines_beside_an_advert_stay():
+    page = f"""<body><div id=top>Read the news here</div><div class=post><h1>Title</h1><div><p>{LONG}</p><p>{LONG}</p></div><div class="ad">Buy</div><p>The end.</p></div><div>Call now</div></body>"""
+    assert text(page) == f"Title {LONG.strip()} {LONG.strip()} The end."
+
+
+def test_words_in_the_class_of_a_paragraph_mark_nothing():
+    assert text('<article><h1>T</h1><p class="related-work">Body of the text</p></article>') == "T Body of the text"
+    assert text(f'<body><div><h2 id="discussion">Discussion</h2><p class="search-results">{LONG}</p></div></body>') == f"Discussion {LONG.strip()}"
