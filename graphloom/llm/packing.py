@@ -3,7 +3,8 @@
 Lengths are bounded by the sequence length, so the plan is made on the driver from at most ``capacity`` counts,
 however many documents there are: sums of one, two and three lengths that fill a sequence exactly are consumed as often as counts allow,
 the rest goes best-fit, longest first. The plan is a list of runs of like sequences; pieces find their place by their rank
-among the pieces of their length.
+among the pieces of their length: their number within the task that wrote them, after the pieces of all tasks before it. So no length, however
+common, meets in one task.
 """
 
 from __future__ import annotations
@@ -13,13 +14,12 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from graphloom.llm.common import arrow, rows, texts_of, written
 from graphloom.llm.library_tokens import document_ids
 
-#: Shares into which ranks within a length are dealt, so that no length meets in one task.
-SALTS = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECE_FIELDS = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
 
@@ -127,7 +127,10 @@ class Places:
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of every document's ids followed by ``end_id``. Only documents longer than ``capacity`` are cut, into full pieces
-    after a first one that takes the remainder."""
+    after a first one that takes the remainder.
+
+    Texts are read whole, however long: one is encoded at a time, and its ids are held at four bytes each. Null texts count as empty, null and
+    repeated ids stay, an empty table gives an empty one."""
 
     def run(batches):
         encode, end = document_ids(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
@@ -146,29 +149,40 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_i
 
 
 def place_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """``pieces`` (any columns, among them ``doc_id``, ``piece`` and ``length``) with ``sequence_id`` and a gapless ``offset``.
-
-    The plan needs one count per length and share (at most ``capacity`` x SALTS rows reach the driver); no text or id moves."""
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    shares = salted.groupBy("length", "_salt").count().toPandas()
-    totals = shares.groupby("length")["count"].sum()
-    places = Places(plan({int(k): int(v) for k, v in totals.items()}, capacity))
-    base = np.zeros((capacity + 1, SALTS + 1), dtype=np.int64)
-    base[shares["length"].to_numpy(), shares["_salt"].to_numpy() + 1] = shares["count"].to_numpy()
-    base = base.cumsum(axis=1)
-    lent = pieces.sparkSession.sparkContext.broadcast((places, base))  # bounded by capacity, not by the rows
-    order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start")
+    """``pieces`` (any columns, among them ``length``) with ``sequence_id`` and a gapless ``offset``.
+
+    The pieces are written once, numbered by length within their task. The plan needs one total per length (at most ``capacity`` rows reach the
+    driver); what tasks before have of a length comes by a join on task and length, of which no pair has more rows than a task. No text or id moves."""
     names = pieces.columns
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+
+    def number(batches):
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for b in batches:
+            length = b.column(b.schema.get_field_index("length")).to_numpy()
+            order = np.argsort(length, kind="stable")
+            ends = length[order]
+            first = np.searchsorted(ends, ends)  # where a length begins in the order
+            rank = np.empty(len(length), np.int64)
+            rank[order] = seen[ends] + np.arange(len(length)) - first
+            seen += np.bincount(length, minlength=capacity + 1)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(np.full(len(length), part, np.int64)), pa.array(rank)], [*names, "_part", "_rank"])
+
+    numbered = written(pieces.mapInArrow(number, f"{kinds}, _part long, _rank long"))
+    shares = written(numbered.groupBy("length", "_part").agg(F.count("*").alias("_n")))
+    places = Places(plan(dict(map(tuple, shares.groupBy("length").agg(F.sum("_n")).collect())), capacity))
+    lent = pieces.sparkSession.sparkContext.broadcast(places)  # bounded by capacity, not by the rows
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = numbered.join(shares.select("length", "_part", before.alias("_before")), ["length", "_part"])
+    ranked = ranked.select(*names, (F.col("_before") + F.col("_rank")).alias("_rank"))
 
     def run(batches):
-        places, base = lent.value
+        places = lent.value
         for b in batches:
-            length, salt, rank = (b.column(b.schema.get_field_index(x)).to_numpy() for x in ("length", "_salt", "_rank"))
-            sequence, offset = places.of(length, base[length, salt] + rank - 1)
+            length, rank = (b.column(b.schema.get_field_index(x)).to_numpy() for x in ("length", "_rank"))
+            sequence, offset = places.of(length, rank)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    ranked = salted.withColumn("_rank", F.row_number().over(order).cast("long")).select(*names, "_salt", "_rank")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
 
 
@@ -177,7 +191,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
 
     Null texts count as empty and pack as the single ``end_id``; rows with one doc_id several times are packed each (which
     of them gets which place is then open); an empty table gives an empty one; other columns are ignored."""
-    return place_pieces(written(cut_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col)), capacity)
+    return place_pieces(cut_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), capacity)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,3 +80,17 @@ def test_documents(spark, docs_edge):
 
 def test_empty_table(spark, docs_edge):
     assert packing.pack_documents(docs_edge.limit(0), FIFTY).count() == 0
+
+
+def test_a_much_repeated_row_is_placed_piece_by_piece(spark):
+    docs = spark.range(500).selectExpr("7L doc_id", "'the same words again' text").unionByName(spark.createDataFrame([(None, "x y"), (8, "words " * 3000)], "doc_id long, text string")).repartition(5)
+    by_sequence = defaultdict(list)
+    for r in packing.pack_documents(docs, FIFTY).collect():
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    assert sum(map(len, by_sequence.values())) == 503
+    for row in by_sequence.values():
+        end = 0
+        for offset, length in sorted(row):
+            assert offset == end
+            end += length
+        assert end <= 2048
