@@ -110,7 +110,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield arrow(NEXT_FIELDS, zip((held[0], *[None] * 6, part, "last", held[1])))
 
     ordered = texts_of(docs, id_col, text_col).withColumn("_tie", F.xxhash64("text"))
-    ordered = ordered.repartitionByRange(F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"), "_tie").drop("_tie")
+    ordered = ordered.repartitionByRange(F.desc("doc_id"), "_tie").sortWithinPartitions(F.desc("doc_id"), "_tie").drop("_tie")
     dealt = written(ordered.mapInArrow(run, NEXT))
     names = ["doc_id", *list(NEXT_FIELDS)[1:7]]
     # One row a range: which range follows. Their number is that of the partitions, not of the documents.

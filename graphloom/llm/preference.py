@@ -14,9 +14,10 @@ def conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tu
     """``pair_id, turns``: each conversation's turns as an array of ``(turn, role, text)`` in order.
 
     Null roles and texts count as empty; turns with one number follow each other by role, then text; repeated rows stay;
-    a null id is a conversation of its own; other columns are ignored."""
+    a turn without an id belongs to no other one's conversation and is one by itself, however many there are; other columns are ignored."""
     turn = F.struct(turns[turn_col].cast("long").alias("turn"), F.coalesce(turns[role_col], F.lit("")).alias("role"), F.coalesce(turns[text_col], F.lit("")).alias("text"))
-    return turns.select(turns[id_col].alias("pair_id"), turn.alias("t")).groupBy("pair_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    alone = F.when(turns[id_col].isNull(), F.monotonically_increasing_id())
+    return turns.select(turns[id_col].alias("pair_id"), alone.alias("_alone"), turn.alias("t")).groupBy("pair_id", "_alone").agg(F.sort_array(F.collect_list("t")).alias("turns")).drop("_alone")
 
 
 def _header(t: Column) -> Column:
@@ -76,9 +77,9 @@ def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = """
-WITH c AS (
+WITH t AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations), c AS (
   SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS a
-  FROM conversations GROUP BY conv_id
+  FROM t GROUP BY conv_id, alone
 ), k AS (
   SELECT conv_id, a, len(a) AS n, coalesce(list_max([i FOR i IN range(1, len(a) + 1) IF a[i].role = 'assistant']), 0) AS last FROM c
 ), p AS (
