@@ -25,13 +25,13 @@ def stored(graph: Graph) -> Graph:
 
 
 def label_counts(nodes: DataFrame) -> DataFrame:
-    """Nodes by label, most first."""
-    return nodes.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label")
+    """Nodes by label; callers that show them order by n."""
+    return nodes.groupBy("label").agg(F.count("*").alias("n"))
 
 
 def edge_type_counts(edges: DataFrame) -> DataFrame:
-    """Edges by relationship, most first."""
-    return edges.groupBy("rel").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rel")
+    """Edges by relationship; callers that show them order by n."""
+    return edges.groupBy("rel").agg(F.count("*").alias("n"))
 
 
 def last_writer(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], once: Sequence[str] = ()) -> DataFrame:
@@ -105,13 +105,54 @@ def collected(found: DataFrame, name: str, fields: dict[str, Column], key: str |
     return found.groupBy("project_id", "anchor_id").agg(F.sort_array(F.collect_set(entry)).alias(name))
 
 
-def with_branches(anchors: DataFrame, branches: Sequence[DataFrame]) -> DataFrame:
-    """Anchors with each branch's array, empty where a branch has nothing. Each branch holds a row an anchor at most, so branches never multiply."""
+@dataclass(frozen=True)
+class Branch:
+    """An optional branch: the distinct entries (``fields`` of the node at the far end, of the edge's ``edge_props``, or ``defined_in``) along the
+    edges of ``rels``; entries whose ``key`` is null are none."""
+
+    name: str
+    rels: tuple[str, ...]
+    fields: dict[str, Column]
+    outgoing: bool = True
+    labels: tuple[str, ...] = ()
+    key: str = "name"
+
+
+def defining_files(graph: Graph) -> DataFrame:
+    """``project_id, node_id, defined_in``: the path of the file that defines a node."""
+    at = graph.edges.where("rel = 'DEFINED_IN'").select("project_id", F.col("src_id").alias("node_id"), F.col("dst_id").alias("_file"))
+    files = graph.nodes.where("label = 'File'").select("project_id", F.col("node_id").alias("_file"), F.col("file_path").alias("defined_in"))
+    return at.join(files, ["project_id", "_file"]).drop("_file")
+
+
+def with_branches(graph: Graph, anchors: DataFrame, branches: Sequence[Branch], more: Sequence[DataFrame] = (), files: bool = False) -> DataFrame:
+    """Anchors (``node_id`` as ``anchor_id``) with each branch's array, empty where a branch has nothing.
+
+    All branches are found in one pass: one filter of the edges, one join to the nodes, one aggregation by anchor with a conditional set a branch. So
+    branches never multiply, and a template shuffles once however many it has. ``more``: frames from ``collected``. ``files``: whether entries use ``defined_in``."""
+    parts = []
+    for outgoing, near, far in ((True, "src_id", "dst_id"), (False, "dst_id", "src_id")):
+        rels = sorted({r for b in branches if b.outgoing == outgoing for r in b.rels})
+        if rels:
+            edges = graph.edges.where(F.col("rel").isin(*rels))
+            parts.append(edges.select("project_id", F.col(near).alias("anchor_id"), F.col(far).alias("node_id"), "rel", F.lit(outgoing).alias("_out"), F.col("props").alias("edge_props")))
+    steps = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    ids = anchors.select("project_id", F.col("node_id").alias("anchor_id"))
+    found = steps.join(ids, ["project_id", "anchor_id"], "left_semi").join(graph.nodes, ["project_id", "node_id"])
+    if files:
+        found = found.join(defining_files(graph), ["project_id", "node_id"], "left")
+
+    def entries(b: Branch) -> Column:
+        belongs = F.col("rel").isin(*b.rels) & (F.col("_out") == b.outgoing) & b.fields[b.key].isNotNull()
+        if b.labels:
+            belongs &= F.col("label").isin(*b.labels)
+        return F.sort_array(F.collect_set(F.when(belongs, F.struct(*[c.alias(k) for k, c in b.fields.items()])))).alias(b.name)
+
     out = anchors.withColumnRenamed("node_id", "anchor_id")
-    for branch in branches:
-        name = branch.columns[-1]
-        empty = F.array().cast(branch.schema[name].dataType)
-        out = out.join(branch, ["project_id", "anchor_id"], "left").withColumn(name, F.coalesce(F.col(name), empty))
+    for frame in (found.groupBy("project_id", "anchor_id").agg(*map(entries, branches)), *more):
+        out = out.join(frame, ["project_id", "anchor_id"], "left")
+        for name in frame.columns[2:]:
+            out = out.withColumn(name, F.coalesce(F.col(name), F.array().cast(frame.schema[name].dataType)))
     return out
 
 

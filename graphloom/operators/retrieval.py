@@ -8,30 +8,34 @@ from graphloom.operators import context, resolve, templates
 from graphloom.operators.graph import Graph
 from graphloom.operators.rank import BUDGET
 from graphloom.schemas import ANCHORS
+from graphloom.sources.store import written
 
 
 def graph_contexts(graph: Graph, corpus: DataFrame, requests: DataFrame, task_type: str, asked_routes: list[str] | None = None, hardened: bool = False, limit: int = 40, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
     """Contexts (``project_id, task_type, assembly, tokens, context, fallback``) and resolutions of requests of one task type.
 
     Requests: ``request_id, project_id, requested`` (an anchor name) and optionally ``spec``, one task a project. Strict names must match exactly; hardened
-    ones go down the resolution ladder, and a project none of whose anchors resolve gets the overview of its largest components."""
+    ones go down the resolution ladder, and a project none of whose anchors resolve gets the overview of its largest components.
+
+    Each step is written before the next one reads it: templates join frames of one graph many times, and a plan that nested one in another would
+    keep the analyzer busy for longer than the work takes."""
     nodes = graph.nodes.where(F.col("label").isin(*ANCHORS))
     if hardened:
         found = resolve.resolve_anchors(requests, nodes)
     else:
         known = nodes.select("project_id", F.col("name").alias("requested")).distinct().withColumn("name", F.col("requested"))
         found = resolve.resolve_strictly(requests, nodes).join(known, ["project_id", "requested"], "left")
-    found = found.cache()
+    found = written(found)
     names = found.where("name is not null").select("project_id", "name").distinct()
-    rows = templates.DISPATCH[task_type](graph, names)
-    callers = templates.caller_props(graph, names) if task_type == "refactoring" else None
-    routes = templates.routing_table(graph) if task_type == "feature_addition" else None
-    near = templates.neighbor_props(graph, context.neighbour_uids(rows))
+    rows = written(templates.DISPATCH[task_type](graph, names))
+    callers = written(templates.caller_props(graph, names)) if task_type == "refactoring" else None
+    routes = written(templates.routing_table(graph)) if task_type == "feature_addition" else None
+    near = written(templates.neighbor_props(graph, context.neighbour_uids(rows)))
     built = context.assemble(rows, corpus, task_type, near, callers, routes, asked_routes, budget).withColumn("task_type", F.lit(task_type))
     out = context.render(built).withColumn("fallback", F.lit(False))
     if hardened:
         lost = found.select("project_id").distinct().join(names, "project_id", "left_anti")
-        top = context.overview(templates.project_overview(graph, limit).join(lost, "project_id", "left_semi"), budget)
+        top = context.overview(written(templates.project_overview(graph, limit, projects=written(lost))), budget)
         out = out.unionByName(context.render(_overview(top).withColumn("task_type", F.lit(task_type))).withColumn("fallback", F.lit(True)))
     return out, found
 

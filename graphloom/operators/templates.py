@@ -1,13 +1,13 @@
 """Graph retrieval templates. Every optional branch is aggregated by anchor before it is joined, so a template's work is linear in the edges
-at its anchors instead of the product of its branches."""
+at its anchors instead of the product of its branches. Rows come in no order; ``ordered`` sorts them for a reader."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from graphloom.operators.graph import Graph, collected, in_project, neighbours, with_branches
+from graphloom.operators.graph import Branch, Graph, collected, defining_files, in_project, neighbours, with_branches
 from graphloom.schemas import ANCHORS, COMPONENTS
 
 
@@ -15,95 +15,85 @@ def prop(name: str, kind: str = "string") -> Column:
     return F.col("props")[name].cast(kind)
 
 
-
-
 def _node(*names: str) -> dict[str, Column]:
     known = {"name": "name", "filePath": "file_path", "uid": "uid"}
     return {n: F.col(known[n]) if n in known else prop(n, "boolean" if n.startswith("is") else "string") for n in names}
 
 
-def _anchors(graph: Graph, project_id: str | None, names: Sequence[str] | DataFrame, labels: Sequence[str]) -> DataFrame:
-    """The anchors, cached: every branch starts from them."""
-    return _chosen(graph, project_id, names, labels).cache()
+def _defined() -> dict[str, Column]:
+    return {"name": F.col("name"), "filePath": F.col("defined_in")}
 
 
-def _chosen(graph: Graph, project_id: str | None, names: Sequence[str] | DataFrame, labels: Sequence[str]) -> DataFrame:
+def _anchors(graph: Graph, project_id: str | None, names: Sequence[str] | DataFrame, labels: Sequence[str]) -> DataFrame:
     found = in_project(graph, labels, project_id)
     if isinstance(names, DataFrame):  # project_id, name
         return found.join(names.select("project_id", "name").distinct(), ["project_id", "name"], "left_semi")
     return found.where(F.col("name").isin(*names)) if names else found.limit(0)
 
 
-def _entries(graph: Graph, anchors: DataFrame, column: str, rels: Sequence[str], fields: dict[str, Column], outgoing: bool = True, labels: Sequence[str] = (), key: str = "name") -> DataFrame:
-    return collected(neighbours(graph, anchors, rels, outgoing, labels), column, fields, key)
-
+def _result(graph: Graph, anchors: DataFrame, branches: Sequence[Branch], more: Sequence[DataFrame] = (), files: bool = False) -> DataFrame:
+    names = [*[b.name for b in branches], *[f.columns[-1] for f in more]]
+    out = with_branches(graph, anchors.select("project_id", "node_id", "name", "file_path", "label"), branches, more, files)
+    return out.select("project_id", F.col("name").alias("componentName"), F.col("file_path").alias("filePath"), F.col("label").alias("componentType"), *names)
 
-def _with_file(graph: Graph, found: DataFrame) -> DataFrame:
-    """Neighbours with the path of the file that defines them, null if none does."""
-    at = graph.edges.where("rel = 'DEFINED_IN'").select("project_id", F.col("src_id").alias("node_id"), F.col("dst_id").alias("_file"))
-    files = graph.nodes.where("label = 'File'").select("project_id", F.col("node_id").alias("_file"), F.col("file_path").alias("defined_in"))
-    return found.join(at.join(files, ["project_id", "_file"]).drop("_file"), ["project_id", "node_id"], "left")
 
+def ordered(rows: DataFrame) -> DataFrame:
+    """A template's rows by project, component and file."""
+    return rows.orderBy("project_id", "componentName", "filePath")
 
-def _result(anchors: DataFrame, branches: Sequence[DataFrame]) -> DataFrame:
-    out = with_branches(anchors, branches)
-    return out.select(
-        "project_id", F.col("name").alias("componentName"), F.col("file_path").alias("filePath"), F.col("label").alias("componentType"), *[b.columns[-1] for b in branches]
-    ).orderBy("project_id", "componentName", "filePath")
 
-
-def _interface(graph: Graph, anchors: DataFrame) -> dict[str, DataFrame]:
-    """The branches that several templates share."""
-    get = lambda column, rels, fields, **more: _entries(graph, anchors, column, rels, fields, **more)
-    return {
-        "acceptedProps": get("acceptedProps", ["ACCEPTS_PROP"], _node("name", "type", "isRequired")),
-        "libraryHooks": get("libraryHooks", ["USES_LIBRARY_HOOK"], _node("name", "source")),
-        "customHooks": get("customHooks", ["USES_CUSTOM_HOOK"], _node("name", "filePath")),
-        "stateVars": get("stateVars", ["DECLARES_STATE"], _node("name", "type", "defaultValue")),
-        "classStateVars": get("classStateVars", ["DECLARES_CLASS_STATE"], _node("name", "type", "defaultValue")),
-        "eventHandlers": get("eventHandlers", ["HAS_HANDLER"], {"eventType": prop("eventType"), "handlerName": F.col("name")}, key="handlerName"),
-        "children": get("children", ["USES_COMPONENT"], _node("name", "filePath", "uid"), labels=COMPONENTS),
+#: The branches that several templates share.
+def _shared(*names: str) -> list[Branch]:
+    known = {
+        "acceptedProps": lambda: Branch("acceptedProps", ("ACCEPTS_PROP",), _node("name", "type", "isRequired")),
+        "libraryHooks": lambda: Branch("libraryHooks", ("USES_LIBRARY_HOOK",), _node("name", "source")),
+        "customHooks": lambda: Branch("customHooks", ("USES_CUSTOM_HOOK",), _node("name", "filePath")),
+        "stateVars": lambda: Branch("stateVars", ("DECLARES_STATE",), _node("name", "type", "defaultValue")),
+        "classStateVars": lambda: Branch("classStateVars", ("DECLARES_CLASS_STATE",), _node("name", "type", "defaultValue")),
+        "eventHandlers": lambda: Branch("eventHandlers", ("HAS_HANDLER",), {"eventType": prop("eventType"), "handlerName": F.col("name")}, key="handlerName"),
+        "children": lambda: Branch("children", ("USES_COMPONENT",), _node("name", "filePath", "uid"), labels=COMPONENTS),
     }
+    return [known[n]() for n in names]
 
 
 def anchor_candidates(graph: Graph, project_id: str | None = None) -> DataFrame:
     """Every node that can be an anchor: ``name, uid, filePath, label``."""
-    return in_project(graph, ANCHORS, project_id).select("project_id", "name", "uid", F.col("file_path").alias("filePath"), "label").orderBy("project_id", "name", "uid")
+    return in_project(graph, ANCHORS, project_id).select("project_id", "name", "uid", F.col("file_path").alias("filePath"), "label")
 
 
 def bug_fix(graph: Graph, names, project_id: str | None = None) -> DataFrame:
     """Anchors (components or hooks) with their interface, parents that pass props, hooks they delegate to, and their users."""
-    anchors = _anchors(graph, project_id, names, ANCHORS)
-    shared = _interface(graph, anchors)
-    delegated = _with_file(graph, neighbours(graph, anchors, ["USES_CUSTOM_HOOK"], labels=("Custom_Hook",)))
     return _result(
-        anchors,
+        graph,
+        _anchors(graph, project_id, names, ANCHORS),
         [
-            *(shared[k] for k in ("acceptedProps", "libraryHooks", "customHooks", "stateVars", "classStateVars", "eventHandlers")),
-            _entries(graph, anchors, "directParents", ["PASSES_PROP"], _node("name", "filePath", "uid"), outgoing=False, labels=COMPONENTS),
-            collected(delegated, "delegatedHooks", {"name": F.col("name"), "filePath": F.col("defined_in")}, "name"),
-            _entries(graph, anchors, "usedByComponents", ["USES_CUSTOM_HOOK"], _node("name", "filePath", "uid"), outgoing=False, labels=ANCHORS),
+            *_shared("acceptedProps", "libraryHooks", "customHooks", "stateVars", "classStateVars", "eventHandlers"),
+            Branch("directParents", ("PASSES_PROP",), _node("name", "filePath", "uid"), outgoing=False, labels=COMPONENTS),
+            Branch("delegatedHooks", ("USES_CUSTOM_HOOK",), _defined(), labels=("Custom_Hook",)),
+            Branch("usedByComponents", ("USES_CUSTOM_HOOK",), _node("name", "filePath", "uid"), outgoing=False, labels=ANCHORS),
         ],
+        files=True,
     )
 
 
 def feature_addition(graph: Graph, names, project_id: str | None = None) -> DataFrame:
     """Anchor components with children, interface, the contexts they consume with who provides them, and their children's contexts."""
     anchors = _anchors(graph, project_id, names, COMPONENTS)
-    shared = _interface(graph, anchors)
     contexts = neighbours(graph, anchors, ["CONSUMES_CONTEXT"], labels=("Context",)).select("project_id", "anchor_id", F.col("node_id").alias("ctx_id"), F.col("name").alias("ctx_name"))
-    ids = contexts.select("project_id", F.col("ctx_id").alias("node_id")).distinct()
-    providers = _with_file(graph, neighbours(graph, ids, ["PROVIDES_CONTEXT"], outgoing=False, labels=COMPONENTS))
-    providers = providers.select("project_id", F.col("anchor_id").alias("ctx_id"), F.col("name").alias("provider"), F.col("defined_in").alias("provider_file"))
+    provided = graph.edges.where("rel = 'PROVIDES_CONTEXT'").select("project_id", F.col("dst_id").alias("ctx_id"), F.col("src_id").alias("node_id"))
+    makers = graph.nodes.where(F.col("label").isin(*COMPONENTS)).select("project_id", "node_id", F.col("name").alias("provider"))
+    providers = provided.join(makers, ["project_id", "node_id"]).join(defining_files(graph), ["project_id", "node_id"], "left").drop("node_id")
     consumed = contexts.join(providers, ["project_id", "ctx_id"], "left")
-    children = neighbours(graph, anchors, ["USES_COMPONENT"], labels=COMPONENTS).select("project_id", F.col("anchor_id").alias("top_id"), "node_id")
-    below = neighbours(graph, children.select("project_id", "node_id").distinct(), ["CONSUMES_CONTEXT"], labels=("Context",)).select("project_id", F.col("anchor_id").alias("node_id"), "name")
-    below = children.join(below, ["project_id", "node_id"]).select("project_id", F.col("top_id").alias("anchor_id"), "name")
+    children = neighbours(graph, anchors, ["USES_COMPONENT"], labels=COMPONENTS).select("project_id", F.col("anchor_id").alias("top_id"), "node_id").distinct()
+    below = graph.edges.where("rel = 'CONSUMES_CONTEXT'").select("project_id", F.col("src_id").alias("node_id"), F.col("dst_id").alias("ctx_id"))
+    below = children.join(below, ["project_id", "node_id"]).select("project_id", F.col("top_id").alias("anchor_id"), F.col("ctx_id").alias("node_id")).distinct()
+    below = below.join(graph.nodes.where("label = 'Context'").select("project_id", "node_id", "name"), ["project_id", "node_id"])
     return _result(
+        graph,
         anchors,
+        _shared("children", "acceptedProps", "libraryHooks", "customHooks", "stateVars"),
         [
-            *(shared[k] for k in ("children", "acceptedProps", "libraryHooks", "customHooks", "stateVars")),
-            collected(consumed, "consumedContexts", {"name": F.col("ctx_name"), "providerName": F.col("provider"), "providerFile": F.col("provider_file")}, "name"),
+            collected(consumed, "consumedContexts", {"name": F.col("ctx_name"), "providerName": F.col("provider"), "providerFile": F.col("defined_in")}, "name"),
             collected(below, "childConsumedContexts", {"name": F.col("name")}, "name"),
         ],
     )
@@ -118,26 +108,23 @@ def routing_table(graph: Graph, project_id: str | None = None) -> DataFrame:
     return (
         hops.join(own, ["project_id", "anchor_id"])
         .select("project_id", "routerComponent", "routerFile", F.col("edge_props")["path"].alias("routePath"), flag("isNested"), flag("isProtected"), flag("isLazy"), F.col("name").alias("targetComponent"), F.col("file_path").alias("targetFile"))
-        .orderBy("project_id", "routerComponent", "routePath", "targetComponent")
     )
 
 
 def refactoring(graph: Graph, names, project_id: str | None = None) -> DataFrame:
     """Anchor components with all callers, their inner structure and children."""
-    anchors = _anchors(graph, project_id, names, COMPONENTS)
-    shared = _interface(graph, anchors)
-    callers = _with_file(graph, neighbours(graph, anchors, ["USES_COMPONENT"], outgoing=False, labels=COMPONENTS))
-    hooks = _with_file(graph, neighbours(graph, anchors, ["USES_CUSTOM_HOOK"], labels=("Custom_Hook",)))
     return _result(
-        anchors,
+        graph,
+        _anchors(graph, project_id, names, COMPONENTS),
         [
-            shared["acceptedProps"],
-            collected(callers, "callers", {"name": F.col("name"), "filePath": F.col("defined_in"), "uid": F.col("uid")}, "name"),
-            shared["libraryHooks"],
-            collected(hooks, "customHooks", {"name": F.col("name"), "filePath": F.col("defined_in")}, "name"),
-            _entries(graph, anchors, "stateVars", ["DECLARES_STATE"], _node("name", "type", "defaultValue", "setterName")),
-            *(shared[k] for k in ("classStateVars", "eventHandlers", "children")),
+            *_shared("acceptedProps"),
+            Branch("callers", ("USES_COMPONENT",), {**_defined(), "uid": F.col("uid")}, outgoing=False, labels=COMPONENTS),
+            *_shared("libraryHooks"),
+            Branch("customHooks", ("USES_CUSTOM_HOOK",), _defined(), labels=("Custom_Hook",)),
+            Branch("stateVars", ("DECLARES_STATE",), _node("name", "type", "defaultValue", "setterName")),
+            *_shared("classStateVars", "eventHandlers", "children"),
         ],
+        files=True,
     )
 
 
@@ -151,25 +138,29 @@ def caller_props(graph: Graph, names, project_id: str | None = None) -> DataFram
 
 def neighbor_props(graph: Graph, uids: DataFrame, project_id: str | None = None) -> DataFrame:
     """``uid, props, stateVars`` of the components whose uid is asked for (``project_id, uid``)."""
-    anchors = in_project(graph, COMPONENTS, project_id).join(uids.select("project_id", "uid").distinct(), ["project_id", "uid"], "left_semi").cache()
+    anchors = in_project(graph, COMPONENTS, project_id).join(uids.select("project_id", "uid").distinct(), ["project_id", "uid"], "left_semi")
     branches = [
-        _entries(graph, anchors, "neighbour_props", ["ACCEPTS_PROP"], _node("name", "type", "isRequired")),
-        _entries(graph, anchors, "stateVars", ["DECLARES_STATE", "DECLARES_CLASS_STATE"], _node("name", "type")),
+        Branch("neighbour_props", ("ACCEPTS_PROP",), _node("name", "type", "isRequired")),
+        Branch("stateVars", ("DECLARES_STATE", "DECLARES_CLASS_STATE"), _node("name", "type")),
     ]
-    return with_branches(anchors.drop("props"), branches).select("project_id", "uid", F.col("neighbour_props").alias("props"), "stateVars")
+    return with_branches(graph, anchors.select("project_id", "node_id", "uid"), branches).select("project_id", "uid", F.col("neighbour_props").alias("props"), "stateVars")
 
 
-def project_overview(graph: Graph, limit: int = 40, project_id: str | None = None) -> DataFrame:
-    """The ``limit`` components with the most props, hooks and state."""
-    components = in_project(graph, COMPONENTS, project_id).cache()
-    kinds = {"propNames": ["ACCEPTS_PROP"], "libraryHookNames": ["USES_LIBRARY_HOOK"], "customHookNames": ["USES_CUSTOM_HOOK"], "plainState": ["DECLARES_STATE"], "classState": ["DECLARES_CLASS_STATE"]}
-    branches = [collected(neighbours(graph, components, rels), name, {"name": F.col("name")}, "name") for name, rels in kinds.items()]
+def project_overview(graph: Graph, limit: int = 40, project_id: str | None = None, projects: DataFrame | None = None) -> DataFrame:
+    """The ``limit`` components of each project (one, those in ``projects.project_id``, or all) with the most props, hooks and state."""
+    components = in_project(graph, COMPONENTS, project_id)
+    if projects is not None:
+        components = components.join(projects.select("project_id").distinct(), "project_id", "left_semi")
+    kinds = {"propNames": ("ACCEPTS_PROP",), "libraryHookNames": ("USES_LIBRARY_HOOK",), "customHookNames": ("USES_CUSTOM_HOOK",), "plainState": ("DECLARES_STATE",), "classState": ("DECLARES_CLASS_STATE",)}
+    branches = [Branch(name, rels, {"name": F.col("name")}) for name, rels in kinds.items()]
     names = lambda c: F.transform(c, lambda x: x["name"])
-    out = with_branches(components, branches).select(
+    out = with_branches(graph, components.select("project_id", "node_id", "name", "file_path", "label"), branches).select(
         "project_id", F.col("name").alias("componentName"), F.col("file_path").alias("filePath"), F.col("label").alias("componentType"), names("propNames").alias("propNames"),
         F.concat(names("libraryHookNames"), names("customHookNames")).alias("hookNames"), F.concat(names("plainState"), names("classState")).alias("stateNames"),
     )
-    return out.withColumn("weight", F.size("propNames") + F.size("hookNames") + F.size("stateNames")).orderBy(F.desc("weight"), "componentName", "filePath").limit(limit)
+    out = out.withColumn("weight", F.size("propNames") + F.size("hookNames") + F.size("stateNames"))
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("weight"), "componentName", "filePath"))
+    return out.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
 
 
 def resolve_project(nodes: DataFrame, name: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import os
+import signal
 import sys
 from pathlib import Path
 
@@ -21,3 +22,19 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+
+
+#: Seconds after which a test fails instead of holding up the rest.
+LIMIT = 300
+
+
+@pytest.fixture(autouse=True)
+def limited():
+    def stop(*_):
+        raise TimeoutError(f"the test took more than {LIMIT} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(LIMIT)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, before)

@@ -62,7 +62,7 @@ def test_dump_round_trip(spark, small, tmp_path):
 
 
 def test_templates(small):
-    row = templates.bug_fix(small, ["App", "useCart"], "p").collect()
+    row = templates.ordered(templates.bug_fix(small, ["App", "useCart"], "p")).collect()
     app, hook = row
     assert (app.componentName, hook.componentName, hook.componentType) == ("App", "useCart", "Custom_Hook")
     assert [x.name for x in app.libraryHooks] == ["useState"] and [x.filePath for x in app.delegatedHooks] == ["src/App.tsx"] and app.acceptedProps == []
