@@ -10,9 +10,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom.functions.text import is_hook_name, is_literal
-from graphloom.operators.graph import Graph, edges_from_uids, last_writer, set_root
+from graphloom.operators.graph import Graph, last_writer, set_root
 from graphloom.operators.resolve import children, contexts, manifest_files
 from graphloom.schemas import ANCHORS, COMPONENTS
+from graphloom.sources.store import written
 
 # Tags that wrap a root component, and where an entry file is looked for first.
 WRAPPERS = (
@@ -189,13 +190,26 @@ def build_graph(projects: DataFrame, files: DataFrame, libraries: DataFrame, ext
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    nodes = last_writer(every, ["project_id", "node_id"], ["_at"]).drop("_at")
+    # Written, as every ladder and every end of an edge looks nodes up.
+    nodes = written(last_writer(every, ["project_id", "node_id"], ["_at"]).drop("_at"))
+
+    calls_made: list[tuple[Sequence[str], Sequence[str]]] = []
 
     def edges(rel: str, pairs: DataFrame, src: Sequence[str], dst: Sequence[str], key: Sequence[str] = ()) -> DataFrame:
-        """One edge for two ends (and the identifying properties), with the last write's properties."""
-        keyed = pairs.withColumn("_key", F.concat_ws("\x00", *[F.coalesce(F.col("props")[k], F.lit("")) for k in key]) if key else F.lit(""))
-        last = last_writer(keyed, ["project_id", "src_uid", "dst_uid", "_key"], ["_at"]).drop("_key", "_at")
-        return edges_from_uids(last, nodes, rel, src, dst)
+        """Pairs of one kind: between which labels, and by which properties two edges between the same ends are told apart."""
+        calls_made.append((src, dst))
+        own = F.concat_ws("\x00", *[F.coalesce(F.col("props")[k], F.lit("")) for k in key]) if key else F.lit("")
+        return pairs.select("project_id", "src_uid", "dst_uid", "props", "_at", own.alias("_key"), F.lit(rel).alias("rel"), F.lit(len(calls_made) - 1).alias("_call"))
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        """All kinds at once: one edge for two ends (and the identifying properties), with the last write's properties; both ends must exist."""
+        last = last_writer(pairs, ["project_id", "rel", "_call", "src_uid", "dst_uid", "_key"], ["_at"])
+        ends = nodes.select("project_id", "node_id", "uid", "label")
+        for side, at in (("src", 0), ("dst", 1)):
+            allowed = F.element_at(F.array(*[F.array(*map(F.lit, call[at])) for call in calls_made]), F.col("_call") + 1)
+            own = ends.select("project_id", F.col("uid").alias(f"{side}_uid"), F.col("node_id").alias(f"{side}_id"), F.col("label").alias("_label"))
+            last = last.join(own, ["project_id", f"{side}_uid"]).where(F.array_contains(allowed, F.col("_label"))).drop("_label")
+        return last.select("project_id", "src_id", "dst_id", "rel", "props")
 
     # Ends that imports name go through the resolution ladders.
     usages = exploded(extractions, "componentUsages").withColumn("request_id", F.xxhash64("project_id", "file_path", F.lit("use"), "pos"))
@@ -251,11 +265,11 @@ def build_graph(projects: DataFrame, files: DataFrame, libraries: DataFrame, ext
     if rendered is not None:
         tops = nodes.where(F.col("label").isin(*COMPONENTS)).select("project_id", "name", F.col("uid").alias("_uid"))
         all_edges.append(edges("RENDERS_ROOT_COMPONENT", pairs_of(rendered.join(tops, ["project_id", "name"]), FILE, F.col("_uid")), ["File"], COMPONENTS))
-        nodes = set_root(nodes, rendered)
     out = all_edges[0]
     for e in all_edges[1:]:
         out = out.unionByName(e)
-    return Graph(nodes, out)
+    found = joined(out)
+    return Graph(nodes if rendered is None else set_root(nodes, rendered), found)
 
 
 def has_content(extractions: DataFrame) -> Column:

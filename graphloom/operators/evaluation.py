@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -92,6 +93,17 @@ def timing_of_repeats(df: DataFrame, value: str, repeat: str, *keys: str, warm_u
     return timing(kept.groupBy(*keys, repeat).agg(F.sum(value).alias(value)), value, *keys)
 
 
+def measured(spark: SparkSession, steps: dict[str, Callable[[], DataFrame]], repeats: int = 3) -> DataFrame:
+    """``step, repeat, seconds, rows`` of each step run whole, over and over: what ``timing_of_repeats`` sums up for loads, indexes and rankings."""
+    rows = []
+    for repeat in range(repeats):
+        for name, step in steps.items():
+            began = time.perf_counter()
+            n = step().count()
+            rows.append((name, repeat, time.perf_counter() - began, n))
+    return spark.createDataFrame(rows, "step string, repeat int, seconds double, rows bigint")
+
+
 def timeouts(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """Three times the 95th percentile, rounded up."""
     p = F.percentile(value, F.lit(0.95))

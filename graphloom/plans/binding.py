@@ -1,15 +1,18 @@
 """The fixture tables as a property graph, a corpus, a call log and harness results.
 
-Regions are projects, nations files, customers function components, suppliers class components. An edge joins nodes of one region only.
+Regions are projects, nations files, customers function components, suppliers class components; each nation has a custom hook, each region a context. An
+edge joins nodes of one region only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphloom.operators.graph import Graph, stored
 
-CUSTOMER, SUPPLIER, PROP, HANDLER, STATE, HOOK = (k * 1_000_000_000_000 for k in range(1, 7))
+CUSTOMER, SUPPLIER = (k * 1_000_000_000_000 for k in (1, 2))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,50 +43,107 @@ def _edge(rel: str, src: Column, dst: Column, props: dict[str, Column] | None =
     return [F.col("project_id"), src.alias("src_id"), dst.alias("dst_id"), F.lit(rel).alias("rel"), F.create_map(*pairs).cast("map<string,string>").alias("props")]
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Customers accept a prop for each priority of their orders, handle each status, keep a state variable for each year, use a library hook for their
-    segment and the suppliers of their orders; these pass them the return flags of what they supplied; and suppliers route to the customers of their nation."""
-    t = lambda name: table(spark, sf_dir, name)
+def _nodes(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], DataFrame]]:
+    """Frames of nodes by label, made when asked for."""
     at, comps = places(spark, sf_dir), components(spark, sf_dir)
-    own = comps.select("project_id", "node_id", "name", "uid", "file_path")
-    orders = t("orders").withColumn("cust", F.col("o_custkey") + CUSTOMER).join(own.withColumnRenamed("node_id", "cust"), "cust")
-    fact = lambda column, kind: orders.select("project_id", "cust", "uid", column.alias("v")).distinct().withColumn("node_id", F.xxhash64(F.lit(kind), "cust", "v"))
-    prio, status, year = fact(F.col("o_orderpriority"), "prop"), fact(F.col("o_orderstatus"), "handler"), fact(F.concat(F.lit("y"), F.year("o_orderdate").cast("string")), "state")
-    segment = comps.where("label = 'Function_Component'").select("project_id", F.col("node_id").alias("cust"), F.col("props")["exportType"].alias("v")).withColumn("node_id", F.xxhash64(F.lit("hook"), "project_id", "v"))
-    lines = t("lineitem").select("l_orderkey", (F.col("l_suppkey") + SUPPLIER).alias("supp"), "l_returnflag").distinct()
-    deals = orders.select(F.col("o_orderkey").alias("l_orderkey"), "cust", "project_id").join(lines, "l_orderkey").select("project_id", "cust", "supp", "l_returnflag").distinct()
-    deals = deals.join(own.select(F.col("node_id").alias("supp"), "project_id"), ["project_id", "supp"])
-    first = own.where(F.col("node_id") >= SUPPLIER).groupBy("file_path").agg(F.min("node_id").alias("supp"))
-    routed = comps.where("label = 'Function_Component'").join(first, "file_path")
-    file_id, project_key = F.xxhash64(F.lit("file"), "file_path"), F.xxhash64(F.lit("project"), "project_id")
+    fact = lambda column, kind: _facts(spark, sf_dir, column, kind)
     uid = lambda: F.concat("v", F.lit("::"), "uid")
-    nodes = [
-        at.select("project_id").distinct().select(*_node("Project", project_key, F.col("project_id"), F.col("project_id"), {"name": F.col("project_id")})),
-        at.select("project_id", file_id.alias("node_id"), F.lit("File").alias("label"), F.col("file_path").alias("uid"), F.col("file_path").alias("name"), "file_path", F.create_map(F.lit("filePath"), F.col("file_path")).alias("props")),
-        comps,
-        prio.select(*_node("Prop", F.col("node_id"), uid(), F.col("v"), {"type": F.lit("order"), "isRequired": F.col("v").startswith("1")})),
-        status.select(*_node("EventHandler", F.col("node_id"), uid(), F.concat(F.lit("on"), "v"), {"eventType": F.col("v")})),
-        year.select(*_node("State_Variable", F.col("node_id"), uid(), F.col("v"), {"type": F.lit("int")})),
-        segment.select("project_id", "node_id", "v").distinct().select(*_node("Library_Hook", F.col("node_id"), F.concat("v", F.lit("::segment")), F.col("v"), {"source": F.lit("segment")})),
-    ]
-    cust, supp, node = F.col("cust"), F.col("supp"), F.col("node_id")
-    edges = [
-        at.select(*_edge("BELONGS_TO", file_id, project_key)),
-        comps.select(*_edge("DEFINED_IN", node, file_id)),
-        prio.select(*_edge("ACCEPTS_PROP", cust, node)), status.select(*_edge("HAS_HANDLER", cust, node)), year.select(*_edge("DECLARES_STATE", cust, node)),
-        segment.select(*_edge("USES_LIBRARY_HOOK", cust, node)),
-        deals.select("project_id", "cust", "supp").distinct().select(*_edge("USES_COMPONENT", cust, supp)),
-        deals.select(*_edge("PASSES_PROP", supp, cust, {"propName": F.col("l_returnflag")})),
-        routed.select(*_edge("ROUTES_TO", supp, node, {"path": F.concat(F.lit("/"), F.col("props")["exportType"]), "isNested": F.lit(False), "isLazy": F.col("props")["exportType"] == "BUILDING", "isProtected": F.lit(True)})),
-    ]
-
-    def union(frames: list[DataFrame]) -> DataFrame:
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
+    node = lambda f, *given: f().select(*_node(*given))
+    own_id = F.col("node_id")
+    return {
+        "Project": lambda: at.select("project_id").distinct().select(*_node("Project", F.xxhash64(F.lit("project"), "project_id"), F.col("project_id"), F.col("project_id"), {"name": F.col("project_id")})),
+        "File": lambda: at.select("project_id", F.xxhash64(F.lit("file"), "file_path").alias("node_id"), F.lit("File").alias("label"), F.col("file_path").alias("uid"), F.col("file_path").alias("name"), "file_path", F.create_map(F.lit("filePath"), F.col("file_path")).alias("props")),
+        "Function_Component": lambda: comps.where("label = 'Function_Component'"),
+        "Class_Component": lambda: comps.where("label = 'Class_Component'"),
+        "Custom_Hook": lambda: _hooks(at).select("project_id", "node_id", F.lit("Custom_Hook").alias("label"), "uid", "name", "file_path", F.create_map(F.lit("exportType"), F.lit("named")).alias("props")),
+        "Context": lambda: at.select("project_id").distinct().select(*_node("Context", F.xxhash64(F.lit("context"), "project_id"), F.concat(F.lit("Ctx::"), "project_id"), F.concat(F.lit("Ctx"), "project_id"), {"defaultValue": F.lit("null")})),
+        "Prop": lambda: node(lambda: fact(F.col("o_orderpriority"), "prop"), "Prop", own_id, uid(), F.col("v"), {"type": F.lit("order"), "isRequired": F.col("v").startswith("1")}),
+        "EventHandler": lambda: node(lambda: fact(F.col("o_orderstatus"), "handler"), "EventHandler", own_id, uid(), F.concat(F.lit("on"), "v"), {"eventType": F.col("v")}),
+        "State_Variable": lambda: node(lambda: _years(spark, sf_dir), "State_Variable", own_id, uid(), F.col("v"), {"type": F.lit("int")}).unionByName(
+            node(lambda: _class_state(comps), "State_Variable", own_id, uid(), F.col("v"), {"type": F.lit("flag"), "defaultValue": F.lit("0")})
+        ),
+        "Library_Hook": lambda: node(lambda: _segments(comps).select("project_id", "node_id", "v").distinct(), "Library_Hook", own_id, F.concat("v", F.lit("::segment")), F.col("v"), {"source": F.lit("segment")}),
+    }
+
+
+def _facts(spark: SparkSession, sf_dir: str, column: Column, kind: str) -> DataFrame:
+    """``project_id, cust, uid, v, node_id`` for each different value of a customer's orders."""
+    own = components(spark, sf_dir).where("label = 'Function_Component'").select("project_id", F.col("node_id").alias("cust"), "uid")
+    orders = table(spark, sf_dir, "orders").withColumn("cust", F.col("o_custkey") + CUSTOMER)
+    return orders.join(own, "cust").select("project_id", "cust", "uid", column.alias("v")).distinct().withColumn("node_id", F.xxhash64(F.lit(kind), "cust", "v"))
+
+
+def _years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark, sf_dir, F.concat(F.lit("y"), F.year("o_orderdate").cast("string")), "state")
+
+
+def _class_state(comps: DataFrame) -> DataFrame:
+    own = comps.where("label = 'Class_Component'").select("project_id", F.col("node_id").alias("supp"), "uid")
+    return own.withColumn("v", F.concat(F.lit("s"), ((F.col("supp") - SUPPLIER) % 3).cast("string"))).withColumn("node_id", F.xxhash64(F.lit("flag"), "supp"))
+
+
+def _segments(comps: DataFrame) -> DataFrame:
+    return comps.where("label = 'Function_Component'").select("project_id", F.col("node_id").alias("cust"), F.col("props")["exportType"].alias("v")).withColumn("node_id", F.xxhash64(F.lit("hook"), "project_id", "v"))
+
+
+def _hooks(at: DataFrame) -> DataFrame:
+    name = F.concat(F.lit("use"), "file_path")
+    return at.select("project_id", F.xxhash64(F.lit("own"), "file_path").alias("node_id"), F.concat(name, F.lit("::"), "file_path").alias("uid"), name.alias("name"), "file_path")
+
+
+def _deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``project_id, cust, supp, l_returnflag``: what suppliers of a customer's own region have sent."""
+    comps = components(spark, sf_dir)
+    cust = comps.where("label = 'Function_Component'").select("project_id", (F.col("node_id") - CUSTOMER).alias("o_custkey"), F.col("node_id").alias("cust"))
+    supp = comps.where("label = 'Class_Component'").select("project_id", F.col("node_id").alias("supp"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") + SUPPLIER).alias("supp"), "l_returnflag").distinct()
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return orders.join(cust, "o_custkey").join(lines, "l_orderkey").join(supp, ["project_id", "supp"]).select("project_id", "cust", "supp", "l_returnflag").distinct()
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], DataFrame]]:
+    """Frames of edges by relationship, made when asked for."""
+    at, comps = places(spark, sf_dir), components(spark, sf_dir)
+    file_id, context, node, cust, supp = F.xxhash64(F.lit("file"), "file_path"), F.xxhash64(F.lit("context"), "project_id"), F.col("node_id"), F.col("cust"), F.col("supp")
+    first = lambda: comps.where("label = 'Class_Component'").groupBy("project_id", "file_path").agg(F.min("node_id").alias("supp"))
+    every = lambda n, k: ((F.col("label") == "Function_Component") & ((node - CUSTOMER) % n == 0)) | ((F.col("label") == "Class_Component") & ((node - SUPPLIER) % k == 0))
+    facts = lambda column, kind, rel: _facts(spark, sf_dir, column, kind).select(*_edge(rel, cust, node))
+    return {
+        "BELONGS_TO": lambda: at.select(*_edge("BELONGS_TO", file_id, F.xxhash64(F.lit("project"), "project_id"))),
+        "DEFINED_IN": lambda: comps.select("project_id", "node_id", "file_path").unionByName(_hooks(at).select("project_id", "node_id", "file_path")).select(*_edge("DEFINED_IN", node, file_id)),
+        "ACCEPTS_PROP": lambda: facts(F.col("o_orderpriority"), "prop", "ACCEPTS_PROP"),
+        "HAS_HANDLER": lambda: facts(F.col("o_orderstatus"), "handler", "HAS_HANDLER"),
+        "DECLARES_STATE": lambda: _years(spark, sf_dir).select(*_edge("DECLARES_STATE", cust, node)),
+        "DECLARES_CLASS_STATE": lambda: _class_state(comps).select(*_edge("DECLARES_CLASS_STATE", supp, node)),
+        "USES_LIBRARY_HOOK": lambda: _segments(comps).select(*_edge("USES_LIBRARY_HOOK", cust, node, {"count": cust % 4 + 1})),
+        "USES_CUSTOM_HOOK": lambda: comps.where(every(3, 2)).select(*_edge("USES_CUSTOM_HOOK", node, F.xxhash64(F.lit("own"), "file_path"))),
+        "PROVIDES_CONTEXT": lambda: first().select(*_edge("PROVIDES_CONTEXT", supp, context)),
+        "CONSUMES_CONTEXT": lambda: comps.where(every(5, 3)).select(*_edge("CONSUMES_CONTEXT", node, context)),
+        "USES_COMPONENT": lambda: _deals(spark, sf_dir).select("project_id", "cust", "supp").distinct().select(*_edge("USES_COMPONENT", cust, supp)),
+        "PASSES_PROP": lambda: _deals(spark, sf_dir).select(*_edge("PASSES_PROP", supp, cust, {"propName": F.col("l_returnflag")})),
+        "ROUTES_TO": lambda: comps.where("label = 'Function_Component'").join(first().drop("project_id"), "file_path").select(
+            *_edge("ROUTES_TO", supp, node, {"path": F.concat(F.lit("/"), F.col("props")["exportType"]), "isNested": F.lit(False), "isLazy": F.col("props")["exportType"] == "BUILDING", "isProtected": F.lit(True)})
+        ),
+    }
+
+
+def graph(spark: SparkSession, sf_dir: str, labels: Sequence[str] | None = None, rels: Sequence[str] | None = None, store: bool = False) -> Graph:
+    """The graph, or only the labels and relationships asked for; written by them if several steps read it (``store``).
+
+    Customers accept a prop for each priority of their orders, handle each status, keep a state variable for each year, use a library hook for their
+    segment and the suppliers of their orders; these pass them the return flags of what they supplied, keep class state, and route to the customers of their nation.
+    Every third customer and every second supplier use their nation's hook, every fifth customer and every third supplier consume their region's context, which
+    each nation's first supplier provides."""
+    nodes, edges = _nodes(spark, sf_dir), _edges(spark, sf_dir)
+
+    def union(makers: dict, names: Sequence[str] | None) -> DataFrame:
+        out = None
+        for name in makers if names is None else names:
+            out = makers[name]() if out is None else out.unionByName(makers[name]())
         return out
 
-    return stored(Graph(union(nodes), union(edges)))
+    made = Graph(union(nodes, labels), union(edges, rels))
+    return stored(made) if store else made
 
 
 GRAPH_SQL = """
@@ -97,6 +157,12 @@ status AS (SELECT DISTINCT project_id, id, uid, o_orderstatus AS v FROM orders J
 years AS (SELECT DISTINCT project_id, id, uid, 'y' || year(o_orderdate) AS v FROM orders JOIN cust ON o_custkey = id),
 deals AS (SELECT DISTINCT c.project_id, c.id AS cust, s.id AS supp, l_returnflag AS flag FROM orders JOIN cust c ON o_custkey = c.id JOIN lineitem ON l_orderkey = o_orderkey JOIN supp s ON l_suppkey = s.id AND s.project_id = c.project_id),
 uses AS (SELECT DISTINCT project_id, cust, supp FROM deals),
+hooks AS (SELECT project_id, 'use' || file_path AS name, file_path, 'use' || file_path || '::' || file_path AS uid FROM place),
+hooked AS (SELECT * FROM comp WHERE (k = 'c' AND id % 3 = 0) OR (k = 's' AND id % 2 = 0)),
+consumers AS (SELECT * FROM comp WHERE (k = 'c' AND id % 5 = 0) OR (k = 's' AND id % 3 = 0)),
+firsts AS (SELECT project_id, file_path, min(id) AS id FROM supp GROUP BY ALL),
+providers AS (SELECT f.project_id, s.name, s.file_path FROM firsts f JOIN supp s ON s.id = f.id),
+anchors AS (SELECT project_id, label, id, k, name, file_path, uid, export FROM comp UNION ALL SELECT project_id, 'Custom_Hook', 0, 'h', name, file_path, uid, '' FROM hooks),
 routed AS (SELECT c.*, f.supp FROM cust c JOIN (SELECT file_path, min(id) AS supp FROM supp GROUP BY file_path) f USING (file_path))"""
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from graphloom.functions import paths, text
-from graphloom.operators import annotations, context, cost, edits, evaluation, graph, progress, rank, resolve, templates
+from graphloom.operators import cost, edits, evaluation, graph, progress, rank, resolve, templates
 from graphloom.plans import binding
 from graphloom.plans.binding import CALLS_SQL, GRAPH_SQL, PRICES_SQL, RESULTS_SQL, table
 from graphloom.sources import dump, files
@@ -40,85 +40,161 @@ def agg(expr: str, source: str) -> str:
 
 # Graph
 
+NODE_COUNTS = """SELECT 'Project' AS label, count(DISTINCT project_id) AS n FROM place UNION ALL SELECT 'File', count(*) FROM place UNION ALL SELECT label, count(*) FROM comp GROUP BY label
+  UNION ALL SELECT 'Custom_Hook', count(*) FROM hooks UNION ALL SELECT 'Context', count(DISTINCT project_id) FROM place
+  UNION ALL SELECT 'Prop', count(*) FROM prio UNION ALL SELECT 'EventHandler', count(*) FROM status UNION ALL SELECT 'State_Variable', (SELECT count(*) FROM years) + (SELECT count(*) FROM supp)
+  UNION ALL SELECT 'Library_Hook', count(DISTINCT (project_id, export)) FROM cust"""
+EDGE_COUNTS = """SELECT 'BELONGS_TO' AS rel, count(*) AS n FROM place UNION ALL SELECT 'DEFINED_IN', count(*) FROM anchors UNION ALL SELECT 'ACCEPTS_PROP', count(*) FROM prio
+  UNION ALL SELECT 'HAS_HANDLER', count(*) FROM status UNION ALL SELECT 'DECLARES_STATE', count(*) FROM years UNION ALL SELECT 'DECLARES_CLASS_STATE', count(*) FROM supp
+  UNION ALL SELECT 'USES_LIBRARY_HOOK', count(*) FROM cust UNION ALL SELECT 'USES_CUSTOM_HOOK', count(*) FROM hooked UNION ALL SELECT 'PROVIDES_CONTEXT', count(*) FROM firsts
+  UNION ALL SELECT 'CONSUMES_CONTEXT', count(*) FROM consumers
+  UNION ALL SELECT 'USES_COMPONENT', count(*) FROM uses UNION ALL SELECT 'PASSES_PROP', count(*) FROM deals UNION ALL SELECT 'ROUTES_TO', count(*) FROM routed"""
 
-@query(f"""WITH {GRAPH_SQL} SELECT label, CAST(n AS BIGINT) AS n FROM (
-  SELECT 'Project' AS label, count(DISTINCT project_id) AS n FROM place UNION ALL SELECT 'File', count(*) FROM place UNION ALL SELECT label, count(*) FROM comp GROUP BY label
-  UNION ALL SELECT 'Prop', count(*) FROM prio UNION ALL SELECT 'EventHandler', count(*) FROM status UNION ALL SELECT 'State_Variable', count(*) FROM years
-  UNION ALL SELECT 'Library_Hook', count(DISTINCT (project_id, export)) FROM cust)""")
+
+@query(f"WITH {GRAPH_SQL} SELECT label, CAST(n AS BIGINT) AS n FROM ({NODE_COUNTS})")
 def graph_label_counts(spark, sf):
-    return graph.label_counts(binding.graph(spark, sf).nodes)
+    return graph.label_counts(binding.graph(spark, sf, rels=["BELONGS_TO"]).nodes).orderBy(F.desc("n"), "label")
 
 
-@query(f"""WITH {GRAPH_SQL} SELECT rel, CAST(n AS BIGINT) AS n FROM (
-  SELECT 'BELONGS_TO' AS rel, count(*) AS n FROM place UNION ALL SELECT 'DEFINED_IN', count(*) FROM comp UNION ALL SELECT 'ACCEPTS_PROP', count(*) FROM prio
-  UNION ALL SELECT 'HAS_HANDLER', count(*) FROM status UNION ALL SELECT 'DECLARES_STATE', count(*) FROM years UNION ALL SELECT 'USES_LIBRARY_HOOK', count(*) FROM cust
-  UNION ALL SELECT 'USES_COMPONENT', count(*) FROM uses UNION ALL SELECT 'PASSES_PROP', count(*) FROM deals UNION ALL SELECT 'ROUTES_TO', count(*) FROM routed)""")
+@query(f"WITH {GRAPH_SQL} SELECT rel, CAST(n AS BIGINT) AS n FROM ({EDGE_COUNTS})")
 def graph_edge_type_counts(spark, sf):
-    return graph.edge_type_counts(binding.graph(spark, sf).edges)
+    return graph.edge_type_counts(binding.graph(spark, sf, labels=["File"]).edges).orderBy(F.desc("n"), "rel")
 
 
-@query(f"""WITH {GRAPH_SQL} SELECT project_id, name, uid, file_path AS "filePath", label FROM comp""")
+@query(f"""WITH {GRAPH_SQL} SELECT project_id, name, uid, file_path AS "filePath", label FROM anchors""")
 def graph_anchor_candidates(spark, sf):
-    return templates.anchor_candidates(binding.graph(spark, sf))
+    g = binding.graph(spark, sf, ["Function_Component", "Class_Component", "Custom_Hook"], ["DEFINED_IN", "BELONGS_TO"])
+    return templates.anchor_candidates(g).orderBy("project_id", "name", "uid")
 
 
 PROPS = agg("v || '|order|' || CASE WHEN v LIKE '1%' THEN 'true' ELSE 'false' END", "prio p WHERE p.id = x.id AND x.k = 'c'")
 HOOKS = "CASE WHEN x.k = 'c' THEN x.export || '|segment' ELSE '' END"
+USED = "((x.k = 'c' AND x.id % 3 = 0) OR (x.k = 's' AND x.id % 2 = 0))"
+CUSTOM = f"CASE WHEN {USED} THEN 'use' || x.file_path || '|' || x.file_path ELSE '' END"
 STATES = agg("v || '|int|-'", "years y WHERE y.id = x.id AND x.k = 'c'")
+SET_STATES = agg("v || '|int|-|-'", "years y WHERE y.id = x.id AND x.k = 'c'")
+CLASS_STATES = "CASE WHEN x.k = 's' THEN 's' || (x.id % 3) || '|flag|0' ELSE '' END"
 HANDLERS = agg("v || '|on' || v", "status s WHERE s.id = x.id AND x.k = 'c'")
 PARENTS = agg("s.name || '|' || s.file_path || '|' || s.uid", "deals d JOIN supp s ON s.id = d.supp WHERE d.cust = x.id AND x.k = 'c'")
 CHILDREN = agg("s.name || '|' || s.file_path || '|' || s.uid", "uses d JOIN supp s ON s.id = d.supp WHERE d.cust = x.id AND x.k = 'c'")
 CALLERS = agg("c.name || '|' || c.file_path || '|' || c.uid", "uses d JOIN cust c ON c.id = d.cust WHERE d.supp = x.id AND x.k = 's'")
+USERS = agg("h.name || '|' || h.file_path || '|' || h.uid", "hooked h WHERE h.file_path = x.file_path AND x.k = 'h'")
+CONSUMED = agg("'Ctx' || p.project_id || '|' || p.name || '|' || p.file_path", "providers p JOIN consumers u ON u.project_id = p.project_id WHERE u.id = x.id AND u.k = x.k")
+BELOW = agg("'Ctx' || u.project_id", "uses d JOIN consumers u ON u.id = d.supp AND u.k = 's' WHERE d.cust = x.id AND x.k = 'c'")
 BASE = 'project_id, name AS "componentName", file_path AS "filePath", label AS "componentType"'
+TOP = ("project_id", "componentName", "filePath", "componentType")
+#: What the templates read: labels of anchors and neighbours, and the relationships at anchors.
+COMPONENT_LABELS = ["File", "Function_Component", "Class_Component"]
+INTERFACE_LABELS = [*COMPONENT_LABELS, "Custom_Hook", "Prop", "EventHandler", "State_Variable", "Library_Hook"]
+PLACE_RELS = ["BELONGS_TO", "DEFINED_IN"]
+INTERFACE_RELS = [*PLACE_RELS, "ACCEPTS_PROP", "HAS_HANDLER", "DECLARES_STATE", "DECLARES_CLASS_STATE", "USES_LIBRARY_HOOK", "USES_CUSTOM_HOOK"]
+
 
+def components_only(g: graph.Graph) -> DataFrame:
+    return g.nodes.where(F.col("label").isin("Function_Component", "Class_Component"))
 
-@query(f"""WITH {GRAPH_SQL} SELECT {BASE}, {PROPS} AS "acceptedProps", {HOOKS} AS "libraryHooks", {STATES} AS "stateVars", {HANDLERS} AS "eventHandlers", {PARENTS} AS "directParents" FROM comp x""")
+
+@query(f"""WITH {GRAPH_SQL} SELECT {BASE}, {PROPS} AS "acceptedProps", {HOOKS} AS "libraryHooks", {CUSTOM} AS "customHooks", {STATES} AS "stateVars", {CLASS_STATES} AS "classStateVars", {HANDLERS} AS "eventHandlers",
+  {PARENTS} AS "directParents", {CUSTOM} AS "delegatedHooks", {USERS} AS "usedByComponents" FROM anchors x""")
 def tmpl_anchor_context(spark, sf):
-    g = binding.graph(spark, sf)
-    out = templates.bug_fix(g, g.nodes.where(F.col("label").isin("Function_Component", "Class_Component")))
+    g = binding.graph(spark, sf, INTERFACE_LABELS, [*INTERFACE_RELS, "PASSES_PROP"], store=True)
+    out = templates.bug_fix(g, g.nodes.where(F.col("label").isin("Function_Component", "Class_Component", "Custom_Hook")))
     return out.select(
-        "project_id", "componentName", "filePath", "componentType", flat("acceptedProps", "name", "type", "isRequired"), flat("libraryHooks", "name", "source"), flat("stateVars", "name", "type", "defaultValue"),
-        flat("eventHandlers", "eventType", "handlerName"), flat("directParents", "name", "filePath", "uid"),
+        *TOP, flat("acceptedProps", "name", "type", "isRequired"), flat("libraryHooks", "name", "source"), flat("customHooks", "name", "filePath"), flat("stateVars", "name", "type", "defaultValue"),
+        flat("classStateVars", "name", "type", "defaultValue"), flat("eventHandlers", "eventType", "handlerName"), flat("directParents", "name", "filePath", "uid"), flat("delegatedHooks", "name", "filePath"),
+        flat("usedByComponents", "name", "filePath", "uid"),
     )
 
 
-@query(f"""WITH {GRAPH_SQL} SELECT {BASE}, {CHILDREN} AS children, {PROPS} AS "acceptedProps", {STATES} AS "stateVars" FROM comp x""")
+@query(f"""WITH {GRAPH_SQL} SELECT {BASE}, {CHILDREN} AS children, {PROPS} AS "acceptedProps", {HOOKS} AS "libraryHooks", {CUSTOM} AS "customHooks", {STATES} AS "stateVars", {CONSUMED} AS "consumedContexts",
+  {BELOW} AS "childConsumedContexts" FROM comp x""")
 def tmpl_composition(spark, sf):
-    g = binding.graph(spark, sf)
-    out = templates.feature_addition(g, g.nodes.where(F.col("label").isin("Function_Component", "Class_Component")))
-    return out.select("project_id", "componentName", "filePath", "componentType", flat("children", "name", "filePath", "uid"), flat("acceptedProps", "name", "type", "isRequired"), flat("stateVars", "name", "type", "defaultValue"))
+    g = binding.graph(spark, sf, [*INTERFACE_LABELS, "Context"], [*INTERFACE_RELS, "USES_COMPONENT", "PROVIDES_CONTEXT", "CONSUMES_CONTEXT"], store=True)
+    out = templates.feature_addition(g, components_only(g))
+    return out.select(
+        *TOP, flat("children", "name", "filePath", "uid"), flat("acceptedProps", "name", "type", "isRequired"), flat("libraryHooks", "name", "source"), flat("customHooks", "name", "filePath"),
+        flat("stateVars", "name", "type", "defaultValue"), flat("consumedContexts", "name", "providerName", "providerFile"), flat("childConsumedContexts", "name"),
+    )
 
 
-@query(f"""WITH {GRAPH_SQL} SELECT {BASE}, {PROPS} AS "acceptedProps", {CALLERS} AS callers, {HANDLERS} AS "eventHandlers", {CHILDREN} AS children FROM comp x""")
+@query(f"""WITH {GRAPH_SQL} SELECT {BASE}, {PROPS} AS "acceptedProps", {CALLERS} AS callers, {HOOKS} AS "libraryHooks", {CUSTOM} AS "customHooks", {SET_STATES} AS "stateVars", {CLASS_STATES} AS "classStateVars",
+  {HANDLERS} AS "eventHandlers", {CHILDREN} AS children FROM comp x""")
 def tmpl_refactoring(spark, sf):
-    g = binding.graph(spark, sf)
-    out = templates.refactoring(g, g.nodes.where(F.col("label").isin("Function_Component", "Class_Component")))
-    return out.select("project_id", "componentName", "filePath", "componentType", flat("acceptedProps", "name", "type", "isRequired"), flat("callers", "name", "filePath", "uid"), flat("eventHandlers", "eventType", "handlerName"), flat("children", "name", "filePath", "uid"))
+    g = binding.graph(spark, sf, INTERFACE_LABELS, [*INTERFACE_RELS, "USES_COMPONENT"], store=True)
+    out = templates.refactoring(g, components_only(g))
+    return out.select(
+        *TOP, flat("acceptedProps", "name", "type", "isRequired"), flat("callers", "name", "filePath", "uid"), flat("libraryHooks", "name", "source"), flat("customHooks", "name", "filePath"),
+        flat("stateVars", "name", "type", "defaultValue", "setterName"), flat("classStateVars", "name", "type", "defaultValue"), flat("eventHandlers", "eventType", "handlerName"), flat("children", "name", "filePath", "uid"),
+    )
 
 
 @query(f"""WITH {GRAPH_SQL} SELECT r.project_id, s.name AS "routerComponent", s.file_path AS "routerFile", '/' || r.export AS "routePath", false AS "isNested", true AS "isProtected", r.export = 'BUILDING' AS "isLazy",
   r.name AS "targetComponent", r.file_path AS "targetFile" FROM routed r JOIN supp s ON s.id = r.supp""")
 def tmpl_routing_table(spark, sf):
-    return templates.routing_table(binding.graph(spark, sf))
+    return templates.routing_table(binding.graph(spark, sf, COMPONENT_LABELS, [*PLACE_RELS, "ROUTES_TO"]))
 
 
 @query(f"""WITH {GRAPH_SQL} SELECT d.project_id, c.name AS "componentName", s.uid AS "callerUid", string_agg(flag, ',' ORDER BY flag) AS "propsPassed"
   FROM deals d JOIN cust c ON c.id = d.cust JOIN supp s ON s.id = d.supp GROUP BY ALL""")
 def tmpl_caller_props(spark, sf):
-    g = binding.graph(spark, sf)
+    g = binding.graph(spark, sf, COMPONENT_LABELS, [*PLACE_RELS, "PASSES_PROP"])
     return templates.caller_props(g, g.nodes.where("label = 'Function_Component'")).withColumn("propsPassed", F.array_join("propsPassed", ","))
 
 
-@query(f"""WITH {GRAPH_SQL} SELECT project_id, uid, {PROPS} AS props, {agg("v || '|int'", "years y WHERE y.id = x.id AND x.k = 'c'")} AS "stateVars" FROM comp x""")
+@query(f"""WITH {GRAPH_SQL} SELECT project_id, uid, {PROPS} AS props, CASE WHEN x.k = 's' THEN 's' || (x.id % 3) || '|flag' ELSE {agg("v || '|int'", "years y WHERE y.id = x.id AND x.k = 'c'")} END AS "stateVars" FROM comp x""")
 def tmpl_neighbor_props(spark, sf):
-    g = binding.graph(spark, sf)
+    g = binding.graph(spark, sf, [*COMPONENT_LABELS, "Prop", "State_Variable"], [*PLACE_RELS, "ACCEPTS_PROP", "DECLARES_STATE", "DECLARES_CLASS_STATE"])
     return templates.neighbor_props(g, g.nodes).select("project_id", "uid", flat("props", "name", "type", "isRequired"), flat("stateVars", "name", "type"))
 
 
-@query(f"""WITH {GRAPH_SQL}, w AS (SELECT {BASE}, (SELECT count(*) FROM prio p WHERE p.id = x.id AND x.k = 'c') + (SELECT count(*) FROM years y WHERE y.id = x.id AND x.k = 'c') + CASE WHEN x.k = 'c' THEN 1 ELSE 0 END AS weight FROM comp x)
-  SELECT project_id, "componentName", "filePath", "componentType", CAST(weight AS INTEGER) AS weight FROM w ORDER BY weight DESC, "componentName", "filePath" LIMIT 40""")
+@query(f"""WITH {GRAPH_SQL}, w AS (SELECT {BASE}, {agg("v", "prio p WHERE p.id = x.id AND x.k = 'c'")} AS "propNames",
+    CASE WHEN x.k = 'c' THEN x.export ELSE '' END || CASE WHEN x.k = 'c' AND {USED} THEN ';' ELSE '' END || CASE WHEN {USED} THEN 'use' || x.file_path ELSE '' END AS "hookNames",
+    CASE WHEN x.k = 's' THEN 's' || (x.id % 3) ELSE {agg("v", "years y WHERE y.id = x.id AND x.k = 'c'")} END AS "stateNames",
+    (SELECT count(*) FROM prio p WHERE p.id = x.id AND x.k = 'c') + (SELECT count(*) FROM years y WHERE y.id = x.id AND x.k = 'c') + 1 + CASE WHEN {USED} THEN 1 ELSE 0 END AS weight FROM comp x)
+  SELECT * EXCLUDE (weight), CAST(weight AS INTEGER) AS weight FROM w QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY weight DESC, "componentName", "filePath") <= 40""")
 def tmpl_project_overview_topn(spark, sf):
-    return templates.project_overview(binding.graph(spark, sf), 40).select("project_id", "componentName", "filePath", "componentType", "weight")
+    g = binding.graph(spark, sf, INTERFACE_LABELS, INTERFACE_RELS, store=True)
+    names = lambda c: F.array_join(c, ";").alias(c)
+    return templates.project_overview(g, 40).select(*TOP, names("propNames"), names("hookNames"), names("stateNames"), "weight")
+
+
+@query(f"""WITH {GRAPH_SQL} SELECT c.project_id, c.uid AS owner, c.export AS hook, 'segment' AS source, c.id % 4 + 1 AS count FROM cust c""")
+def tmpl_hook_edges(spark, sf):
+    return templates.hook_edges(binding.graph(spark, sf, [*COMPONENT_LABELS, "Library_Hook"], ["USES_LIBRARY_HOOK"]))
+
+
+@query(f"""WITH {GRAPH_SQL} SELECT project_id, export || '::segment' AS uid, export AS name, 'segment' AS source FROM (SELECT DISTINCT project_id, export FROM cust)""")
+def tmpl_orphan_hooks(spark, sf):
+    """No library of the bound graph has the hooks' source, so all are orphans; tests hold the other case."""
+    return templates.orphan_hooks(binding.graph(spark, sf, ["Library_Hook", "Project"], ["BELONGS_TO"]).nodes)
+
+
+@query(f"""WITH {GRAPH_SQL} SELECT DISTINCT project_id FROM place WHERE project_id = (SELECT min(r_name) FROM region)""")
+def tmpl_resolve_project(spark, sf):
+    nodes = binding.graph(spark, sf, ["Project", "File"], ["BELONGS_TO"]).nodes
+    first = table(spark, sf, "region").agg(F.min("r_name").alias("name"))
+    return templates.resolve_project(nodes, first.first()["name"])
+
+
+@query("""SELECT r_name AS project_id, n_name AS file_path FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def graph_files(spark, sf):
+    return graph.files_of(binding.graph(spark, sf, ["File", "Project"], ["BELONGS_TO"]))
+
+
+@query(f"""WITH {GRAPH_SQL} SELECT label, CAST(n AS BIGINT) AS n FROM (SELECT label, count(*) AS n FROM comp WHERE project_id <> (SELECT min(r_name) FROM region) GROUP BY label)
+  UNION ALL SELECT 'DEFINED_IN', count(*) FROM anchors WHERE project_id <> (SELECT min(r_name) FROM region)""")
+def graph_drop_project(spark, sf):
+    g = binding.graph(spark, sf, ["Function_Component", "Class_Component"], ["DEFINED_IN"])
+    left = graph.drop_project(g, table(spark, sf, "region").agg(F.min("r_name")).first()[0])
+    return graph.label_counts(left.nodes).unionByName(graph.edge_type_counts(left.edges).withColumnRenamed("rel", "label"))
+
+
+@query(f"""WITH {GRAPH_SQL} SELECT project_id, uid, name IN (SELECT max(name) FROM supp) AS is_root FROM comp""")
+def graph_set_root(spark, sf):
+    nodes = binding.graph(spark, sf, ["Function_Component", "Class_Component"], ["BELONGS_TO"]).nodes
+    top = nodes.where("label = 'Class_Component'").agg(F.max("name").alias("name"))
+    roots = nodes.join(top, "name", "left_semi").select("project_id", "name")
+    return graph.set_root(nodes, roots).select("project_id", "uid", (F.col("props")["isRoot"] == "true").alias("is_root"))
 
 
 @query("""SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
@@ -402,7 +478,13 @@ def token_estimate(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query()
+CODE_TERMS = """list_filter(list_transform(flatten(list_transform(list_filter(string_split_regex(coalesce(text, ''), '[^A-Za-z0-9]+'), lambda w: w <> ''),
+  lambda w: CASE WHEN len(regexp_extract_all(regexp_replace(w, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')) > 1
+    THEN list_concat([w], regexp_extract_all(regexp_replace(w, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')) ELSE regexp_extract_all(w, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+') END)), lambda t: lower(t)),
+  lambda t: len(t) > 1 AND NOT list_contains([""" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "], t))"
+
+
+@query(f"SELECT doc_id, array_to_string({CODE_TERMS}, ' ') AS terms FROM documents")
 def tokenize_terms(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(text.tokens(F.col("text")), " ").alias("terms"))
 
@@ -411,21 +493,25 @@ def plain_terms(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
 
 
-@query("""WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '') AS t FROM documents),
-  q AS (SELECT item_id, w, count(*) AS qtf FROM (SELECT item_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM benchmark) GROUP BY ALL),
+def bm25_sql(terms: str) -> str:
+    """Scores of documents for the benchmark's items, the best five of each."""
+    return f"""WITH d AS (SELECT doc_id, {terms} AS t FROM documents), q AS (SELECT item_id, w, count(*) AS qtf FROM (SELECT item_id, unnest({terms}) AS w FROM benchmark) GROUP BY ALL),
   c AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d), p AS (SELECT doc_id, len(t) AS dl, w, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS w FROM d) WHERE w IN (SELECT w FROM q) GROUP BY ALL),
   f AS (SELECT w, count(*) AS df FROM p GROUP BY 1),
   s AS (SELECT item_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN p USING (w) JOIN f USING (w), c GROUP BY ALL)
-  SELECT item_id AS query_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 5""")
+  SELECT item_id AS query_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 5"""
+
+
+@query(bm25_sql("list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '')"))
 def bm25_rank_topk(spark, sf):
     scored = rank.bm25(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", F.col("text"), "item_id", F.col("text"), plain_terms)
     return rank.top_k(scored.withColumn("score", F.round("score", 6)), 5).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query()
+@query(bm25_sql(CODE_TERMS))
 def bm25_code_terms_topk(spark, sf):
     scored = rank.bm25(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", F.col("text"), "item_id", F.col("text"))
-    return rank.top_k(scored.withColumn("score", F.round("score", 6)), 5)
+    return rank.top_k(scored.withColumn("score", F.round("score", 6)), 5).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("""WITH q AS (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label), s AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
@@ -499,8 +585,10 @@ def _asked(spark, sf, *heads: str) -> DataFrame:
     return out
 
 
-@query()
+@query("""WITH r AS (SELECT doc_id, doc_id % 30 AS k FROM documents) SELECT doc_id AS request_id, 'fuzzy' AS status, 'fuzzy' AS matched_by, 'NATION_' || CASE WHEN k < 25 THEN k ELSE k % 10 END AS name,
+  CASE WHEN k < 10 THEN 0.875 WHEN k < 25 THEN 0.889 ELSE 0.824 END::DOUBLE AS score FROM r""")
 def anchor_resolve_fuzzy(spark, sf):
+    """Two letters turned round: all but one of eight or nine agree; where no nation has the number, the greatest name with one of its digits."""
     return resolve.resolve_anchors(_asked(spark, sf, "NATOIN_"), _nations(spark, sf)).select("request_id", "status", "matched_by", "name", "score")
 
 
@@ -511,7 +599,7 @@ def text_functions(spark, sf):
     return d.select("doc_id", text.embedding_key(F.lit("m"), F.coalesce(t, F.lit(""))).alias("key"), F.lower(text.tail(t, 40)).alias("tail"), text.occurrences(t, F.lit("the ")).alias("n_the"))
 
 
-# What SQL has no words for: parsers, replays and renderings
+# Parsers and replays
 
 
 def _answers(spark, sf) -> DataFrame:
@@ -522,13 +610,16 @@ def _answers(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("candidate_id"), F.col("doc_id").cast("string").alias("snapshot"), F.lit("search_replace").alias("format"), block.alias("response"), "text")
 
 
-@query()
+@query("""SELECT CAST(doc_id AS VARCHAR) AS candidate_id, 1::INTEGER AS n_edits, 0::INTEGER AS malformed_blocks FROM documents WHERE text IS NOT NULL""")
 def edit_parse(spark, sf):
     parsed = edits.parse_answers(_answers(spark, sf))
     return parsed.select("candidate_id", F.size("script.edits").alias("n_edits"), "script.malformed_blocks")
 
 
-@query()
+@query("""WITH s AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'e' ELSE split_part(text, chr(10), 1) END AS s FROM documents WHERE text IS NOT NULL),
+  n AS (SELECT doc_id, s, (length(text) - length(replace(text, s || chr(10), ''))) // (length(s) + 1) AS whole, CASE WHEN s = '' THEN 0 ELSE (length(text) - length(replace(text, s, ''))) // length(s) END AS bare FROM s),
+  m AS (SELECT doc_id, CASE WHEN s = '' THEN 1 WHEN whole > 0 THEN whole ELSE bare END AS n FROM n)
+  SELECT CAST(doc_id AS VARCHAR) AS candidate_id, CASE WHEN n = 0 THEN 'search_not_found' WHEN n > 1 THEN 'ambiguous_match' END AS first_failure, n = 1 AS would_apply, CASE WHEN n = 1 THEN 1 ELSE 0 END::INTEGER AS accepted FROM m""")
 def edit_replay(spark, sf):
     answers = edits.parse_answers(_answers(spark, sf))
     scripts = answers.select("candidate_id", "snapshot", "script.edits", "script.malformed_blocks")
@@ -536,29 +627,11 @@ def edit_replay(spark, sf):
     return edits.replay_scripts(scripts, sources).select("candidate_id", "replay.first_failure", "replay.would_apply", F.size("replay.accepted").alias("accepted"))
 
 
-@query()
+@query(f"WITH {GRAPH_SQL} SELECT label AS kind, CAST(n AS BIGINT) AS n FROM ({NODE_COUNTS}) UNION ALL SELECT rel, CAST(n AS BIGINT) FROM ({EDGE_COUNTS})")
 def dump_scan(spark, sf):
-    """The bound graph as dump statements, read back and counted."""
+    """The bound graph as dump statements, nodes and edges read back and counted."""
     found = dump.statements(binding.graph(spark, sf))
-    return graph.label_counts(dump.nodes(found))
-
-
-@query()
-def annotation_items(spark, sf):
-    g = binding.graph(spark, sf)
-    found = annotations.items(graph.Graph(g.nodes.where(~F.col("label").isin("Prop", "EventHandler", "State_Variable")), g.edges.where(F.col("rel").isin("DEFINED_IN", "ROUTES_TO", "BELONGS_TO"))))
-    return found.select("project_id", "path", "placement", annotations.item_text(F.col("item"), F.col("path")).alias("item"))
-
-
-@query()
-def context_assembly(spark, sf):
-    """The context of every component, cut to its budget and rendered; a nation's file holds its name."""
-    g = binding.graph(spark, sf)
-    rows = templates.bug_fix(g, g.nodes.where(F.col("label").isin("Function_Component", "Class_Component")))
-    one = rows.withColumn("project_id", F.concat("project_id", F.lit("/"), "componentName"))
-    sources = one.select("project_id", F.col("filePath").alias("path")).distinct().withColumn("source", F.concat(F.lit("export "), "path"))
-    built = context.assemble(one, sources, "bug_fix", budget=60)
-    return context.render(built.withColumn("task_type", F.lit("bug_fix"))).select("project_id", "tokens", F.length("context").alias("n_chars"))
+    return graph.label_counts(dump.nodes(found)).unionByName(graph.edge_type_counts(dump.edges(found)).withColumnRenamed("rel", "label")).withColumnRenamed("label", "kind")
 
 
 @query("""SELECT count(*) AS calls, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type FROM events GROUP BY ALL""")

@@ -35,10 +35,21 @@ def clear(spark: SparkSession) -> int:
     return n
 
 
+#: Rows of an Arrow batch while a table is written, at most: texts may be long, and a batch is held on both sides of the pipe.
+BATCH_ROWS = 2048
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def written(df: DataFrame, *partitions: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, readable after any executor is lost."""
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"graphloom-{uuid.uuid4().hex}")
     _paths.append(path)
-    (df.write.partitionBy(*partitions) if partitions else df.write).parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+    try:
+        (df.write.partitionBy(*partitions) if partitions else df.write).parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path).select(df.columns)
