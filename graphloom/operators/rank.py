@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from graphloom.functions.text import token_estimate, tokens
+from graphloom.functions.udf import arrow_udf
+from graphloom.sources.store import written
 
 K1, B = 1.5, 0.75
 BUDGET = 7000
@@ -21,12 +23,13 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: Column, query_i
     """``query_id, doc_id, score`` of every document that shares a term with the query; all others score 0 and have no row.
 
     The inverse document frequency is ln(1 + (N - n + 0.5) / (n + 0.5)); a term counts as often as the query has it. Only the
-    postings of query terms are shuffled."""
+    postings of query terms are shuffled; they are written, as frequencies and scores both read them, so texts are split once for them and once
+    for the lengths. The weights of terms are a small side, which Spark lends to the tasks or, beyond that, joins with hot terms split."""
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(terms(query)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     wanted = asked.select("term").distinct()
     split = docs.select(F.col(doc_id).alias("doc_id"), terms(text).alias("terms")).select("doc_id", "terms", F.size("terms").alias("dl"))
     corpus = split.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    postings = split.select("doc_id", "dl", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    postings = written(split.select("doc_id", "dl", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")))
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     weights = asked.join(frequency, "term").crossJoin(corpus)  # one row
     weights = weights.withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("qtf"))
@@ -62,23 +65,33 @@ def dense_rank(docs: DataFrame, queries: DataFrame, doc_id: str, vector: str, qu
     return left.crossJoin(right).select("query_id", "doc_id", cosine(F.col("_v"), F.col("_q")).alias("score"))
 
 
+def _fits(costs: list[int], start: int, room: int) -> list[bool]:
+    """Which of the costs are taken, each if it still fits."""
+    used, out = start, []
+    for cost in costs:
+        out.append(used + cost <= room)
+        used += cost if out[-1] else 0
+    return out
+
+
+_fits_udf = arrow_udf(_fits, "array<boolean>")
+
+
 def first_fit(ranked: DataFrame, group: str, order: list, item: str, cost: str, budget: int | str = BUDGET, start: str | None = None) -> DataFrame:
     """``group, included, skipped, used``: items in order, each taken if it still fits; one that does not fit is passed over and takes nothing.
 
-    ``budget`` may be a column. A group is a ranked list for one query; callers cut zero scores off first."""
+    ``budget`` may be a column. A group is a ranked list for one query; callers cut zero scores off first. One pass over a list's costs
+    decides, so its work is linear."""
     room = F.lit(budget) if isinstance(budget, int) else F.col(budget)
     keys = [c if isinstance(c, Column) else F.col(c) for c in order]
     entry = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.col(item).alias("item"), F.col(cost).cast("bigint").alias("cost"))
     first = F.coalesce(F.first(F.col(start)), F.lit(0)) if start else F.lit(0)
     lists = ranked.groupBy(group).agg(F.sort_array(F.collect_list(entry)).alias("entries"), first.cast("bigint").alias("start"), F.first(room).cast("bigint").alias("room"))
-    kind = dict(ranked.dtypes)[item]
-    empty = F.array().cast(f"array<{kind}>")
-    walk = F.aggregate(
-        "entries", F.struct(F.col("start").alias("used"), empty.alias("included"), empty.alias("skipped")),
-        lambda s, e: F.when(s["used"] + e["cost"] <= F.col("room"), F.struct((s["used"] + e["cost"]).alias("used"), F.concat(s["included"], F.array(e["item"])).alias("included"), s["skipped"].alias("skipped")))
-        .otherwise(F.struct(s["used"].alias("used"), s["included"].alias("included"), F.concat(s["skipped"], F.array(e["item"])).alias("skipped"))),
-    )
-    return lists.select(group, walk.alias("w")).select(group, "w.included", "w.skipped", "w.used")
+    taken = lists.withColumn("taken", _fits_udf(F.transform("entries", lambda e: e["cost"]), "start", "room"))
+    marked = taken.select(group, "start", F.zip_with("entries", "taken", lambda e, t: F.struct(e["item"].alias("item"), e["cost"].alias("cost"), t.alias("taken"))).alias("m"))
+    kept, passed = F.filter("m", lambda x: x["taken"]), F.filter("m", lambda x: ~x["taken"])
+    used = F.aggregate(kept, F.col("start"), lambda s, x: s + x["cost"])
+    return marked.select(group, F.transform(kept, lambda x: x["item"]).alias("included"), F.transform(passed, lambda x: x["item"]).alias("skipped"), used.alias("used"))
 
 
 def prefix_within(df: DataFrame, group: str, order: list, cost: str, budget: int) -> DataFrame:
