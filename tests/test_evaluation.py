@@ -142,3 +142,10 @@ def test_rendered_files_parse_and_samples_repeat():
     first = annotations.sample(types, {"p": 3}, 7, ["p"], {"p": {"c"}}, 1)
     assert first == annotations.sample(types, {"p": 3}, 7, ["p"], {"p": {"c"}}, 1) and len(first) == 3
     assert ("p", "b", "covers Y") in first and ("p", "c", "fill: no LLM items") in first
+
+
+def test_measured_steps(spark):
+    ran = []
+    got = evaluation.measured(spark, {"load": lambda: ran.append("load") or spark.range(5), "rank": lambda: spark.range(2)}, repeats=2)
+    assert sorted((r.step, r.repeat, r["rows"]) for r in got.collect()) == [("load", 0, 5), ("load", 1, 5), ("rank", 0, 2), ("rank", 1, 2)] and len(ran) == 2
+    assert evaluation.timing_of_repeats(got, "seconds", "repeat").first().n == 2

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from graphloom import schemas
 from graphloom.operators import annotations, build, context, graph, resolve, retrieval, templates
 from graphloom.sources import dump
+from graphloom.sources.store import written
 
 SMALL = r"""
 CREATE INDEX ON :Prop(uid);
@@ -40,7 +41,7 @@ def small(spark, tmp_path_factory):
     path.mkdir()
     (path / "full_dump.cypherl").write_text(SMALL)
     g = dump.read(spark, str(path / "full_dump.cypherl"), "p")
-    return graph.Graph(g.nodes.cache(), g.edges.cache())
+    return graph.Graph(written(g.nodes), written(g.edges))
 
 
 def test_dump(spark, small):
@@ -199,6 +200,15 @@ def test_whole_retrievals(spark, small, task_type):
     assert row.fallback and [n.name for n in row.assembly.neighbours] == ["App", "Row"] and "project-wide overview" in row.context
 
 
+def test_overviews_are_cut_by_project(spark, small):
+    """The limit holds in each project, so a project of small components beside one of large ones gets its own."""
+    two = graph.Graph(*[df.unionByName(df.withColumn("project_id", F.lit("q"))) for df in (small.nodes, small.edges)])
+    top = templates.project_overview(two, 1).collect()
+    assert sorted((r.project_id, r.componentName) for r in top) == [("p", "App"), ("q", "App")]
+    only = templates.project_overview(two, 1, projects=spark.createDataFrame([("q",)], "project_id string")).collect()
+    assert [r.project_id for r in only] == ["q"]
+
+
 def test_budgets_and_recall(spark):
     tasks = spark.createDataFrame([("P1",), ("P2",)], "task_id string")
     runs = spark.createDataFrame([("P1", 5), ("P1", 5), ("P2", 7)], "task_id string, tokens bigint")
