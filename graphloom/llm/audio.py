@@ -1,8 +1,9 @@
 """Chroma audio fingerprints, and recordings aligned by them.
 
 A recording's spectra are folded to twelve pitch classes a frame; rectangle filters over the integral image of these
-frames give two bits each, sixteen of them one packed integer a frame. Two recordings are aligned at the offset that most equal integers, or
-equal pairs of neighbouring ones, vote for, and compared by the share of differing bits where they overlap there.
+frames give two bits each, sixteen of them one packed integer a frame. Two recordings are aligned at the offset that most equal integers vote
+for, and compared by the share of differing bits where they overlap there. Recordings that are looked up are a stated set: they are lent to the
+tasks in blocks of bounded size, and each task holds its share of the table against a block, so no value is a key of a shuffle.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ import wave
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm.common import written
+from graphloom.llm.common import slices, written
 
 RATE, FRAME, HOP = 11025, 4096, 1365
 LOW_HZ, HIGH_HZ = 28.0, 3520.0
@@ -25,8 +27,10 @@ LONGEST = max(f[3] for f in FILTERS)
 #: Log-ratios between a filter's two sides at which its two bits change.
 STEP = 0.05
 GRAY = np.array([0, 1, 3, 2])
-#: Equal pairs that an offset needs, integers that must overlap, and the share of differing bits up to which recordings match.
+#: Equal integers that an offset needs, integers that must overlap, and the share of differing bits up to which recordings match.
 VOTES, OVERLAP, ERRORS = 1, 8, 0.25
+#: Bytes of packed integers in a block of queries, and hits of a task that are looked at together.
+BLOCK_BYTES, HITS = 32 << 20, 1 << 20
 
 
 def _folding() -> np.ndarray:
@@ -39,6 +43,9 @@ def _folding() -> np.ndarray:
 
 
 FOLD, HANN = _folding(), np.hanning(FRAME)
+#: The bins that any pitch class has.
+FIRST, LAST = np.flatnonzero(FOLD.any(axis=1))[[0, -1]]
+FOLD = np.ascontiguousarray(FOLD[FIRST : LAST + 1])
 
 
 def chroma(samples: np.ndarray) -> np.ndarray:
@@ -50,7 +57,8 @@ def chroma(samples: np.ndarray) -> np.ndarray:
     for at in range(0, n, 512):  # long recordings in blocks
         count = min(512, n - at)
         frames = np.lib.stride_tricks.as_strided(samples[at * HOP :], (count, FRAME), (HOP * samples.strides[0], samples.strides[0]))
-        out[at : at + count] = (np.abs(np.fft.rfft(frames * HANN, axis=1)) ** 2) @ FOLD
+        bins = np.fft.rfft(frames * HANN, axis=1)[:, FIRST : LAST + 1]
+        out[at : at + count] = (bins.real**2 + bins.imag**2) @ FOLD
     smooth = sum(w * out[i : n - len(SMOOTH) + 1 + i] for i, w in enumerate(SMOOTH))
     size = np.linalg.norm(smooth, axis=1, keepdims=True)
     return np.where(size > 1e-2, smooth / np.maximum(size, 1e-12), 0.0)
@@ -63,10 +71,10 @@ def packed(frames: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int32)
     image = np.zeros((len(frames) + 1, 13))
     image[1:, 1:] = frames.cumsum(axis=0).cumsum(axis=1)
-    at = np.arange(n)
+    image = np.ascontiguousarray(image.T)
 
     def area(t0, t1, y0, y1):
-        return image[at + t1, y1] - image[at + t0, y1] - image[at + t1, y0] + image[at + t0, y0]
+        return image[y1, t1 : t1 + n] - image[y1, t0 : t0 + n] - image[y0, t1 : t1 + n] + image[y0, t0 : t0 + n]
 
     out = np.zeros(n, np.uint32)
     for split, y, height, width in FILTERS:
@@ -113,49 +121,146 @@ def decode_vector(values) -> np.ndarray:
     v = np.array([x if x is not None and np.isfinite(x) else 0.0 for x in values or ()])
     v = np.concatenate([v, np.zeros(-len(v) % NOTES)])
     note = np.floor((v + 0.5) * 24).astype(np.int64) % 24
-    return ((0.5 + np.abs(np.clip(v, -1, 1)))[:, None] * TONES[note]).reshape(-1, NOTES, CHORD).sum(axis=1).ravel() if len(v) else np.empty(0)
+    loud = np.zeros((len(v) // NOTES, len(TONES)))
+    np.add.at(loud, (np.arange(len(v)) // NOTES, note), 0.5 + np.abs(np.clip(v, -1, 1)))
+    return (loud @ TONES).ravel()
 
 
 def fingerprints(recordings: DataFrame, decode=decode_wav, id_col: str = "id", media_col: str = "media") -> DataFrame:
-    """``id, copies, ids, fp``: one row for each different medium, with the smallest id of those that have it, their number and
-    their packed integers. Copies collapse before anything is decoded. Null media are one group with an empty fingerprint."""
-    distinct = recordings.select(recordings[id_col].cast("long").alias("id"), recordings[media_col].alias("media")).groupBy("media").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    """``id, fp``: the packed integers of every recording. Media are decoded where they are read and never shuffled; null ones have none."""
 
     def run(batches):
         for batch in batches:
-            ids, copies, media = (batch.column(batch.schema.get_field_index(x)) for x in ("id", "copies", "media"))
-            prints = [fingerprint(decode(m)) for m in media.to_pylist()]
-            yield pa.RecordBatch.from_arrays([ids, copies, pa.array(prints, pa.list_(pa.int32()))], ["id", "copies", "fp"])
+            for part in slices(batch):
+                prints = [fingerprint(decode(m)) for m in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.list_(pa.int32()))], ["id", "fp"])
 
-    return distinct.select("id", "copies", "media").mapInArrow(run, "id long, copies long, fp array<int>")
+    return recordings.select(recordings[id_col].cast("long").alias("id"), recordings[media_col].alias("media")).mapInArrow(run, "id long, fp array<int>")
 
 
 def classes(prints: DataFrame) -> DataFrame:
     """``class_id, copies, fp``: one row for each different fingerprint."""
-    return prints.groupBy("fp").agg(F.min("id").alias("class_id"), F.sum("copies").alias("copies"))
-
-
-def alignments(queries: DataFrame, table: DataFrame, votes: int = VOTES, overlap: int = OVERLAP, errors: float = ERRORS, run: int = 2) -> DataFrame:
+    return prints.groupBy("fp").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
+
+
+def _runs(flat: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Value, owner, first place and length of the runs of equal integers: a held note or silence is one of them, however long."""
+    if not len(flat):
+        return flat, owner, place, place
+    starts = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])])
+    return flat[starts], owner[starts], place[starts], np.diff(np.r_[starts, len(flat)])
+
+
+def _ragged(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For lists of the lengths n, put end to end: which list each element is of, and its place there."""
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(n.cumsum() - n, n)
+
+
+class Recordings:
+    """Packed integers of several recordings, end to end."""
+
+    def __init__(self, ids: np.ndarray, flat: np.ndarray, sizes: np.ndarray):
+        self.ids, self.flat, self.sizes = ids, flat, sizes
+        self.starts = sizes.cumsum() - sizes
+        self.value, self.owner, self.at, self.length = _runs(flat, *_ragged(sizes))
+
+    @classmethod
+    def of(cls, ids: pa.Array, prints: pa.Array) -> Recordings:
+        sizes = np.array(pa.compute.fill_null(pa.compute.list_value_length(prints), 0), np.int64)
+        return cls(ids.to_numpy(zero_copy_only=False), prints.flatten().to_numpy(zero_copy_only=False), sizes)
+
+
+class Block(Recordings):
+    """Queries, their runs ordered by value."""
+
+    def __init__(self, *parts):
+        super().__init__(*parts)
+        order = np.argsort(self.value, kind="stable")
+        self.value, self.owner, self.at, self.length = (x[order] for x in (self.value, self.owner, self.at, self.length))
+
+    def best(self, pair: np.ndarray, s: np.ndarray, la: np.ndarray, lb: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For each pair of recordings the offset with the most votes, then the smallest shift, then the larger offset, and its votes.
+
+        Two runs of lengths la and lb vote for the offsets from s on in the shape of a trapezoid: four impulses of its second difference say
+        all of it. Sums of trapezoids are straight between impulses, so only these, the ends of each plateau and offset 0 are looked at."""
+        low, high = s + np.minimum(la, lb) - 1, s + np.maximum(la, lb) - 1
+        x = np.concatenate([s, s + la, s + lb, s + la + lb, low, high, np.zeros_like(s)])
+        impulse = np.repeat([1, -1, -1, 1, 0, 0, 0], len(s))
+        pair = np.tile(pair, 7)
+        order = np.lexsort((x, pair))
+        pair, x, impulse = pair[order], x[order], impulse[order]
+        first = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (x[1:] != x[:-1])])
+        pair, x, slope = pair[first], x[first], np.add.reduceat(impulse, first).cumsum()
+        gap = np.r_[0, x[1:] - x[:-1] - 1]
+        votes = (np.r_[0, slope[:-1]] * gap + slope).cumsum()  # the slope is 0 where a pair ends, so pairs don't mix
+        order = np.lexsort((x, -np.abs(x), votes, pair))
+        last = order[np.r_[pair[order][1:] != pair[order][:-1], True]]
+        return pair[last], x[last], votes[last]
+
+    def matches(self, table: Recordings, votes: int, overlap: int, errors: float):
+        """Record batches ``query, match, offset, votes, bits, bit_errors``."""
+        left, right = (np.searchsorted(self.value, table.value, side) for side in ("left", "right"))
+        n = right - left
+        # All runs of a recording stay together, and about HITS hits.
+        ends = np.flatnonzero(np.r_[table.owner[1:] != table.owner[:-1], True]) + 1 if len(table.owner) else np.empty(0, np.int64)
+        total, begin, done = n.cumsum(), 0, 0
+        for end in ends.tolist():
+            if (total[end - 1] - done < HITS and end != ends[-1]) or total[end - 1] == done:
+                continue
+            which, place = _ragged(n[begin:end])
+            t, q = which + begin, left[begin:end][which] + place
+            begin, done = end, total[end - 1]
+            la, lb = self.length[q], table.length[t]
+            pair, offset, got = self.best(table.owner[t] * len(self.ids) + self.owner[q], table.at[t] - self.at[q] - la + 1, la, lb)
+            b, a = np.divmod(pair, len(self.ids))
+            a0, b0 = np.maximum(-offset, 0), np.maximum(offset, 0)
+            size = np.minimum(self.sizes[a] - a0, table.sizes[b] - b0)
+            keep = (got >= votes) & (size >= overlap) & (self.ids[a] != table.ids[b])
+            a, b, a0, b0, size, offset, got = (v[keep] for v in (a, b, a0, b0, size, offset, got))
+            wrong = np.zeros(len(size), np.int64)
+            cuts = np.flatnonzero(np.diff(size.cumsum() // HITS, prepend=0)).tolist() if len(size) else []
+            for i, j in zip([0, *cuts], [*cuts, len(size)], strict=True):
+                which, place = _ragged(size[i:j])
+                x, y = self.flat[(self.starts[a] + a0)[i:j][which] + place], table.flat[(table.starts[b] + b0)[i:j][which] + place]
+                wrong[i:j] = np.bincount(which, np.bitwise_count((x ^ y).view(np.uint32)), j - i)
+            near = wrong <= errors * 32 * size
+            columns = (self.ids[a], table.ids[b], offset, got, 32 * size, wrong)
+            yield pa.RecordBatch.from_arrays([pa.array(c[near].astype(np.int64)) for c in columns], list(ALIGNED))
+
+
+ALIGNED = ("query", "match", "offset", "votes", "bits", "bit_errors")
+ALIGNED_DDL = ", ".join(f"{c} long" for c in ALIGNED)
+
+
+def alignments(queries: DataFrame, table: DataFrame, votes: int = VOTES, overlap: int = OVERLAP, errors: float = ERRORS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``query, match, offset, votes, bits, bit_errors``: pairs of different classes that match at their best offset.
 
-    Both have ``class_id, fp``. ``run`` is 2 for votes by equal pairs of neighbouring integers, 1 for votes by single ones, which also
-    reach alignments whose equal integers are not adjacent. A pair that a class repeats votes for each of its places, as in the plain offset histogram. Offsets are counted
-    before and after the shuffle; the best has the most votes, then the smallest shift."""
-    fp = F.col("fp")
-    two = F.zip_with(F.slice(fp, 1, F.greatest(F.size(fp) - 1, F.lit(0))), F.slice(fp, 2, F.greatest(F.size(fp) - 1, F.lit(0))), lambda x, y: F.shiftleft(x.cast("long"), 32).bitwiseOR(y.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
-    places = lambda df, name: df.where(F.size("fp") >= run).select(F.col("class_id").alias(name), F.posexplode(two if run == 2 else fp).alias(f"{name}_at", "value"))
-    hits = places(queries, "query").join(places(table, "match"), "value").where("query != match")
-    histogram = hits.groupBy("query", "match", (F.col("match_at") - F.col("query_at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = histogram.where(F.col("votes") >= votes).groupBy("query", "match").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("best"))
-    pairs = best.select("query", "match", "best.offset", "best.votes")
-    pairs = pairs.join(queries.select(F.col("class_id").alias("query"), F.col("fp").alias("a")), "query").join(table.select(F.col("class_id").alias("match"), F.col("fp").alias("b")), "match")
-    size = F.least(F.size("a") - F.greatest(-F.col("offset"), F.lit(0)), F.size("b") - F.greatest("offset", F.lit(0)))
-    # bit_count widens integers by their sign first, so the upper half is cut off.
-    a = F.slice("a", F.greatest(-F.col("offset"), F.lit(0)) + 1, F.col("n"))
-    b = F.slice("b", F.greatest("offset", F.lit(0)) + 1, F.col("n"))
-    wrong = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit(0), lambda s, x: s + x)
-    compared = pairs.withColumn("n", size).where(F.col("n") >= overlap).withColumn("bits", F.col("n") * 32).withColumn("bit_errors", wrong)
-    return compared.where(F.col("bit_errors") <= errors * F.col("bits")).select("query", "match", "offset", "votes", "bits", "bit_errors")
+    Both have ``class_id, fp``. Every equal integer votes, each of its places against each of the other's, as in the plain offset histogram. The best
+    offset has the most votes, then the smallest shift. Queries are lent in as many blocks of about ``block_bytes`` as they need; each block is held against
+    the whole table."""
+    sized = queries.select("class_id", "fp")
+    size = sized.agg(F.sum(F.lit(4) * F.size("fp"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    found = []
+    for i in range(blocks):
+        own = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("class_id"), F.lit(blocks)) == i)
+        got = own.where(F.size("fp") > 0).toArrow().combine_chunks()
+        ids, prints = (got.column(c).combine_chunks() if got.num_rows else pa.array([], t) for c, t in (("class_id", pa.int64()), ("fp", pa.list_(pa.int32()))))
+        ids, prints = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (ids, prints))
+        lent = table.sparkSession.sparkContext.broadcast(Block.of(ids, prints))  # about block_bytes
+
+        def run(batches, lent=lent):
+            for batch in batches:
+                for part in slices(batch):
+                    yield from lent.value.matches(Recordings.of(part.column(0), part.column(1)), votes, overlap, errors)
+
+        hits = table.select("class_id", "fp").mapInArrow(run, ALIGNED_DDL)
+        found.append(hits if blocks == 1 else written(hits))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def search(recordings: DataFrame, is_query, decode=decode_wav, id_col: str = "id", media_col: str = "media", **limits) -> DataFrame:
@@ -164,14 +269,10 @@ def search(recordings: DataFrame, is_query, decode=decode_wav, id_col: str = "id
 
     Null and too short recordings have an empty fingerprint and match only their copies; repeated rows stay; an empty table gives an
     empty one; other columns are ignored."""
-    named = recordings.select(recordings[id_col].cast("long").alias("id"), recordings[media_col].alias("media"))
-    prints = written(fingerprints(named, decode, "id", "media"))
-    table = classes(prints)
-    member = prints.join(table.select("fp", "class_id", F.col("copies").alias("in_class")), "fp").select("id", "class_id", "in_class")
-    asked = named.where(is_query).groupBy("media").agg(F.collect_list("id").alias("ids"))
-    of_media = named.groupBy("media").agg(F.min("id").alias("first"))
-    rows = asked.join(of_media, asked["media"].eqNullSafe(of_media["media"])).select("first", F.explode("ids").alias("id"))
-    rows = written(rows.join(member.withColumnRenamed("id", "first"), "first").select("id", "class_id", "in_class"))
+    prints = written(fingerprints(recordings, decode, id_col, media_col))
+    table = written(classes(prints))
+    of_class = table.select("fp", "class_id", F.col("copies").alias("in_class"))
+    rows = written(prints.where(is_query).join(of_class, "fp").select("id", "class_id", "in_class"))
     queries = table.join(rows.select("class_id").distinct(), "class_id", "left_semi")
     found = alignments(queries, table, **limits).join(table.select(F.col("class_id").alias("match"), "copies"), "match")
     rate = (F.col("bit_errors") / F.col("bits")).alias("rate")
@@ -186,6 +287,6 @@ def search(recordings: DataFrame, is_query, decode=decode_wav, id_col: str = "id
 
 
 def op1_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector of ``embeddings`` sounded as a recording; every fiftieth is looked up among all, offsets voted for by single integers."""
+    """Each vector of ``embeddings`` sounded as a recording; every fiftieth is looked up among all."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return search(vectors, F.col("id") % 50 == 0, decode_vector, "vec_id", "embedding", run=1).withColumnRenamed("id", "vec_id")
+    return search(vectors, F.col("id") % 50 == 0, decode_vector, "vec_id", "embedding").withColumnRenamed("id", "vec_id")

@@ -28,7 +28,7 @@ def brute(a, b):
         i, j = max(0, -offset), max(0, offset)
         n = min(len(a) - i, len(b) - j)
         x, y = a[i : i + n], b[j : j + n]
-        votes = int(((x == y)[1:] & (x == y)[:-1]).sum())
+        votes = int((x == y).sum())
         if votes >= audio.VOTES:
             key = (votes, -abs(offset), offset)
             if best is None or key > best[0]:
@@ -94,3 +94,34 @@ def test_empty_short_and_null(spark):
     assert sorted(g.id for g in got) == [0, 2, 4] and {g.n_copies for g in got} == {2} and {g.best_id for g in got} == {None}
     assert audio.search(table.limit(0), F.col("id") >= 0, audio.decode_vector).count() == 0
     assert not len(audio.fingerprint(np.zeros(10))) and set(audio.fingerprint(np.zeros(200_000))) == {np.int32(audio.packed(np.zeros((LONG, 12)))[0]) for LONG in (audio.LONGEST,)}
+
+
+def test_runs_of_equal_integers_vote_like_the_plain_histogram():
+    r = np.random.default_rng(3)
+    made = lambda n: np.repeat(r.integers(0, 4, n), r.integers(1, 9, n)).astype(np.int32)
+    a, b = [made(r.integers(1, 12)) for _ in range(30)], [made(r.integers(1, 12)) for _ in range(40)]
+    whole = lambda kind, xs, first: kind(np.arange(first, first + len(xs)), np.concatenate(xs), np.array(list(map(len, xs))))
+    got = {}
+    for batch in whole(audio.Block, a, 1000).matches(whole(audio.Recordings, b, 0), audio.VOTES, audio.OVERLAP, audio.ERRORS):
+        got |= {(x["query"] - 1000, x["match"]): (x["offset"], x["votes"], x["bits"], x["bit_errors"]) for x in batch.to_pylist()}
+    want = {(i, j): f for i, x in enumerate(a) for j, y in enumerate(b) if (f := brute(x, y))}
+    assert got == want and len(want) > 100
+
+
+def test_blocks_of_queries_and_hits_do_not_change_the_result(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    rows = [(i, r.integers(0, 9, 27).astype(np.int32).tolist()) for i in range(60)]
+    table = spark.createDataFrame(rows, "class_id long, fp array<int>")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    whole = key(audio.alignments(table, table))
+    assert len(whole) > 20 and whole == key(audio.alignments(table, table, block_bytes=500))
+
+
+def test_silence_is_linear():
+    import time
+
+    began = time.time()
+    n = 1_000_000
+    block = audio.Block(np.array([1]), np.zeros(n, np.int32), np.array([n]))
+    out = [b for b in block.matches(audio.Recordings(np.array([2]), np.zeros(n // 2, np.int32), np.array([n // 2])), 1, 8, 0.25)]
+    assert out[0].to_pylist() == [{"query": 1, "match": 2, "offset": 0, "votes": n // 2, "bits": 32 * (n // 2), "bit_errors": 0}] and time.time() - began < 20

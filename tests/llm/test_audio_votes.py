@@ -11,7 +11,7 @@ def test_alignments_without_equal_neighbours(spark):
     part[::2] ^= np.uint32(1) << r.integers(0, 32, 14).astype(np.uint32)
     rows = [(i, x.view(np.int32).tolist()) for i, x in enumerate([whole, part, r.integers(0, 1 << 32, 27, dtype=np.uint32)])]
     table = spark.createDataFrame(rows, "class_id long, fp array<int>")
-    got = audio.alignments(table, table, run=1).collect()
+    got = audio.alignments(table, table).collect()
     assert sorted((g.query, g.match, g.offset, g.votes, g.bit_errors) for g in got) == [(0, 1, 0, 13, 14), (1, 0, 0, 13, 14)]
 
 
@@ -22,12 +22,5 @@ def test_recall_under_independent_bit_errors(spark):
     flips = np.packbits(r.random((100, 27, 32)) < 0.05, axis=2).view(">u4")[:, :, 0].astype(np.uint32)
     assert (np.bitwise_count(flips).sum(axis=1) <= audio.ERRORS * 27 * 32).all()
     frame = lambda x, first: spark.createDataFrame([(first + i, p.view(np.int32).tolist()) for i, p in enumerate(x)], "class_id long, fp array<int>")
-    got = audio.alignments(frame(whole ^ flips, 1000), frame(whole, 0), run=1).collect()
+    got = audio.alignments(frame(whole ^ flips, 1000), frame(whole, 0)).collect()
     assert sum(g.query == g.match + 1000 and g.offset == 0 for g in got) >= 95
-
-
-def test_the_query_votes_by_single_integers(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(audio, "search", lambda *a, **k: seen.append(k) or a[0].withColumn("id", F.lit(0)))
-    audio.op1_audio(spark, "/root/testdata/sf0.001")
-    assert seen == [{"run": 1}]
