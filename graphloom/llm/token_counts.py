@@ -186,7 +186,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     other columns are ignored; a text may be longer than a block, which then holds it alone. The frequencies are written once, so a
     block's documents and the answers to it always belong together."""
     texts = texts_of(docs, id_col, text_col)
-    buckets = max(BUCKETS, 2 * isqrt(texts.rdd.getNumPartitions()))
+    # Every block has a part for every bucket, so their number grows with the root of the partitions that the session sets for its data.
+    buckets = max(BUCKETS, 8 * isqrt(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     sent = written(frequencies(texts, tokenizer_path, buckets, block_chars))
     return joined(sent.where("bucket < 0").unionByName(answers(sent.where("bucket >= 0"), tokenizer_path)), limit)
 
