@@ -43,7 +43,7 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Lines in a window, and the weighted sum of characters in one from which text surges.
 WINDOW, SURGE = 3, 86
 #: Weight of a character in an article or main element, against one elsewhere.
-NAMED = 2
+NAMED = 64
 
 
 def _furniture(name: str, rest: str, inside: bool) -> str:

@@ -82,3 +82,8 @@ def test_short_lines_beside_an_advert_stay():
 def test_words_in_the_class_of_a_paragraph_mark_nothing():
     assert text('<article><h1>T</h1><p class="related-work">Body of the text</p></article>') == "T Body of the text"
     assert text(f'<body><div><h2 id="discussion">Discussion</h2><p class="search-results">{LONG}</p></div></body>') == f"Discussion {LONG.strip()}"
+
+
+def test_a_short_article_beside_a_long_block():
+    page = f"<body><article><h1>Short</h1><p>Two words.</p></article><div class='x1'><p>{LONG * 4}</p></div></body>"
+    assert text(page) == "Short Two words."
