@@ -96,9 +96,9 @@ def test_items(small):
 
 
 def test_context_is_cut_in_order(spark, small):
-    rows = templates.bug_fix(small, ["App", "Row"], "p")
+    rows = written(templates.bug_fix(small, ["App", "Row"], "p"))
     corpus = spark.createDataFrame([("p", "src/App.tsx", "word " * 10)], "project_id string, path string, source string")
-    neighbours = templates.neighbor_props(small, context.neighbour_uids(rows), "p")
+    neighbours = written(templates.neighbor_props(small, context.neighbour_uids(rows), "p"))
     full = context.assemble(rows, corpus, "bug_fix", neighbours, budget=7000).first()
     assert [a.name for a in full.assembly.anchors] == ["App", "Row"] and [n.role for n in full.assembly.neighbours] == ["parent"]
     assert [s.name for s in full.assembly.secondary] == ["useCart"]
