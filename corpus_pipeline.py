@@ -16,24 +16,38 @@ from graphloom.llm.common import written
 ORACLE_SQL = None
 
 
+#: Rows of an Arrow batch, at most, in the pipeline's session: texts may be long, and a batch is held on both sides of the pipe.
+BATCH_ROWS = 2048
+
+
+def bounded(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at its threshold or above; it learns from the labels of the documents given."""
+    bounded(spark)
     return quality.keep_documents(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each near-duplicate group."""
+    bounded(spark)
     return simhash.keep_one(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its personal data replaced by the kind in brackets and its n_chars counted anew."""
+    bounded(spark)
     masked = pii.mask_documents(docs, pii.train(docs))
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document with their places in sequences of at most 2048 tokens."""
+    bounded(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
