@@ -21,6 +21,11 @@ def table(key, make):
     return _tables[key]
 
 
+def forget() -> None:
+    """Drops the tables that other operators have left in a worker process."""
+    _tables.clear()
+
+
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator needs, under fixed names, null texts as empty ones; other columns never travel."""
     return docs.select(

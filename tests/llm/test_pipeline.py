@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from graphloom.llm import pii, quality, simhash, similar
+from graphloom.llm import pii, quality, similar
 
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -34,12 +34,9 @@ def brute(docs, labels):
     known = sorted({i: q for i, q in labels if q is not None and zlib.crc32(str(i).encode()) % 4 != 2 and i in docs}.items())
     model = quality.fit([quality.indicators(docs[i]) for i, _ in known], np.array([q for _, q in known])) if known else quality.neutral()
     first = {i: t for i, t in docs.items() if model.score(t) >= 0.7}
-    fp = {i: simhash.fingerprint(t, 4) for i, t in first.items()}
-    group = components(sorted(first), lambda i, j: (fp[i] ^ fp[j]).bit_count() <= 4)
+    sets = {i: similar.shingles(t, 5) for i, t in first.items()}
+    group = components(sorted(first), lambda i, j: sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
     second = {i: t for i, t in first.items() if group[i] == i}
-    sets = {i: similar.shingles(t, 5) for i, t in second.items()}
-    group = components(sorted(second), lambda i, j: sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
-    second = {i: t for i, t in second.items() if group[i] == i}
     field = pii.fit(sorted(x for t in second.values() for x in pii.sample_rows(t)))
     return first, second, {i: pii.masked(t, field.spans(t)[1]) for i, t in second.items()}
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from graphloom.llm import simhash
+from graphloom.llm import simhash, vantage
 from graphloom.llm.components import components
 
 
@@ -57,9 +57,9 @@ def same_partition(a, b):
 
 @pytest.mark.parametrize("seed", range(4))
 def test_vantage_point_tree_finds_every_component(seed, monkeypatch):
-    monkeypatch.setattr(simhash, "LEAF", 8)
+    monkeypatch.setattr(vantage, "LEAF", 8)
     fps = family(random.Random(seed), 240)
-    label = simhash.Forest(np.array(fps, dtype=np.uint64), 4).label.tolist()
+    label = vantage.Forest(np.array(fps, dtype=np.uint64), 4).label.tolist()
     assert same_partition(label, brute(fps, 4))
 
 
@@ -68,7 +68,7 @@ def test_sharded_links_against_brute_force(spark, shard_rows):
     fps = family(random.Random(9), 300)
     signed = np.array(fps, dtype=np.uint64).view(np.int64).tolist()
     frame = spark.createDataFrame([(x,) for x in signed], "fp long")
-    roots = {r.node: r.root for r in components(simhash.links(frame, 4, shard_rows)).collect()}
+    roots = {r.node: r.root for r in components(vantage.links(frame, 4, shard_rows)).collect()}
     assert same_partition([roots.get(x, x) for x in signed], brute(fps, 4))
 
 
@@ -92,3 +92,14 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(300)] + [(5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(300)}
+
+
+def test_keep_one_loses_no_text(spark):
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, a, "x"), (5, a, "y"), (5, b, "z"), (None, a, "n"), (None, "c d", "n"), (None, None, "n"), (9, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert key(simhash.keep_one(docs)) == sorted([(1, a, "x"), (5, b, "z"), (None, "c d", "n"), (9, "", "e")], key=str)
+    assert simhash.keep_one(docs).columns == docs.columns
+    same = spark.createDataFrame([(3, "q", "1"), (3, "q", "2")], "doc_id long, text string, _row string")
+    assert simhash.keep_one(same).count() == 1

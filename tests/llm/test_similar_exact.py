@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from graphloom.llm import similar
@@ -55,9 +56,12 @@ def test_different_texts_of_a_family_stay(solved):
 
 
 def test_every_pair_between_two_groups_is_tried(spark):
-    near, far = list(range(1, 101)), list(range(1001, 1101))
-    rows = [(1, 1, near), (2, 1, far), (3, 3, sorted([*near[:88], *range(5000, 5012)])), (4, 3, sorted([*far[:91], *range(6000, 6009)]))]
-    sets = spark.createDataFrame(rows, "key long, root long, s array<long>")
-    pairs = similar.pairs_between(sets, 0.8)
-    assert (2, 4) in {tuple(x) for x in pairs.collect()}
-    assert [tuple(x) for x in similar.verified(sets, pairs, 0.8).collect()] == [(2, 4)]
+    r = random.Random(12)
+    near, far = words(r, 100), words(r, 100)
+    texts = spark.createDataFrame([(1, near), (2, far), (3, replaced(r, near, 0, 13)), (4, replaced(r, far, 0, 6))], "row long, t array<string>").selectExpr("row", "array_join(t, ' ') text")
+    roots = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "row long, root long")
+    firsts = similar.prefixes(texts, np.zeros(similar.SLOTS, np.uint32), 5, 0.8).join(roots, "row")
+    met = similar.met_elements(firsts, similar.shared_elements(firsts))
+    pairs = similar.pairs_between(met, 0.8)
+    assert (4, 2) in {tuple(x) for x in pairs.collect()}
+    assert [tuple(x) for x in similar.verified(texts, similar.possible(pairs, firsts, 0.8), 5, 0.8).collect()] == [(4, 2)]
