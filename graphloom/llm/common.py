@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -15,15 +18,23 @@ def table(key, make):
     """A worker process's table under ``key``, made once. A worker serves one operator after another, so a new operator's table takes
     the place of those that others left behind."""
     if key not in _tables:
-        for other in [k for k in _tables if k[0] != key[0]]:
-            del _tables[other]
+        if any(k[0] != key[0] for k in _tables):
+            forget()
         _tables[key] = make()
     return _tables[key]
 
 
+def release() -> None:
+    """Gives memory that a worker process no longer uses back to the machine, as its workers share an executor's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such function
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def forget() -> None:
     """Drops the tables that other operators have left in a worker process."""
     _tables.clear()
+    release()
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -34,7 +45,7 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 #: Rows and bytes of a slice of an Arrow batch that becomes Python objects at one time; a single row may be larger.
-SLICE_ROWS, SLICE_BYTES = 1024, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
 
 
 def slices(batch: pa.RecordBatch):
@@ -49,6 +60,7 @@ def rows(batches, *names):
     for batch in batches:
         for part in slices(batch):
             yield tuple(part.column(part.schema.get_field_index(n)).to_pylist() for n in names)
+    release()
 
 
 def arrow(fields: dict[str, pa.DataType], columns) -> pa.RecordBatch:

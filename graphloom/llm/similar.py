@@ -24,16 +24,18 @@ from graphloom.llm.components import components
 from graphloom.llm.vantage import links
 
 BITS = 128
-#: Share of links at the wanted similarity that may be missed by the samples, and rows that a bucket holds on average.
+#: Share of links at the mean distance of the wanted similarity that the samples may miss (the prefixes find them), and rows that a bucket holds on average.
 MISSED, BUCKET = 0.03, 64
-#: Standard deviations of the bit distance within which the samples take a pair as a candidate, and below which it is all but certain.
-WIDE, CERTAIN = 2.6, 2.3
+#: Standard deviations of the bit distance within which the samples take a pair as a candidate.
+WIDE = 2.6
 #: Slots in which shingles are counted, and what rounding may take from a bound.
 SLOTS, SLACK = 1 << 20, 1e-6
 #: Bytes of ids up to which they are broadcast (a hashed one takes about eight times as much); beyond, the joins shuffle both sides.
 BROADCAST_BYTES = 4 << 20
 #: Bits of a shingle's hash, and pairs of one document that a task compares: one with more is sent to several.
 HASH_BITS, SHARE = 48, 2048
+#: Turns in which groups are joined by few pairs each before all pairs between those left are tried.
+STARS = 2
 #: Bits of the filter of shared shingles; one of a fixed size, so it lets more pass as the input grows, and the join behind it decides.
 FILTER_BITS = 1 << 26
 
@@ -114,11 +116,10 @@ def sampling(n: int, similarity: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISSED) / math.log(1 - (1 - differing(similarity)) ** bits))
 
 
-def limits(similarity: float) -> tuple[int, int]:
-    """Bit distances up to which a pair is certain, and up to which it is a candidate."""
+def limit(similarity: float) -> int:
+    """The bit distance up to which a pair that agrees on a sample is a candidate."""
     p = differing(similarity)
-    spread = math.sqrt(BITS * p * (1 - p))
-    return int(BITS * p - CERTAIN * spread), int(BITS * p + WIDE * spread)
+    return int(BITS * p + WIDE * math.sqrt(BITS * p * (1 - p)))
 
 
 def bucket_links(doc_id: np.ndarray, hi: np.ndarray, lo: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -156,7 +157,7 @@ def _links(table: pa.Table, bounds: np.ndarray, most: int) -> pa.RecordBatch:
 def candidate_links(sketches: DataFrame, n: int, similarity: float) -> DataFrame:
     """``u, v, d``: links within the candidate distance that the samples find (``sketches``: ``doc_id, hi, lo``, different sketches)."""
     bits, samples = sampling(n, similarity)
-    _, most = limits(similarity)
+    most = limit(similarity)
     places = np.random.default_rng(17)
     chosen = [np.sort(places.choice(BITS, bits, replace=False)) for _ in range(samples)]
     weights = 1 << np.arange(bits, dtype=np.int64)
@@ -307,9 +308,11 @@ def met_elements(firsts: DataFrame, shared: DataFrame) -> DataFrame:
     return written(kept.join(small(shared), "s", "left_semi"))
 
 
-def star_pairs(met: DataFrame) -> DataFrame:
-    """``u, v``: for each shared element a row of every root that has it, against one of the smallest root: linear in the roots."""
-    each = met.groupBy("s", "root").agg(F.min("row").alias("row"))
+def star_pairs(met: DataFrame, turn: int = 0) -> DataFrame:
+    """``u, v``: for each shared element a row of every root that has it, against one of the smallest root: linear in the elements met.
+
+    Which rows stand for their roots differs from element to element, so a row meets many of a large group, and from turn to turn."""
+    each = met.groupBy("s", "root").agg(F.min_by("row", F.xxhash64(F.lit(turn), "s", "row")).alias("row"))
     hubs = each.groupBy("s").agg(F.min(F.struct("root", "row")).alias("hub"))
     return each.join(hubs, "s").where("hub.root < root").select(F.col("row").alias("u"), F.col("hub.row").alias("v")).distinct()
 
@@ -412,8 +415,12 @@ def row_groups(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     rooted = lambda df: df.join(small(roots.withColumnRenamed("node", "row"), 2), "row")
     own = written(rooted(firsts).select("row", "root", "size", "p"))
     met = met_elements(own, shared_elements(own))
-    roots = merged(roots, verified(texts, possible(star_pairs(met), firsts, similarity), words, similarity))
-    met = written(rooted(met.drop("root")))
+    for turn in range(STARS):
+        found = verified(texts, possible(star_pairs(met, turn), firsts, similarity), words, similarity)
+        if not found.head(1):
+            break
+        roots = merged(roots, found)
+        met = written(rooted(met.drop("root")))
     roots = merged(roots, verified(texts, possible(pairs_between(met, similarity), firsts, similarity), words, similarity))
     # Written, so that the join deals both sides anew and Spark can split the partition of a much copied text.
     classes = written(keys.select("key", "node").join(roots, "node").select("key", "root"))

@@ -74,7 +74,6 @@ def test_buckets_of_many_copies_stay_linear():
     assert sum(len(u) for u, _, _ in links) == 4999
 
 
-def test_limits():
-    certain, most = similar.limits(0.8)
-    assert 8 <= certain < 128 * similar.differing(0.8) < most <= 32
+def test_limit():
+    assert 128 * similar.differing(0.8) < similar.limit(0.8) <= 32
     assert similar.sampling(1000, 0.8)[0] == 12 and similar.sampling(1 << 26, 0.8)[0] == 20
