@@ -17,7 +17,7 @@ ORACLE_SQL = None
 
 
 #: Rows of an Arrow batch, at most, in the pipeline's session: texts may be long, and a batch is held on both sides of the pipe.
-BATCH_ROWS = 2048
+BATCH_ROWS = 1024
 
 
 def bounded(spark: SparkSession) -> None:
