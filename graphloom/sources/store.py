@@ -36,7 +36,7 @@ def clear(spark: SparkSession) -> int:
 
 
 #: Rows of an Arrow batch while a table is written, at most: texts may be long, and a batch is held on both sides of the pipe.
-BATCH_ROWS = 2048
+BATCH_ROWS = 1024
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
