@@ -5,11 +5,12 @@ Every write carries its place (file, list position), so that the last writer win
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom.functions.text import is_hook_name, is_literal
+from graphloom.functions.udf import arrow_udf
 from graphloom.operators.graph import Graph, last_writer, set_root
 from graphloom.operators.resolve import children, contexts, manifest_files
 from graphloom.schemas import ANCHORS, COMPONENTS
@@ -46,8 +47,14 @@ def pairs_of(df: DataFrame, src: Column, dst: Column, props: dict[str, Column] |
     return df.select("project_id", src.alias("src_uid"), dst.alias("dst_uid"), F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("props"), at.alias("_at"))
 
 
-def exploded(extractions: DataFrame, column: str) -> DataFrame:
+#: Records with their lists, or by list a table of entries (``project_id, file_path, pos, x``, ``pos`` in the order of the list) where a list may be too long for a row.
+Extractions = DataFrame | Mapping[str, DataFrame]
+
+
+def exploded(extractions: Extractions, column: str) -> DataFrame:
     """``project_id, file_path, pos, x`` for each entry of a list; entries without a name go where they have one."""
+    if isinstance(extractions, Mapping):
+        return extractions[column]
     return extractions.select("project_id", "file_path", F.posexplode(column).alias("pos", "x"))
 
 
@@ -73,32 +80,40 @@ def or_else(c: Column, default) -> Column:
     return F.coalesce(c, F.lit(default))
 
 
-def handlers(extractions: DataFrame) -> DataFrame:
+def _free_names(names: list[str] | None, inline: list[bool] | None) -> list[str] | None:
+    """Of inline handlers with one name, the n-th gets the suffix ``_n`` unless that name is taken."""
+    if names is None or inline is None:
+        return None
+    taken: set[str] = set()
+    out = []
+    for name, probe in zip(names, inline, strict=True):
+        stored, n = name, 2
+        while probe and stored in taken:
+            stored, n = f"{name}_{n}", n + 1
+        taken.add(stored)
+        out.append(stored)
+    return out
+
+
+free_names = arrow_udf(_free_names, "array<string>")
+
+
+def handlers(extractions: Extractions) -> DataFrame:
     """Event handlers with the name under which they are stored.
 
-    Of inline handlers with one name in one component, the n-th gets the suffix ``_n`` unless that name is taken; probing for a free one depends
-    on all before it, so a component's handlers go through one sequential pass (they are few; the group is a component of a file)."""
-    listed = _named(exploded(extractions, "eventHandlers"), "name", "componentName").select("project_id", "file_path", "pos", "x.*")
-    schema = "project_id string, file_path string, pos int, name string, eventType string, componentName string, isInline boolean"
-
-    def rename(pdf):
-        taken: set[str] = set()
-        out = []
-        for name, inline in zip(pdf.sort_values("pos")["name"], pdf.sort_values("pos")["isInline"], strict=True):
-            stored, n = name, 2
-            if inline is True or str(inline) == "True":
-                while stored in taken:
-                    stored, n = f"{name}_{n}", n + 1
-            taken.add(stored)
-            out.append(stored)
-        pdf = pdf.sort_values("pos")
-        pdf["name"] = out
-        return pdf[["project_id", "file_path", "pos", "name", "eventType", "componentName", "isInline"]]
-
-    return listed.groupBy("project_id", "file_path", "componentName").applyInPandas(rename, schema)
-
-
-def hook_calls(extractions: DataFrame, projects: DataFrame, manifest: DataFrame) -> DataFrame:
+    Probing for a free name depends on all handlers before it, so a component's handlers (they are few) are one list; only lists in which a name
+    repeats go through Python."""
+    listed = _named(exploded(extractions, "eventHandlers"), "name", "componentName")
+    entry = F.struct("pos", X("name").alias("name"), X("eventType").alias("eventType"), F.coalesce(X("isInline"), F.lit(False)).alias("probe"), X("isInline").alias("isInline"))
+    of = listed.groupBy("project_id", "file_path", X("componentName").alias("componentName")).agg(F.sort_array(F.collect_list(entry)).alias("h"))
+    names, probes = F.transform("h", lambda h: h["name"]), F.transform("h", lambda h: h["probe"])
+    repeats = F.size(F.array_distinct(names)) < F.size(names)
+    of = of.withColumn("stored", free_names(F.when(repeats, names), F.when(repeats, probes)))
+    each = of.select("project_id", "file_path", "componentName", F.explode(F.arrays_zip("h", F.coalesce("stored", names).alias("stored"))).alias("z"))
+    return each.select("project_id", "file_path", F.col("z.h.pos").alias("pos"), F.col("z.stored").alias("name"), F.col("z.h.eventType").alias("eventType"), "componentName", F.col("z.h.isInline").alias("isInline"))
+
+
+def hook_calls(extractions: Extractions, projects: DataFrame, manifest: DataFrame) -> DataFrame:
     """Hooks by component: ``category`` of the first call site, corrected to custom where a library's source is a file of the project, and
     the number of call sites."""
     components = _named(exploded(extractions, "components"), "name").where(~is_hook_name(X("name")))
@@ -134,7 +149,7 @@ def roots(corpus: DataFrame, projects: DataFrame) -> DataFrame:
     return ranked.groupBy("project_id").agg(F.min_by(F.struct(F.col("path").alias("file_path"), "name"), order).alias("r")).select("project_id", "r.*")
 
 
-def build_graph(projects: DataFrame, files: DataFrame, libraries: DataFrame, extractions: DataFrame, corpus: DataFrame | None = None) -> Graph:
+def build_graph(projects: DataFrame, files: DataFrame, libraries: DataFrame, extractions: Extractions, corpus: DataFrame | None = None) -> Graph:
     """The graph of all projects.
 
     Projects: ``project_id, name, description, file_path, main, aliases, base_url``; files: ``project_id, file_path, name, modifiedAt``; libraries: ``project_id,
@@ -173,7 +188,7 @@ def build_graph(projects: DataFrame, files: DataFrame, libraries: DataFrame, ext
             "uid": own, "name": X("name"), "filePath": FILE, "syntax": or_else(X("syntax"), "function"), "usesHooks": or_else(X("usesHooks"), False), "returnsJSX": or_else(X("returnsJSX"), True), "exportType": or_else(X("exportType"), "none"), "isRoot": F.lit(False),
         }, PLACE),
         hook_nodes(comps, 0),
-        hook_nodes(_named(exploded(extractions, "customHooks"), "name"), 1 << 20),  # the list of hooks is written after that of components
+        hook_nodes(_named(exploded(extractions, "customHooks"), "name"), 1 << 62),  # the list of hooks is written after that of components
         nodes_of(classes, "Class_Component", own, X("name"), FILE, {
             "uid": own, "name": X("name"), "filePath": FILE, "extendsClass": or_else(X("extendsClass"), "React.Component"), "returnsJSX": or_else(X("returnsJSX"), True), "exportType": or_else(X("exportType"), "none"),
             "hasConstructor": or_else(X("hasConstructor"), False), "lifecycleMethods": F.to_json(F.coalesce(X("lifecycleMethods"), F.array().cast("array<string>"))), "isRoot": F.lit(False),
@@ -272,6 +287,20 @@ def build_graph(projects: DataFrame, files: DataFrame, libraries: DataFrame, ext
     return Graph(nodes if rendered is None else set_root(nodes, rendered), found)
 
 
+#: Lists of what other files can refer to.
+CONTENT = ("components", "customHooks", "classComponents", "contexts")
+
+
 def has_content(extractions: DataFrame) -> Column:
     """Whether a file holds anything that other files can refer to."""
-    return F.greatest(*[F.coalesce(F.size(c), F.lit(0)) for c in ("components", "customHooks", "classComponents", "contexts")]) > 0
+    return F.greatest(*[F.coalesce(F.size(c), F.lit(0)) for c in CONTENT]) > 0
+
+
+def content(extractions: Extractions, files: DataFrame) -> DataFrame:
+    """``files`` (``project_id, file_path``) with ``has_content`` and the number of entries in each list of ``CONTENT``. Entries are counted, never gathered."""
+    own = exploded(extractions, CONTENT[0]).select("project_id", "file_path", F.lit(CONTENT[0]).alias("list"))
+    for name in CONTENT[1:]:
+        own = own.unionByName(exploded(extractions, name).select("project_id", "file_path", F.lit(name).alias("list")))
+    counts = own.groupBy("project_id", "file_path").agg(*[F.count_if(F.col("list") == name).alias(name) for name in CONTENT])
+    found = files.join(counts, ["project_id", "file_path"], "left").fillna(0, list(CONTENT))
+    return found.withColumn("has_content", F.greatest(*CONTENT) > 0)
