@@ -40,3 +40,9 @@ def test_content_is_counted(extractions, tables, files):
     found = rows(build.content(tables, files).select("file_path", "has_content", "components"))
     assert found == rows(extractions.select("file_path", build.has_content(extractions).alias("has_content"), F.size("components").cast("bigint").alias("components")))
     assert found == rows(build.content(extractions, files).select("file_path", "has_content", "components"))
+
+
+def test_hook_calls_of_entry_tables(extractions, tables, files, projects):
+    got = [build.hook_calls(e, projects, files).select("file_path", "component", "hook", "category", "count") for e in (tables, extractions)]
+    assert rows(got[0]) == rows(got[1])
+    assert {(r.hook, r.category, r["count"]) for r in got[0].collect()} == {("useState", "library", 2), ("useB", "custom", 1)}
