@@ -13,7 +13,7 @@ from graphloom.functions.text import is_hook_name, is_literal
 from graphloom.functions.udf import arrow_udf
 from graphloom.operators.graph import Graph, last_writer, set_root
 from graphloom.operators.resolve import children, contexts, manifest_files
-from graphloom.schemas import ANCHORS, COMPONENTS
+from graphloom.schemas import ANCHORS, COMPONENTS, NODE_FIELDS
 from graphloom.sources.store import written
 
 # Tags that wrap a root component, and where an entry file is looked for first.
@@ -31,20 +31,25 @@ def node_id(project: Column, label: Column, uid: Column) -> Column:
     return F.xxhash64(project, label, uid)
 
 
-def nodes_of(df: DataFrame, label: str, uid: Column, name: Column, file_path: Column, props: dict[str, Column], order: Sequence[Column] = ()) -> DataFrame:
-    """Node rows of a label with the place of their write; properties that are null are absent."""
-    entries = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in props.items()])
-    at = F.struct((order[0].cast("string") if order else F.lit("")).alias("file"), (order[1].cast("bigint") if len(order) > 1 else F.lit(0).cast("bigint")).alias("pos"))
+#: Properties that repeat a column of their node; ``graph_nodes`` puts them back when every node has been moved to its other writes.
+REPEATED = ("uid", "name", "filePath")
+
+
+def nodes_of(df: DataFrame, label: str, uid: Column, name: Column, file_path: Column, props: dict[str, Column], pos: Column | None = None) -> DataFrame:
+    """Node rows of a label with the place of their write, as far as they need it: a uid that several entries write names their file. Properties that are null are
+    absent, those in ``REPEATED`` left out."""
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in props.items() if k not in REPEATED])
+    at = F.lit(0) if pos is None else pos
     return df.select(
-        "project_id", node_id(F.col("project_id"), F.lit(label), uid).alias("node_id"), F.lit(label).alias("label"), uid.alias("uid"), name.alias("name"), file_path.alias("file_path"),
-        F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("props"), at.alias("_at"),
+        "project_id", F.lit(label).alias("label"), uid.alias("uid"), name.alias("name"), file_path.alias("file_path"),
+        F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("props"), at.cast("bigint").alias("_at"),
     )
 
 
-def pairs_of(df: DataFrame, src: Column, dst: Column, props: dict[str, Column] | None = None, order: Sequence[Column] = ()) -> DataFrame:
+def pairs_of(df: DataFrame, src: Column, dst: Column, props: dict[str, Column] | None = None, order: Sequence[Column] = (), keep: Sequence[str] = ()) -> DataFrame:
     entries = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in (props or {}).items()]).cast("array<struct<key:string,value:string>>")
     at = F.struct((order[0].cast("string") if order else F.lit("")).alias("file"), (order[1].cast("bigint") if len(order) > 1 else F.lit(0).cast("bigint")).alias("pos"))
-    return df.select("project_id", src.alias("src_uid"), dst.alias("dst_uid"), F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("props"), at.alias("_at"))
+    return df.select("project_id", src.alias("src_uid"), dst.alias("dst_uid"), F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("props"), at.alias("_at"), *keep)
 
 
 #: Records with their lists, or by list a table of entries (``project_id, file_path, pos, x``, ``pos`` in the order of the list) where a list may be too long for a row.
@@ -149,18 +154,20 @@ def roots(corpus: DataFrame, projects: DataFrame) -> DataFrame:
     return ranked.groupBy("project_id").agg(F.min_by(F.struct(F.col("path").alias("file_path"), "name"), order).alias("r")).select("project_id", "r.*")
 
 
-def build_graph(projects: DataFrame, files: DataFrame, libraries: DataFrame, extractions: Extractions, corpus: DataFrame | None = None) -> Graph:
-    """The graph of all projects.
+def _inner_hooks(extractions: Extractions) -> DataFrame:
+    """Library hooks inside custom hooks."""
+    inner = exploded(extractions, "customHookUsages")
+    return inner.select("project_id", "file_path", "pos", X("hookName").alias("owner"), F.explode("x.libraryHooks").alias("h")).select("project_id", "file_path", "pos", "owner", "h.*")
 
-    Projects: ``project_id, name, description, file_path, main, aliases, base_url``; files: ``project_id, file_path, name, modifiedAt``; libraries: ``project_id,
-    name, version, category, dependencyType``; extractions: ``schemas.EXTRACTIONS``."""
-    FILE, PLACE = F.col("file_path"), (F.col("file_path"), F.col("pos"))  # noqa: N806
+
+def graph_nodes(projects: DataFrame, files: DataFrame, libraries: DataFrame, extractions: Extractions) -> DataFrame:
+    """The nodes of all projects, before any is marked as the root; arguments as in ``build_graph``."""
+    FILE, POS = F.col("file_path"), F.col("pos")  # noqa: N806
     manifest = files.select("project_id", "file_path")
     comps = _named(exploded(extractions, "components"), "name")
     calls = hook_calls(extractions, projects, manifest)
     used = calls.where("category = 'library'")
-    inner = exploded(extractions, "customHookUsages")
-    inner_hooks = inner.select("project_id", "file_path", "pos", X("hookName").alias("owner"), F.explode("x.libraryHooks").alias("h")).select("project_id", "file_path", "pos", "owner", "h.*")
+    inner_hooks = _inner_hooks(extractions)
     handled = handlers(extractions)
     states = _named(exploded(extractions, "stateVariables"), "name", "componentName")
     class_states = _named(exploded(extractions, "classStateVariables"), "name", "componentName")
@@ -171,13 +178,13 @@ def build_graph(projects: DataFrame, files: DataFrame, libraries: DataFrame, ext
     part = uid(X("name"), X("componentName"), FILE)
 
     def hook_nodes(df: DataFrame, later: int) -> DataFrame:
-        return nodes_of(df.where(is_hook_name(X("name"))), "Custom_Hook", own, X("name"), FILE, {"uid": own, "name": X("name"), "filePath": FILE, "exportType": or_else(X("exportType"), "none")}, (FILE, F.col("pos") + later))
+        return nodes_of(df.where(is_hook_name(X("name"))), "Custom_Hook", own, X("name"), FILE, {"uid": own, "name": X("name"), "filePath": FILE, "exportType": or_else(X("exportType"), "none")}, F.col("pos") + later)
 
     def state_nodes(df: DataFrame, setter: str | None) -> DataFrame:
         return nodes_of(df, "State_Variable", part, X("name"), FILE, {
             "uid": part, "name": X("name"), "setterName": X("setterName") if setter is None else or_else(X("setterName"), setter), "type": or_else(X("type"), "unknown"),
             "defaultValue": or_else(X("defaultValue"), "undefined"), "filePath": FILE, "componentName": X("componentName"),
-        }, PLACE)
+        }, POS)
 
     hook_uid = uid(F.col("hook"), F.col("source"))
     parts = [
@@ -186,57 +193,94 @@ def build_graph(projects: DataFrame, files: DataFrame, libraries: DataFrame, ext
         nodes_of(libraries, "Library", F.col("name"), F.col("name"), F.lit(None).cast("string"), {"name": F.col("name"), "version": F.col("version"), "category": F.col("category")}),
         nodes_of(comps.where(~is_hook_name(X("name"))), "Function_Component", own, X("name"), FILE, {
             "uid": own, "name": X("name"), "filePath": FILE, "syntax": or_else(X("syntax"), "function"), "usesHooks": or_else(X("usesHooks"), False), "returnsJSX": or_else(X("returnsJSX"), True), "exportType": or_else(X("exportType"), "none"), "isRoot": F.lit(False),
-        }, PLACE),
+        }, POS),
         hook_nodes(comps, 0),
         hook_nodes(_named(exploded(extractions, "customHooks"), "name"), 1 << 62),  # the list of hooks is written after that of components
         nodes_of(classes, "Class_Component", own, X("name"), FILE, {
             "uid": own, "name": X("name"), "filePath": FILE, "extendsClass": or_else(X("extendsClass"), "React.Component"), "returnsJSX": or_else(X("returnsJSX"), True), "exportType": or_else(X("exportType"), "none"),
             "hasConstructor": or_else(X("hasConstructor"), False), "lifecycleMethods": F.to_json(F.coalesce(X("lifecycleMethods"), F.array().cast("array<string>"))), "isRoot": F.lit(False),
-        }, PLACE),
+        }, POS),
         nodes_of(used, "Library_Hook", hook_uid, F.col("hook"), F.lit(None).cast("string"), {"uid": hook_uid, "name": F.col("hook"), "source": F.col("source")}),
         nodes_of(inner_hooks, "Library_Hook", uid(F.col("name"), F.col("source")), F.col("name"), F.lit(None).cast("string"), {"uid": uid(F.col("name"), F.col("source")), "name": F.col("name"), "source": F.col("source")}),
-        nodes_of(props, "Prop", part, X("name"), FILE, {"uid": part, "name": X("name"), "componentName": X("componentName"), "filePath": FILE, "type": or_else(X("type"), "unknown"), "isRequired": X("isRequired")}, PLACE),
+        nodes_of(props, "Prop", part, X("name"), FILE, {"uid": part, "name": X("name"), "componentName": X("componentName"), "filePath": FILE, "type": or_else(X("type"), "unknown"), "isRequired": X("isRequired")}, POS),
         state_nodes(states, None), state_nodes(class_states, "this.setState"),
-        nodes_of(ctx, "Context", own, X("name"), FILE, {"uid": own, "name": X("name"), "filePath": FILE, "defaultValue": or_else(X("defaultValue"), "undefined"), "exportType": or_else(X("exportType"), "none")}, PLACE),
+        nodes_of(ctx, "Context", own, X("name"), FILE, {"uid": own, "name": X("name"), "filePath": FILE, "defaultValue": or_else(X("defaultValue"), "undefined"), "exportType": or_else(X("exportType"), "none")}, POS),
         nodes_of(handled, "EventHandler", uid(F.col("name"), F.col("componentName"), FILE), F.col("name"), FILE, {
             "uid": uid(F.col("name"), F.col("componentName"), FILE), "name": F.col("name"), "eventType": F.col("eventType"), "filePath": FILE, "componentName": F.col("componentName"), "isInline": or_else(F.col("isInline"), False),
-        }, PLACE),
+        }, POS),
     ]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    # Written, as every ladder and every end of an edge looks nodes up.
-    nodes = written(last_writer(every, ["project_id", "node_id"], ["_at"]).drop("_at"))
+    last = last_writer(every, ["uid", "label", "project_id"], ["_at"])
+    again = []
+    for k, column in zip(REPEATED, ("uid", "name", "file_path"), strict=True):
+        labels = [label for label, fields in NODE_FIELDS.items() if k in fields]
+        again.append(F.when(F.col("label").isin(*labels) & F.col(column).isNotNull(), F.struct(F.lit(k).alias("key"), F.col(column).alias("value"))))
+    whole = F.map_concat(F.map_from_entries(F.array_compact(F.array(*again))), "props")
+    return last.select("project_id", node_id(F.col("project_id"), F.col("label"), F.col("uid")).alias("node_id"), "label", "uid", "name", "file_path", whole.alias("props"))
+
 
-    calls_made: list[tuple[Sequence[str], Sequence[str]]] = []
+def graph_edges(nodes: DataFrame, projects: DataFrame, files: DataFrame, libraries: DataFrame, extractions: Extractions, rendered: DataFrame | None = None) -> DataFrame:
+    """``project_id, rel, src_label, src_uid, dst_label, dst_uid, props`` of the edges between ``nodes`` (read several times), with ``rendered`` as ``roots`` gives it.
 
-    def edges(rel: str, pairs: DataFrame, src: Sequence[str], dst: Sequence[str], key: Sequence[str] = ()) -> DataFrame:
-        """Pairs of one kind: between which labels, and by which properties two edges between the same ends are told apart."""
-        calls_made.append((src, dst))
+    Every edge is dealt out once, by its source: there the last write wins and the source is looked up. What a target is, is settled before, among few rows or by
+    the row that writes both."""
+    FILE, PLACE = F.col("file_path"), (F.col("file_path"), F.col("pos"))  # noqa: N806
+    manifest = files.select("project_id", "file_path")
+    calls = hook_calls(extractions, projects, manifest)
+    used = calls.where("category = 'library'")
+    inner = exploded(extractions, "customHookUsages")
+    inner_hooks = _inner_hooks(extractions)
+    handled = handlers(extractions)
+    states = _named(exploded(extractions, "stateVariables"), "name", "componentName")
+    class_states = _named(exploded(extractions, "classStateVariables"), "name", "componentName")
+    props = _named(exploded(extractions, "props"), "name", "componentName")
+    part = uid(X("name"), X("componentName"), FILE)
+    hook_uid = uid(F.col("hook"), F.col("source"))
+
+    sources: list[Sequence[str]] = []
+
+    def ends(labels: Sequence[str]) -> DataFrame:
+        return nodes.where(F.col("label").isin(*labels)).select("project_id", F.col("uid").alias("dst_uid"), F.col("label").alias("dst_label"))
+
+    def edges(rel: str, pairs: DataFrame, src: Sequence[str], dst: Sequence[str] = (), key: Sequence[str] = (), made: str | None = None) -> DataFrame:
+        """Pairs of one kind: between which labels, and by which properties two edges between the same ends are told apart. A target of the label ``made`` is
+        written by the rows of the pairs themselves; without ``dst`` and ``made`` pairs have their ``dst_label``."""
+        sources.append(src)
+        if made:
+            pairs = pairs.where("dst_uid is not null").withColumn("dst_label", F.lit(made))
+        elif dst:
+            pairs = pairs.join(ends(dst), ["project_id", "dst_uid"])
         own = F.concat_ws("\x00", *[F.coalesce(F.col("props")[k], F.lit("")) for k in key]) if key else F.lit("")
-        return pairs.select("project_id", "src_uid", "dst_uid", "props", "_at", own.alias("_key"), F.lit(rel).alias("rel"), F.lit(len(calls_made) - 1).alias("_call"))
+        own = F.col("_key") if "_key" in pairs.columns else own
+        name = F.col("rel") if "rel" in pairs.columns else F.lit(rel)
+        return pairs.select("project_id", "src_uid", "dst_uid", "dst_label", "props", "_at", own.alias("_key"), name.alias("rel"), F.lit(len(sources) - 1).alias("_call"))
 
     def joined(pairs: DataFrame) -> DataFrame:
-        """All kinds at once: one edge for two ends (and the identifying properties), with the last write's properties; both ends must exist."""
-        last = last_writer(pairs, ["project_id", "rel", "_call", "src_uid", "dst_uid", "_key"], ["_at"])
-        ends = nodes.select("project_id", "node_id", "uid", "label")
-        for side, at in (("src", 0), ("dst", 1)):
-            allowed = F.element_at(F.array(*[F.array(*map(F.lit, call[at])) for call in calls_made]), F.col("_call") + 1)
-            own = ends.select("project_id", F.col("uid").alias(f"{side}_uid"), F.col("node_id").alias(f"{side}_id"), F.col("label").alias("_label"))
-            last = last.join(own, ["project_id", f"{side}_uid"]).where(F.array_contains(allowed, F.col("_label"))).drop("_label")
-        return last.select("project_id", "src_id", "dst_id", "rel", "props")
+        """All kinds at once: one edge for two ends (and the identifying properties), with the last write's properties; the source must exist."""
+        last = last_writer(pairs.repartition("src_uid", "project_id"), ["src_uid", "project_id", "rel", "_call", "dst_label", "dst_uid", "_key"], ["_at"])
+        allowed = F.element_at(F.array(*[F.array(*map(F.lit, src)) for src in sources]), F.col("_call") + 1)
+        own = nodes.where(F.col("label").isin(*{x for src in sources for x in src})).select(F.col("uid").alias("src_uid"), "project_id", F.col("label").alias("src_label"))
+        return last.join(own, ["src_uid", "project_id"]).where(F.array_contains(allowed, F.col("src_label"))).select("project_id", "rel", "src_label", "src_uid", "dst_label", "dst_uid", "props")
+
+    def meant(df: DataFrame, name: str, source: str, found: DataFrame, labels: Sequence[str]) -> DataFrame:
+        """``df`` with the end that an import names."""
+        key = ["project_id", "name", "specifier", "current_file"]
+        hit = found.select(*key, F.col("uid").alias("dst_uid")).join(ends(labels), ["project_id", "dst_uid"])
+        return df.withColumns({"name": X(name), "specifier": or_else(X(source), ""), "current_file": FILE}).join(hit, key)
 
     # Ends that imports name go through the resolution ladders.
-    usages = exploded(extractions, "componentUsages").withColumn("request_id", F.xxhash64("project_id", "file_path", F.lit("use"), "pos"))
-    routes = exploded(extractions, "routeDefinitions").withColumn("request_id", F.xxhash64("project_id", "file_path", F.lit("route"), "pos"))
-    ask = lambda df, name, source: df.select("request_id", "project_id", X(name).alias("name"), or_else(X(source), "").alias("specifier"), FILE.alias("current_file"))
-    hit = children(ask(usages, "childComponent", "importSource").unionByName(ask(routes, "targetComponent", "importSource")), projects, nodes, manifest).select("request_id", F.col("uid").alias("target"))
-    usages, routes = usages.join(hit, "request_id"), routes.join(hit, "request_id")
-    passed = usages.select("project_id", "file_path", "pos", "target", X("parentComponent").alias("parent"), F.explode("x.propsPassed").alias("p"))
-    givers = exploded(extractions, "contextProviders").withColumn("request_id", F.xxhash64("project_id", "file_path", F.lit("give"), "pos"))
-    takers = exploded(extractions, "contextConsumers").withColumn("request_id", F.xxhash64("project_id", "file_path", F.lit("take"), "pos"))
-    ctx_hit = contexts(ask(givers, "contextName", "contextSource").unionByName(ask(takers, "contextName", "contextSource")), projects, nodes).select("request_id", F.col("uid").alias("target"))
-    givers, takers = givers.join(ctx_hit, "request_id"), takers.join(ctx_hit, "request_id")
+    usages, routes = exploded(extractions, "componentUsages"), exploded(extractions, "routeDefinitions")
+    givers, takers = exploded(extractions, "contextProviders"), exploded(extractions, "contextConsumers")
+    ask = lambda df, name, source: df.select("project_id", X(name).alias("name"), or_else(X(source), "").alias("specifier"), FILE.alias("current_file"))
+    hit = children(ask(usages, "childComponent", "importSource").unionByName(ask(routes, "targetComponent", "importSource")), projects, nodes, manifest)
+    usages, routes = meant(usages, "childComponent", "importSource", hit, COMPONENTS), meant(routes, "targetComponent", "importSource", hit, COMPONENTS)
+    ctx_hit = contexts(ask(givers, "contextName", "contextSource").unionByName(ask(takers, "contextName", "contextSource")), projects, nodes)
+    givers, takers = meant(givers, "contextName", "contextSource", ctx_hit, ["Context"]), meant(takers, "contextName", "contextSource", ctx_hit, ["Context"])
+    one = lambda rel, key, name, value: F.struct(F.lit(rel).alias("rel"), F.coalesce(key, F.lit("")).alias("_key"), F.lit(name).alias("k"), value.cast("string").alias("v"))
+    each = F.concat(F.array(one("USES_COMPONENT", F.lit(""), "usage", or_else(X("usage"), "element"))), F.coalesce(F.transform(X("propsPassed"), lambda p: one("PASSES_PROP", p["propName"], "propName", p["propName"])), F.array()))
+    told = usages.select("project_id", "file_path", "pos", uid(X("parentComponent"), FILE).alias("src_uid"), "dst_uid", "dst_label", F.explode(each).alias("e")).select("*", "e.*")
     kind = or_else(X("consumerType"), "function_component")
     taker = {"Class_Component": kind == "class_component", "Custom_Hook": kind == "custom_hook", "Function_Component": ~kind.isin("class_component", "custom_hook")}
 
@@ -256,35 +300,51 @@ def build_graph(projects: DataFrame, files: DataFrame, libraries: DataFrame, ext
     flags = {"path": X("path"), **{k: or_else(X(k), False) for k in ("isNested", "isLazy", "isProtected")}}
     hooks = nodes.where("label = 'Library_Hook'").select("project_id", F.col("uid").alias("_hook"), F.col("props")["source"].alias("_source"))
     named = nodes.where("label = 'Library'").select("project_id", F.col("uid").alias("_library"))
-    rendered = None if corpus is None else roots(corpus, projects)
+    known = lambda df, src, given=None, keep=("dst_label",): pairs_of(df, src, F.col("dst_uid"), given, PLACE, keep)
     all_edges = [
         edges("BELONGS_TO", pairs_of(files, FILE, F.col("project_id")), ["File"], ["Project"]),
-        edges("DEPENDS_ON", pairs_of(libraries, F.col("project_id"), F.col("name"), {"dependencyType": F.col("dependencyType")}), ["Project"], ["Library"]),
+        edges("DEPENDS_ON", pairs_of(libraries, F.col("project_id"), F.col("name"), {"dependencyType": F.col("dependencyType")}), ["Project"], made="Library"),
         edges("DEFINED_IN", pairs_of(nodes.where(F.col("label").isin(*ANCHORS)), F.col("uid"), FILE), ANCHORS, ["File"]),
-        edges("USES_LIBRARY_HOOK", pairs_of(used, uid(F.col("component"), FILE), hook_uid, {"count": F.col("count")}), ["Function_Component"], ["Library_Hook"]),
-        edges("USES_LIBRARY_HOOK", pairs_of(inner_hooks, uid(F.col("owner"), FILE), uid(F.col("name"), F.col("source")), {"count": or_else(F.col("count"), 1)}, PLACE), ["Custom_Hook"], ["Library_Hook"]),
+        edges("USES_LIBRARY_HOOK", pairs_of(used, uid(F.col("component"), FILE), hook_uid, {"count": F.col("count")}), ["Function_Component"], made="Library_Hook"),
+        edges("USES_LIBRARY_HOOK", pairs_of(inner_hooks, uid(F.col("owner"), FILE), uid(F.col("name"), F.col("source")), {"count": or_else(F.col("count"), 1)}, PLACE), ["Custom_Hook"], made="Library_Hook"),
         edges("USES_CUSTOM_HOOK", hook_pairs(custom, "local"), ["Function_Component"], ["Custom_Hook"]),
         edges("USES_CUSTOM_HOOK", hook_pairs(inner_custom, "same_file"), ["Custom_Hook"], ["Custom_Hook"]),
-        edges("ACCEPTS_PROP", pairs_of(props, owner, part), COMPONENTS, ["Prop"]),
-        edges("HAS_HANDLER", pairs_of(handled, comp_of, uid(F.col("name"), F.col("componentName"), FILE)), COMPONENTS, ["EventHandler"]),
-        edges("DECLARES_STATE", pairs_of(states.where(~is_hook_name(X("componentName"))), owner, part, literal, PLACE), ["Function_Component"], ["State_Variable"]),
-        edges("DECLARES_STATE", pairs_of(states.where(is_hook_name(X("componentName"))), owner, part, literal, PLACE), ["Custom_Hook"], ["State_Variable"]),
-        edges("DECLARES_CLASS_STATE", pairs_of(class_states, owner, part, {"declarationStyle": or_else(X("declarationStyle"), "constructor")}, PLACE), ["Class_Component"], ["State_Variable"]),
-        edges("USES_COMPONENT", pairs_of(usages, uid(X("parentComponent"), FILE), F.col("target"), {"usage": or_else(X("usage"), "element")}, PLACE), COMPONENTS, COMPONENTS),
-        edges("PASSES_PROP", pairs_of(passed, uid(F.col("parent"), FILE), F.col("target"), {"propName": F.col("p.propName")}, PLACE), COMPONENTS, COMPONENTS, ["propName"]),
-        edges("PROVIDES_CONTEXT", pairs_of(givers, uid(X("componentName"), FILE), F.col("target"), {"valueExpression": or_else(X("valueExpression"), "")}, PLACE), COMPONENTS, ["Context"]),
-        *[edges("CONSUMES_CONTEXT", pairs_of(takers.where(is_kind), uid(X("consumerName"), FILE), F.col("target")), [label], ["Context"]) for label, is_kind in taker.items()],
-        edges("ROUTES_TO", pairs_of(routes, uid(X("routingComponent"), FILE), F.col("target"), flags, PLACE), COMPONENTS, COMPONENTS),
-        edges("PROVIDED_BY", pairs_of(hooks.join(named, (hooks["project_id"] == named["project_id"]) & (hooks["_source"] == named["_library"])).drop(named["project_id"]), F.col("_hook"), F.col("_library")), ["Library_Hook"], ["Library"]),
+        edges("ACCEPTS_PROP", pairs_of(props, owner, part), COMPONENTS, made="Prop"),
+        edges("HAS_HANDLER", pairs_of(handled, comp_of, uid(F.col("name"), F.col("componentName"), FILE)), COMPONENTS, made="EventHandler"),
+        edges("DECLARES_STATE", pairs_of(states.where(~is_hook_name(X("componentName"))), owner, part, literal, PLACE), ["Function_Component"], made="State_Variable"),
+        edges("DECLARES_STATE", pairs_of(states.where(is_hook_name(X("componentName"))), owner, part, literal, PLACE), ["Custom_Hook"], made="State_Variable"),
+        edges("DECLARES_CLASS_STATE", pairs_of(class_states, owner, part, {"declarationStyle": or_else(X("declarationStyle"), "constructor")}, PLACE), ["Class_Component"], made="State_Variable"),
+        edges("", known(told, F.col("src_uid"), {"usage": F.when(F.col("k") == "usage", F.col("v")), "propName": F.when(F.col("k") == "propName", F.col("v"))}, ["dst_label", "rel", "_key"]), COMPONENTS),
+        edges("PROVIDES_CONTEXT", known(givers, uid(X("componentName"), FILE), {"valueExpression": or_else(X("valueExpression"), "")}), COMPONENTS),
+        *[edges("CONSUMES_CONTEXT", known(takers.where(is_kind), uid(X("consumerName"), FILE)), [label]) for label, is_kind in taker.items()],
+        edges("ROUTES_TO", known(routes, uid(X("routingComponent"), FILE), flags), COMPONENTS),
+        edges("PROVIDED_BY", pairs_of(hooks.join(named, (hooks["project_id"] == named["project_id"]) & (hooks["_source"] == named["_library"])).drop(named["project_id"]), F.col("_hook"), F.col("_library")), ["Library_Hook"], made="Library"),
     ]
     if rendered is not None:
-        tops = nodes.where(F.col("label").isin(*COMPONENTS)).select("project_id", "name", F.col("uid").alias("_uid"))
-        all_edges.append(edges("RENDERS_ROOT_COMPONENT", pairs_of(rendered.join(tops, ["project_id", "name"]), FILE, F.col("_uid")), ["File"], COMPONENTS))
+        tops = nodes.where(F.col("label").isin(*COMPONENTS)).select("project_id", "name", F.col("uid").alias("dst_uid"), F.col("label").alias("dst_label"))
+        all_edges.append(edges("RENDERS_ROOT_COMPONENT", pairs_of(rendered.join(tops, ["project_id", "name"]), FILE, F.col("dst_uid"), keep=["dst_label"]), ["File"]))
     out = all_edges[0]
     for e in all_edges[1:]:
         out = out.unionByName(e)
-    found = joined(out)
-    return Graph(nodes if rendered is None else set_root(nodes, rendered), found)
+    return joined(out)
+
+
+def with_ids(edges: DataFrame) -> DataFrame:
+    """Edges by uid as ``schemas.EDGES``."""
+    end = lambda side: node_id(F.col("project_id"), F.col(f"{side}_label"), F.col(f"{side}_uid")).alias(f"{side}_id")
+    return edges.select("project_id", end("src"), end("dst"), "rel", "props")
+
+
+def build_graph(projects: DataFrame, files: DataFrame, libraries: DataFrame, extractions: Extractions, corpus: DataFrame | None = None) -> Graph:
+    """The graph of all projects.
+
+    Projects: ``project_id, name, description, file_path, main, aliases, base_url``; files: ``project_id, file_path, name, modifiedAt``; libraries: ``project_id,
+    name, version, category, dependencyType``; extractions: ``schemas.EXTRACTIONS``, or a table of entries for each of their lists."""
+    # Written, as every ladder and every end of an edge looks nodes up.
+    nodes = written(graph_nodes(projects, files, libraries, extractions))
+    rendered = None if corpus is None else written(roots(corpus, projects))
+    edges = with_ids(graph_edges(nodes, projects, files, libraries, extractions, rendered))
+    return Graph(nodes if rendered is None else set_root(nodes, rendered), edges)
 
 
 #: Lists of what other files can refer to.

@@ -54,34 +54,44 @@ def _under_directory(requests: DataFrame, index: DataFrame) -> DataFrame:
     return near.where(fits).select("request_id", F.lit(2).alias("rung"), F.struct("label_rank", "uid").alias("_at"), "uid", "node_id")
 
 
+#: What decides which node a request means; requests that agree in it are asked once.
+ASK = ("project_id", "name", "specifier", "current_file")
+
+
+def _asked(requests: DataFrame) -> DataFrame:
+    """The different questions, each its own ``request_id``."""
+    return requests.select(*ASK).distinct().select(F.struct(*ASK).alias("request_id"), *ASK)
+
+
 def children(requests: DataFrame, projects: DataFrame, nodes: DataFrame, manifest: DataFrame) -> DataFrame:
-    """``request_id, uid, node_id, rung`` of the component each request means: same file, a candidate file, the import's directory, the only
-    component of the file it lands on, or that file's only default export. Unresolved requests have no row.
+    """``project_id, name, specifier, current_file, uid, node_id, rung`` of the component each different request means: same file, a candidate file, the import's
+    directory, the only component of the file it lands on, or that file's only default export. Unresolved requests have no row.
 
-    Requests: ``request_id, project_id, name, specifier, current_file``."""
+    Requests: ``project_id, name, specifier, current_file``."""
+    requests = _asked(requests)
     rank = F.array_position(F.array(*map(F.lit, ANCHORS)), F.col("label")).cast("int")
     index = nodes.where(F.col("label").isin(*ANCHORS)).select("project_id", "node_id", "uid", "name", "file_path", "label", F.col("props")["exportType"].alias("export"), rank.alias("label_rank"))
     based = import_bases(requests, projects)
     at = lambda df: df.withColumn("_at", F.struct(F.col("place").alias("label_rank"), F.lit("").alias("uid"))).drop("place")
     asked = requests.where("specifier != 'same_file'").select("request_id", "project_id", "specifier", "current_file").withColumn("symbol", F.lit(None).cast("string"))
     landed = asked.select("request_id", "project_id").join(manifest_files(asked, projects, manifest), "request_id")
-    inside = landed.join(index.where("label != 'Custom_Hook'"), ["project_id", "file_path"])
-    counted = inside.groupBy("request_id").agg(
+    # By file before the join: a file may hold as many components as there are requests for it.
+    counted = index.where("label != 'Custom_Hook'").groupBy("project_id", "file_path").agg(
         F.count("*").alias("n"), F.count_if(F.col("export") == "default").alias("defaults"),
         F.first(F.struct("uid", "node_id")).alias("any"), F.first(F.when(F.col("export") == "default", F.struct("uid", "node_id")), ignorenulls=True).alias("default"),
     )
-    sole = counted.where("n = 1 or defaults = 1").select("request_id", F.when(F.col("n") == 1, 3).otherwise(4).alias("rung"), F.when(F.col("n") == 1, F.col("any")).otherwise(F.col("default")).alias("hit"))
+    sole = landed.join(counted.where("n = 1 or defaults = 1"), ["project_id", "file_path"]).select("request_id", F.when(F.col("n") == 1, 3).otherwise(4).alias("rung"), F.when(F.col("n") == 1, F.col("any")).otherwise(F.col("default")).alias("hit"))
     sole = sole.select("request_id", "rung", F.struct(F.lit(0).alias("label_rank"), F.lit("").alias("uid")).alias("_at"), "hit.uid", "hit.node_id")
     hits = at(_by_uid(based, index)).select("request_id", "rung", "_at", "uid", "node_id").unionByName(_under_directory(based, index)).unionByName(sole)
-    return first_hit(hits, order=("rung", "_at")).select("request_id", "uid", "node_id", "rung")
+    return first_hit(hits, order=("rung", "_at")).select("request_id.*", "uid", "node_id", "rung")
 
 
 def contexts(requests: DataFrame, projects: DataFrame, nodes: DataFrame) -> DataFrame:
     """As ``children`` for context nodes, over the first three rungs."""
     index = nodes.where("label = 'Context'").select("project_id", "node_id", "uid", "name", "file_path", F.lit(1).alias("label_rank"))
-    based = import_bases(requests, projects)
+    based = import_bases(_asked(requests), projects)
     by_uid = _by_uid(based, index).withColumn("_at", F.struct(F.col("place").alias("label_rank"), F.lit("").alias("uid"))).select("request_id", "rung", "_at", "uid", "node_id")
-    return first_hit(by_uid.unionByName(_under_directory(based, index)), order=("rung", "_at")).select("request_id", "uid", "node_id", "rung")
+    return first_hit(by_uid.unionByName(_under_directory(based, index)), order=("rung", "_at")).select("request_id.*", "uid", "node_id", "rung")
 
 
 def longest_prefix(df: DataFrame, value: str, prefixes: DataFrame, boundary: str = "/") -> DataFrame:

@@ -46,3 +46,16 @@ def test_hook_calls_of_entry_tables(extractions, tables, files, projects):
     got = [build.hook_calls(e, projects, files).select("file_path", "component", "hook", "category", "count") for e in (tables, extractions)]
     assert rows(got[0]) == rows(got[1])
     assert {(r.hook, r.category, r["count"]) for r in got[0].collect()} == {("useState", "library", 2), ("useB", "custom", 1)}
+
+
+def test_nodes_of_entry_tables(spark, extractions, tables, files, projects):
+    given = projects.select("project_id", F.lit("P").alias("name"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("string").alias("main"), "aliases", "base_url")
+    known = files.select("*", F.element_at(F.split("file_path", "/"), -1).alias("name"), F.lit("2026").alias("modifiedAt"))
+    libs = spark.createDataFrame([("p", "react", "18", "framework", "production")], "project_id string, name string, version string, category string, dependencyType string")
+    listed = F.transform(F.sort_array(F.map_keys("props")), lambda k: F.concat(k, F.lit("="), F.col("props")[k])).alias("props")
+    nodes = build.graph_nodes(given, known, libs, tables)
+    assert rows(nodes.select("label", "uid", listed)) == rows(build.graph_nodes(given, known, libs, extractions).select("label", "uid", listed))
+    found = {r.uid: r for r in nodes.collect()}
+    assert found["onX_2::A::src/B.tsx"].props == {"uid": "onX_2::A::src/B.tsx", "name": "onX_2", "filePath": "src/B.tsx", "eventType": "y", "componentName": "A", "isInline": "true"}
+    assert {u for u in found if u.startswith("onX")} == {"onX::A::src/B.tsx", "onX_2::A::src/B.tsx", "onX::Z::src/B.tsx"} and found["onX::A::src/B.tsx"].props["isInline"] == "false"
+    assert found["p"].props == {"projectId": "p", "name": "P"} and found["useB::src/B.tsx"].props["exportType"] == "named"
