@@ -13,8 +13,8 @@ from graphloom.functions.text import is_hook_name, is_literal
 from graphloom.functions.udf import arrow_udf
 from graphloom.operators.graph import Graph, last_writer, set_root
 from graphloom.operators.resolve import children, contexts, manifest_files
-from graphloom.schemas import ANCHORS, COMPONENTS, NODE_FIELDS
-from graphloom.sources.store import written
+from graphloom.schemas import ANCHORS, COMPONENTS, EXTRACTION, NODE_FIELDS
+from graphloom.sources.store import released, written
 
 # Tags that wrap a root component, and where an entry file is looked for first.
 WRAPPERS = (
@@ -52,14 +52,17 @@ def pairs_of(df: DataFrame, src: Column, dst: Column, props: dict[str, Column] |
     return df.select("project_id", src.alias("src_uid"), dst.alias("dst_uid"), F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("props"), at.alias("_at"), *keep)
 
 
-#: Records with their lists, or by list a table of entries (``project_id, file_path, pos, x``, ``pos`` in the order of the list) where a list may be too long for a row.
+#: Records with their lists, or by list a table of entries (``project_id, file_path, pos, x``, ``pos`` in the order of the list; one that is absent is empty) where a list may be too long for a row.
 Extractions = DataFrame | Mapping[str, DataFrame]
 
 
 def exploded(extractions: Extractions, column: str) -> DataFrame:
     """``project_id, file_path, pos, x`` for each entry of a list; entries without a name go where they have one."""
     if isinstance(extractions, Mapping):
-        return extractions[column]
+        if column in extractions:
+            return extractions[column]
+        spark = next(iter(extractions.values())).sparkSession
+        return spark.createDataFrame([], f"project_id string, file_path string, pos bigint, x {EXTRACTION[column][len('array<') : -1]}")
     return extractions.select("project_id", "file_path", F.posexplode(column).alias("pos", "x"))
 
 
@@ -221,14 +224,15 @@ def graph_nodes(projects: DataFrame, files: DataFrame, libraries: DataFrame, ext
     return last.select("project_id", node_id(F.col("project_id"), F.col("label"), F.col("uid")).alias("node_id"), "label", "uid", "name", "file_path", whole.alias("props"))
 
 
-def graph_edges(nodes: DataFrame, projects: DataFrame, files: DataFrame, libraries: DataFrame, extractions: Extractions, rendered: DataFrame | None = None) -> DataFrame:
+def graph_edges(nodes: DataFrame, projects: DataFrame, files: DataFrame, libraries: DataFrame, extractions: Extractions, rendered: DataFrame | None = None, rels: Sequence[str] | None = None) -> DataFrame:
     """``project_id, rel, src_label, src_uid, dst_label, dst_uid, props`` of the edges between ``nodes`` (read several times), with ``rendered`` as ``roots`` gives it.
 
     Every edge is dealt out once, by its source: there the last write wins and the source is looked up. What a target is, is settled before, among few rows or by
     the row that writes both."""
     FILE, PLACE = F.col("file_path"), (F.col("file_path"), F.col("pos"))  # noqa: N806
     manifest = files.select("project_id", "file_path")
-    calls = hook_calls(extractions, projects, manifest)
+    kept = written if rels is None else (lambda df: df)  # what several kinds of edges read
+    calls = kept(hook_calls(extractions, projects, manifest))
     used = calls.where("category = 'library'")
     inner = exploded(extractions, "customHookUsages")
     inner_hooks = _inner_hooks(extractions)
@@ -254,8 +258,9 @@ def graph_edges(nodes: DataFrame, projects: DataFrame, files: DataFrame, librari
             pairs = pairs.join(ends(dst), ["project_id", "dst_uid"])
         own = F.concat_ws("\x00", *[F.coalesce(F.col("props")[k], F.lit("")) for k in key]) if key else F.lit("")
         own = F.col("_key") if "_key" in pairs.columns else own
+        chosen = pairs if rels is None else pairs.where(F.col("rel").isin(*rels)) if "rel" in pairs.columns else pairs.where(F.lit(rel in rels))
         name = F.col("rel") if "rel" in pairs.columns else F.lit(rel)
-        return pairs.select("project_id", "src_uid", "dst_uid", "dst_label", "props", "_at", own.alias("_key"), name.alias("rel"), F.lit(len(sources) - 1).alias("_call"))
+        return chosen.select("project_id", "src_uid", "dst_uid", "dst_label", "props", "_at", own.alias("_key"), name.alias("rel"), F.lit(len(sources) - 1).alias("_call"))
 
     def joined(pairs: DataFrame) -> DataFrame:
         """All kinds at once: one edge for two ends (and the identifying properties), with the last write's properties; the source must exist."""
@@ -274,9 +279,9 @@ def graph_edges(nodes: DataFrame, projects: DataFrame, files: DataFrame, librari
     usages, routes = exploded(extractions, "componentUsages"), exploded(extractions, "routeDefinitions")
     givers, takers = exploded(extractions, "contextProviders"), exploded(extractions, "contextConsumers")
     ask = lambda df, name, source: df.select("project_id", X(name).alias("name"), or_else(X(source), "").alias("specifier"), FILE.alias("current_file"))
-    hit = children(ask(usages, "childComponent", "importSource").unionByName(ask(routes, "targetComponent", "importSource")), projects, nodes, manifest)
+    hit = kept(children(ask(usages, "childComponent", "importSource").unionByName(ask(routes, "targetComponent", "importSource")), projects, nodes, manifest))
     usages, routes = meant(usages, "childComponent", "importSource", hit, COMPONENTS), meant(routes, "targetComponent", "importSource", hit, COMPONENTS)
-    ctx_hit = contexts(ask(givers, "contextName", "contextSource").unionByName(ask(takers, "contextName", "contextSource")), projects, nodes)
+    ctx_hit = kept(contexts(ask(givers, "contextName", "contextSource").unionByName(ask(takers, "contextName", "contextSource")), projects, nodes))
     givers, takers = meant(givers, "contextName", "contextSource", ctx_hit, ["Context"]), meant(takers, "contextName", "contextSource", ctx_hit, ["Context"])
     one = lambda rel, key, name, value: F.struct(F.lit(rel).alias("rel"), F.coalesce(key, F.lit("")).alias("_key"), F.lit(name).alias("k"), value.cast("string").alias("v"))
     each = F.concat(F.array(one("USES_COMPONENT", F.lit(""), "usage", or_else(X("usage"), "element"))), F.coalesce(F.transform(X("propsPassed"), lambda p: one("PASSES_PROP", p["propName"], "propName", p["propName"])), F.array()))
@@ -335,15 +340,15 @@ def with_ids(edges: DataFrame) -> DataFrame:
     return edges.select("project_id", end("src"), end("dst"), "rel", "props")
 
 
-def build_graph(projects: DataFrame, files: DataFrame, libraries: DataFrame, extractions: Extractions, corpus: DataFrame | None = None) -> Graph:
+def build_graph(projects: DataFrame, files: DataFrame, libraries: DataFrame, extractions: Extractions, corpus: DataFrame | None = None, rels: Sequence[str] | None = None) -> Graph:
     """The graph of all projects.
 
     Projects: ``project_id, name, description, file_path, main, aliases, base_url``; files: ``project_id, file_path, name, modifiedAt``; libraries: ``project_id,
-    name, version, category, dependencyType``; extractions: ``schemas.EXTRACTIONS``, or a table of entries for each of their lists."""
+    name, version, category, dependencyType``; extractions: ``schemas.EXTRACTIONS``, or a table of entries for each of their lists. With ``rels`` only edges of these kinds are made."""
     # Written, as every ladder and every end of an edge looks nodes up.
-    nodes = written(graph_nodes(projects, files, libraries, extractions))
+    nodes = released(graph_nodes(projects, files, libraries, extractions))
     rendered = None if corpus is None else written(roots(corpus, projects))
-    edges = with_ids(graph_edges(nodes, projects, files, libraries, extractions, rendered))
+    edges = with_ids(graph_edges(nodes, projects, files, libraries, extractions, rendered, rels))
     return Graph(nodes if rendered is None else set_root(nodes, rendered), edges)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -53,3 +54,11 @@ def written(df: DataFrame, *partitions: str) -> DataFrame:
     finally:
         spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path).select(df.columns)
+
+
+def released(df: DataFrame) -> DataFrame:
+    """``written``, after which the shuffle files of what led to it go: Spark removes them when the driver collects its garbage, which may be long after."""
+    out = written(df)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
