@@ -123,16 +123,22 @@ def handlers(extractions: Extractions) -> DataFrame:
 
 def hook_calls(extractions: Extractions, projects: DataFrame, manifest: DataFrame) -> DataFrame:
     """Hooks by component: ``category`` of the first call site, corrected to custom where a library's source is a file of the project, and
-    the number of call sites."""
-    components = _named(exploded(extractions, "components"), "name").where(~is_hook_name(X("name")))
-    calls = components.select("project_id", "file_path", X("name").alias("component"), F.posexplode("x.hookDetails").alias("call", "h"))
+    the number of call sites.
+
+    A source is looked up once a file, however many call sites name it. Components are dealt out whole, so that no task sorts all the calls that it has read."""
+    components = _named(exploded(extractions, "components"), "name").where(~is_hook_name(X("name"))).select("project_id", "file_path", X("name").alias("component"), X("hookDetails").alias("hooks"))
+    named = components.select("project_id", "file_path", F.explode("hooks").alias("h")).where("h.category = 'library' and h.source != '' and h.source != 'local'")
+    asked = named.select("project_id", F.col("h.source").alias("specifier"), F.col("file_path").alias("current_file")).distinct()
+    asked = asked.select(F.struct("*").alias("request_id"), "*", F.lit(None).cast("string").alias("symbol"))
+    hit = F.col("request_id")
+    local = written(manifest_files(asked, projects, manifest).select(hit["project_id"].alias("_project"), hit["current_file"].alias("_file"), hit["specifier"].alias("_source"), F.lit(True).alias("_local")))
+    calls = components.repartition("project_id", "file_path", "component").select("project_id", "file_path", "component", F.posexplode("hooks").alias("call", "h"))
     tallied = calls.groupBy("project_id", "file_path", "component", F.col("h.name").alias("hook"), or_else(F.col("h.source"), "").alias("source")).agg(
         F.count("*").alias("count"), F.min_by("h.category", "call").alias("category"), F.min("call").alias("call")
     )
     tallied = tallied.withColumn("request_id", F.xxhash64("project_id", "file_path", "component", "hook", "source"))
-    asked = tallied.where("category = 'library' and source != '' and source != 'local'").select("request_id", "project_id", F.col("source").alias("specifier"), F.col("file_path").alias("current_file"), F.lit(None).cast("string").alias("symbol"))
-    local = manifest_files(asked, projects, manifest).select("request_id", F.lit(True).alias("_local"))
-    return tallied.join(local, "request_id", "left").withColumn("category", F.when(F.col("_local"), "custom").otherwise(F.col("category"))).drop("_local")
+    same = (F.col("project_id") == F.col("_project")) & F.col("file_path").eqNullSafe(F.col("_file")) & (F.col("source") == F.col("_source")) & (F.col("category") == "library")
+    return tallied.join(local, same, "left").withColumn("category", F.when(F.col("_local"), "custom").otherwise(F.col("category"))).drop("_project", "_file", "_source", "_local")
 
 
 def rendered_root(source: Column) -> Column:

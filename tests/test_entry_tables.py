@@ -49,6 +49,21 @@ def test_hook_calls_of_entry_tables(extractions, tables, files, projects):
     assert {(r.hook, r.category, r["count"]) for r in got[0].collect()} == {("useState", "library", 2), ("useB", "custom", 1)}
 
 
+def test_hook_calls_of_many_components(spark, files, projects, monkeypatch):
+    hooks = [("useB", "library", "./B"), ("useState", "library", "react"), ("useState", "library", "react")]
+    listed = [(f"A{n}", "arrow", True, hooks, True, "named") for n in range(40)] + [("A0", "arrow", True, [("useB", "library", "./B"), ("useC", "custom", "./C"), ("useD", "library", "local")], True, "named")]
+    records = spark.createDataFrame([("p", "src/A.tsx", *[listed if n == "components" else [] for n in schemas.EXTRACTION])], schemas.EXTRACTIONS)
+    asked = []
+    monkeypatch.setattr(build, "manifest_files", lambda requests, *rest, f=build.manifest_files: asked.append(requests) or f(requests, *rest))
+    calls = build.hook_calls(records, projects, files)
+    assert asked[0].count() == 2, "a file's import of a source is looked up once"
+    plan = calls._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Exchange hashpartitioning") > plan.rindex("Sort"), "calls are dealt out before they are sorted"
+    found = {(r.component, r.hook): (r.category, r["count"]) for r in calls.collect()}
+    assert len(found) == 82 and calls.count() == 82
+    assert found["A0", "useB"] == ("custom", 2) and found["A7", "useB"] == ("custom", 1) and found["A39", "useState"] == ("library", 2) and found["A0", "useC"] == ("custom", 1) and found["A0", "useD"] == ("library", 1)
+
+
 def test_nodes_of_entry_tables(spark, extractions, tables, files, projects):
     given = projects.select("project_id", F.lit("P").alias("name"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("string").alias("main"), "aliases", "base_url")
     known = files.select("*", F.element_at(F.split("file_path", "/"), -1).alias("name"), F.lit("2026").alias("modifiedAt"))
