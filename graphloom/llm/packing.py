@@ -131,6 +131,11 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_i
 
     Texts are read whole, however long: one is encoded at a time, and its ids are held at four bytes each. Null texts count as empty, null and
     repeated ids stay, an empty table gives an empty one."""
+    return texts_of(docs, id_col, text_col).mapInArrow(_cutter(tokenizer_path, capacity, end_id), PIECES)
+
+
+def _cutter(tokenizer_path: str, capacity: int, end_id: int):
+    """A function from batches of ``doc_id, text`` to batches of pieces."""
 
     def run(batches):
         encode, end = document_ids(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
@@ -145,7 +150,21 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_i
                     at, piece, stop = stop, piece + 1, stop + capacity
             yield arrow(PIECE_FIELDS, zip(*out, strict=True))
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, PIECES)
+    return run
+
+
+def _numbered(batches, capacity: int):
+    """Batches of pieces with the task that they are in (``_part``) and their number among those of their length there (``_rank``)."""
+    part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+    for b in batches:
+        length = b.column(b.schema.get_field_index("length")).to_numpy()
+        order = np.argsort(length, kind="stable")
+        ends = length[order]
+        first = np.searchsorted(ends, ends)  # where a length begins in the order
+        rank = np.empty(len(length), np.int64)
+        rank[order] = seen[ends] + np.arange(len(length)) - first
+        seen += np.bincount(length, minlength=capacity + 1)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(length), part, np.int64)), pa.array(rank)], [*b.schema.names, "_part", "_rank"])
 
 
 def place_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -153,25 +172,16 @@ def place_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
     The pieces are written once, numbered by length within their task. The plan needs one total per length (at most ``capacity`` rows reach the
     driver); what tasks before have of a length comes by a join on task and length, of which no pair has more rows than a task. No text or id moves."""
-    names = pieces.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    return _placed(written(pieces.mapInArrow(lambda batches: _numbered(batches, capacity), f"{kinds}, _part long, _rank long")), kinds, capacity)
 
-    def number(batches):
-        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for b in batches:
-            length = b.column(b.schema.get_field_index("length")).to_numpy()
-            order = np.argsort(length, kind="stable")
-            ends = length[order]
-            first = np.searchsorted(ends, ends)  # where a length begins in the order
-            rank = np.empty(len(length), np.int64)
-            rank[order] = seen[ends] + np.arange(len(length)) - first
-            seen += np.bincount(length, minlength=capacity + 1)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(np.full(len(length), part, np.int64)), pa.array(rank)], [*names, "_part", "_rank"])
-
-    numbered = written(pieces.mapInArrow(number, f"{kinds}, _part long, _rank long"))
+
+def _placed(numbered: DataFrame, kinds: str, capacity: int) -> DataFrame:
+    """The stored rows of ``_numbered`` with their places; kinds: the types of the pieces' own columns."""
+    names = [c for c in numbered.columns if c not in ("_part", "_rank")]
     shares = written(numbered.groupBy("length", "_part").agg(F.count("*").alias("_n")))
     places = Places(plan(dict(map(tuple, shares.groupBy("length").agg(F.sum("_n")).collect())), capacity))
-    lent = pieces.sparkSession.sparkContext.broadcast(places)  # bounded by capacity, not by the rows
+    lent = numbered.sparkSession.sparkContext.broadcast(places)  # bounded by capacity, not by the rows
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = numbered.join(shares.select("length", "_part", before.alias("_before")), ["length", "_part"])
     ranked = ranked.select(*names, (F.col("_before") + F.col("_rank")).alias("_rank"))
@@ -190,8 +200,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     """Every document's pieces with their places, in as few sequences as the method finds.
 
     Null texts count as empty and pack as the single ``end_id``; rows with one doc_id several times are packed each (which
-    of them gets which place is then open); an empty table gives an empty one; other columns are ignored."""
-    return place_pieces(cut_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), capacity)
+    of them gets which place is then open); an empty table gives an empty one; other columns are ignored.
+
+    Pieces are cut and numbered in one pass of Python: two in a row would take two worker processes a task, and Spark keeps all of them."""
+    cut = _cutter(tokenizer_path, capacity, end_id)
+    numbered = texts_of(docs, id_col, text_col).mapInArrow(lambda batches: _numbered(cut(batches), capacity), f"{PIECES}, _part long, _rank long")
+    return _placed(written(numbered), PIECES, capacity)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,3 +94,19 @@ def test_a_much_repeated_row_is_placed_piece_by_piece(spark):
             assert offset == end
             end += length
         assert end <= 2048
+
+
+def test_a_task_takes_one_worker_process(spark, docs_edge, monkeypatch):
+    # Two Python steps in one stage take two workers a task, all of which Spark keeps, with their tables, for the rest of the session.
+    plans, written = [], packing.written
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(packing, "written", seen)
+    out = packing.pack_documents(docs_edge, FIFTY)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert [p.count("MapInArrow") for p in plans] == [1, 0, 1]
+    pieces = lambda df: sorted(df.select("doc_id", "piece", "start", "length", "ids_crc32").collect(), key=str)
+    assert pieces(out) == pieces(packing.place_pieces(packing.cut_pieces(docs_edge, FIFTY)))
