@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from graphloom.functions.text import token_estimate, tokens
 from graphloom.functions.udf import arrow_udf
-from graphloom.sources.store import written
+from graphloom.operators import lexical
+from graphloom.sources.store import clear, marked, written
 
 K1, B = 1.5, 0.75
+#: Terms of a block of queries that is lent to the tasks.
+QUERY_TERMS = 200_000
 BUDGET = 7000
 
 
@@ -19,23 +26,59 @@ def term_index(docs: DataFrame, doc_id: str, text: Column, terms=tokens) -> tupl
     return postings, split.select("doc_id", F.size("terms").alias("dl"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: Column, query_id: str, query: Column, terms=tokens, k1: float = K1, b: float = B) -> DataFrame:
-    """``query_id, doc_id, score`` of every document that shares a term with the query; all others score 0 and have no row.
-
-    The inverse document frequency is ln(1 + (N - n + 0.5) / (n + 0.5)); a term counts as often as the query has it. Only the
-    postings of query terms are shuffled; they are written, as frequencies and scores both read them, so texts are split once for them and once
-    for the lengths. The weights of terms are a small side, which Spark lends to the tasks or, beyond that, joins with hot terms split."""
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(terms(query)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    wanted = asked.select("term").distinct()
-    split = docs.select(F.col(doc_id).alias("doc_id"), terms(text).alias("terms")).select("doc_id", "terms", F.size("terms").alias("dl"))
-    corpus = split.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    postings = written(split.select("doc_id", "dl", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")))
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weights = asked.join(frequency, "term").crossJoin(corpus)  # one row
-    weights = weights.withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("qtf"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-    return scored
+def bm25(
+    docs: DataFrame, queries: DataFrame, doc_id: str, text: Column, query_id: str, query: Column, terms: lexical.Terms = lexical.CODE_TERMS, k1: float = K1, b: float = B,
+    k: int | None = None, digits: int | None = None, block: int = QUERY_TERMS,
+) -> DataFrame:
+    """``query_id, doc_id, score`` of every document that shares a term with the query; all others score 0 and have no row. With ``k``, the ``k`` best of each
+    query and their ``rank``, ties by ``doc_id``; scores are rounded to ``digits`` beforehand.
+
+    The inverse document frequency is ln(1 + (N - n + 0.5) / (n + 0.5)); a term counts as often as the query has it. Texts are split once a block of queries, into a
+    written table with a row a document: its length and its numbers of query terms. A task scores whole documents of it, so no pair of a document and a query
+    is shuffled, and with ``k`` leaves its own best only. Queries are a stated set, lent to the tasks in as many blocks of about ``block`` terms as they need. Rows with one
+    id are one document, those of one length with all their terms, as in the SQL that groups by both."""
+    asked = queries.select(F.col(query_id).alias("query_id"), query.cast("binary").alias("text"))
+    schema = StructType([asked.schema["query_id"], StructField("term", StringType()), StructField("qtf", LongType())])
+    asked = written(asked.mapInArrow(lexical.query_terms(terms), schema).groupBy("query_id", "term").agg(F.sum("qtf").alias("qtf")))
+    blocks = max(1, -(-asked.count() // block))
+    found = []
+    for i in range(blocks):
+        own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        before = marked()
+        scored = _block(docs.select(F.col(doc_id).alias("doc_id"), text.cast("binary").alias("text")), own, terms, k1, b, k, digits)
+        if k:
+            scored = top_k(scored, k, order=[F.desc("score"), F.asc_nulls_last("doc_id")])
+        if blocks > 1:
+            after = marked()
+            scored = written(scored)
+            clear(docs.sparkSession, before, after)
+        found.append(scored)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _block(docs: DataFrame, asked: DataFrame, terms: lexical.Terms, k1: float, b: float, k: int | None, digits: int | None) -> DataFrame:
+    """``query_id, doc_id, score`` for ``doc_id, text`` and one block of ``query_id, term, qtf``."""
+    context, id_of = docs.sparkSession.sparkContext, docs.schema["doc_id"]
+    got = asked.orderBy("query_id", "term").toArrow().combine_chunks()
+    query = got.column("query_id").combine_chunks().dictionary_encode(null_encoding="encode")
+    term = got.column("term").combine_chunks().dictionary_encode()
+    places = context.broadcast({t.encode(): i for i, t in enumerate(term.dictionary.to_pylist())})
+    schema = StructType([id_of, StructField("dl", LongType()), *(StructField(c, ArrayType(IntegerType())) for c in ("terms", "tfs"))])
+    rows = written(docs.mapInArrow(lexical.document_terms(terms, places), schema))
+    n_docs, avgdl = rows.agg(F.count("*"), F.avg("dl")).first()
+    entries = rows.where(F.size("terms") > 0).select("doc_id", "terms", "tfs", F.array_repeat("dl", F.size("terms")).alias("dls"))
+    again = written(rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")))
+    if again.take(1):
+        same = F.col("doc_id").eqNullSafe(F.col("again"))
+        each = rows.join(again, same, "left_semi").select("doc_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("e")).groupBy("doc_id", "dl", "e.terms").agg(F.sum("e.tfs").alias("tf"))
+        lists = each.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("terms", "dl", F.col("tf").cast("int").alias("tf")))).alias("l"))
+        entries = written(entries.join(again, same, "left_anti").unionByName(lists.select("doc_id", F.col("l.terms").alias("terms"), F.col("l.tf").alias("tfs"), F.col("l.dl").alias("dls"))))
+    counted = entries.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).toArrow()
+    df = np.zeros(len(term.dictionary))
+    df[counted.column("term").to_numpy()] = counted.column("df").to_numpy()
+    weights = lexical.Weights.of(query.dictionary, term.indices.to_numpy(), query.indices.to_numpy(), got.column("qtf").to_numpy(), df, n_docs, avgdl or 1.0, k1, b)
+    schema = StructType([asked.schema["query_id"], id_of, StructField("score", DoubleType())])
+    return entries.mapInArrow(lexical.scored(context.broadcast(weights), k, digits), schema)
 
 
 def top_k(scored: DataFrame, k: int, group: str = "query_id", order=None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from graphloom.functions import paths, text
-from graphloom.operators import cost, edits, evaluation, graph, progress, rank, resolve, templates
+from graphloom.operators import cost, edits, evaluation, graph, lexical, progress, rank, resolve, templates
 from graphloom.plans import binding
 from graphloom.plans.binding import CALLS_SQL, GRAPH_SQL, PRICES_SQL, RESULTS_SQL, table
 from graphloom.sources import dump, files
@@ -489,8 +489,9 @@ def tokenize_terms(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(text.tokens(F.col("text")), " ").alias("terms"))
 
 
-def plain_terms(c: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+def best_documents(spark: SparkSession, sf: str, terms: lexical.Terms) -> DataFrame:
+    scored = rank.bm25(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", F.col("text"), "item_id", F.col("text"), terms, k=5, digits=6)
+    return scored.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def bm25_sql(terms: str) -> str:
@@ -504,14 +505,12 @@ def bm25_sql(terms: str) -> str:
 
 @query(bm25_sql("list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '')"))
 def bm25_rank_topk(spark, sf):
-    scored = rank.bm25(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", F.col("text"), "item_id", F.col("text"), plain_terms)
-    return rank.top_k(scored.withColumn("score", F.round("score", 6)), 5).withColumn("rank", F.col("rank").cast("bigint"))
+    return best_documents(spark, sf, lexical.PLAIN_TERMS)
 
 
 @query(bm25_sql(CODE_TERMS))
 def bm25_code_terms_topk(spark, sf):
-    scored = rank.bm25(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", F.col("text"), "item_id", F.col("text"))
-    return rank.top_k(scored.withColumn("score", F.round("score", 6)), 5).withColumn("rank", F.col("rank").cast("bigint"))
+    return best_documents(spark, sf, lexical.CODE_TERMS)
 
 
 @query("""WITH q AS (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label), s AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score

@@ -27,11 +27,17 @@ def shared_folder(spark: SparkSession) -> str:
 _paths: list[str] = []
 
 
-def clear(spark: SparkSession) -> int:
-    """Deletes the tables that this process has written to the shared folder; frames that read them are of no use then."""
-    n = 0
-    while _paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+def marked() -> int:
+    """How many tables this process has written: a place in their order, for ``clear``."""
+    return len(_paths)
+
+
+def clear(spark: SparkSession, first: int = 0, last: int | None = None) -> int:
+    """Deletes the tables that this process has written to the shared folder, or those between two marks; frames that read them are of no use then."""
+    n, gone = 0, _paths[first:last]
+    del _paths[first:last]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return n
 
