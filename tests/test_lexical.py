@@ -87,3 +87,13 @@ def test_code_words_are_taken_apart_once(spark, monkeypatch):
     take = lexical._code_terms
     object.__setattr__(known, "terms", lexical.Terms(False, lambda word: seen.append(word) or take(word)))
     assert [known[w] for w in [b"fooBar", b"Zeile"] * 3] == [(3, [0]), (1, [])] * 3 and seen == [b"fooBar", b"Zeile"]
+
+
+def test_pairs_are_not_shuffled(spark):
+    docs, asked = small(spark, 3000)
+    args = (docs, asked, "id", F.col("t"), "q", F.col("t"))
+    pairs = rank.bm25(*args)
+    assert shuffled(pairs) == [] and pairs.count() > 5000
+    for query in (lexical.CODE_TERMS, lexical.PLAIN_TERMS):
+        best = rank.bm25(*args, query, k=3, digits=6)
+        assert sum(shuffled(best)) <= 3 * 4 * len(WORDS)  # of each task its best
